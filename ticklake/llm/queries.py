@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import packing
-from ticklake.llm._spark import table
+from ticklake.llm import language_id, packing
+from ticklake.llm._spark import fold, table
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_packing": op4_packing}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = language_id.train(docs.where(fold("doc_id", 5) != 0))
+    return language_id.identify(docs, trees).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op4_packing": op4_packing, "op6_language_id": op6_language_id}
 ORACLES: dict[str, str] = {}
