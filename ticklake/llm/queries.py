@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import language_id, packing
+from ticklake.llm import decontamination, language_id, packing
 from ticklake.llm._spark import fold, table
 
 
@@ -20,5 +20,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, trees).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_packing": op4_packing, "op6_language_id": op6_language_id}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op4_packing": op4_packing, "op6_language_id": op6_language_id}
 ORACLES: dict[str, str] = {}
