@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import decontamination, language_id, packing
+from ticklake.llm import decontamination, language_id, lm_scoring, packing
 from ticklake.llm._spark import fold, table
 
 
@@ -24,5 +24,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op4_packing": op4_packing, "op6_language_id": op6_language_id}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+
+
+QUERIES = {"op9_lm_scoring": op9_lm_scoring, "op10_decontamination": op10_decontamination, "op4_packing": op4_packing, "op6_language_id": op6_language_id}
 ORACLES: dict[str, str] = {}
