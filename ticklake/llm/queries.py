@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import decontamination, language_id, lm_scoring, packing
+from ticklake.llm import decontamination, jaccard_join, language_id, lm_scoring, packing
 from ticklake.llm._spark import fold, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -29,5 +33,5 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.train(docs, table(spark, sf_dir, "labels").where("quality = 1")))
 
 
-QUERIES = {"op9_lm_scoring": op9_lm_scoring, "op10_decontamination": op10_decontamination, "op4_packing": op4_packing, "op6_language_id": op6_language_id}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_decontamination": op10_decontamination, "op4_packing": op4_packing, "op6_language_id": op6_language_id}
 ORACLES: dict[str, str] = {}
