@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of checkpoints; one of its own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticklake-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read again, which ends the lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticklake-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

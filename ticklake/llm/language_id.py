@@ -105,10 +105,12 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", order: i
 
 
 def _score(shared, order: int, names: list[str]):
+    """Adds three columns in place of the last one, the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
         for batch in batches:
-            for part, raw, at in blocks(batch, 1):
+            for part, raw, at in blocks(batch, batch.num_columns - 1):
                 total = np.tile(trees.prior_bits, (part.num_rows, 1))
                 step = 8_000_000
                 for lo in range(0, len(raw), step):  # a very long row stands alone; its bytes are taken in pieces
@@ -124,22 +126,27 @@ def _score(shared, order: int, names: list[str]):
                 some = np.diff(at) > 0
                 score = np.where(some, 1 / np.exp2(total.min(1)[:, None] - total).sum(1), 0.0)
                 found = [trees.languages[i] if ok else UNKNOWN for i, ok in zip(best, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string()), pa.array(score), pa.array(np.where(some, total.min(1), 0.0))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(score), pa.array(np.where(some, total.min(1), 0.0))], names)
 
     return run
 
 
-def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, ``lang_pred``, ``score`` (the language's share of the posterior, 0 to 1) and ``bits`` (its code length).
+def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per row: the columns ``keep`` (the id, if not given), ``lang_pred``, ``score`` (the language's share of the
+    posterior, 0 to 1) and ``bits`` (its code length). These three names must not be in ``keep``.
 
     Null or empty texts and texts without a letter are ``und`` with score 0; so are all if nothing was learned. Rows
     are scored each for itself, whole; equal texts get equal results; other columns are ignored.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(doc_id, F.col(text).cast("string").alias(text))
+    keep = keep or [doc_id]
+    kept = [F.col(f"`{c}`") for c in keep]
     if not trees.languages:
-        return rows.select(doc_id, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    schema = f"`{doc_id}` {kind}, lang_pred string, score double, bits double"
-    with_letters = rows.select(doc_id, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias(text))
-    return with_letters.mapInArrow(_score(shared, trees.order, [doc_id, "lang_pred", "score", "bits"]), schema)
+    names = ["lang_pred", "score", "bits"]
+    schema = docs.select(*kept, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).alias(names[2])).schema
+    for field in schema.fields:
+        field.nullable = True
+    own = F.col(f"`{text}`").cast("string")
+    with_letters = docs.select(*kept, F.when(own.rlike(r"\p{L}"), own).alias("__text"))
+    return with_letters.mapInArrow(_score(shared, trees.order, [*keep, *names]), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ticklake.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality, toxicity, vector_dedup
 from ticklake.llm._spark import fold, table
 
@@ -87,5 +88,17 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op5_html_extraction": op5_html_extraction, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op2_quality_classifier": op2_quality_classifier, "op7_toxicity": op7_toxicity, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_line_dedup": op3_line_dedup, "op9_lm_scoring": op9_lm_scoring, "op10_decontamination": op10_decontamination, "op4_packing": op4_packing, "op6_language_id": op6_language_id}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
