@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ticklake.plans import analytics, books, bridge, fills, model, scalars, tape  # noqa: F401  (each registers its queries)
+
+QUERIES = bridge.QUERIES
+ORACLES = bridge.ORACLES
