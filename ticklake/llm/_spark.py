@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read again, which ends the lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows written to the shared checkpoint folder, as compressed Parquet, and read again, which ends the lineage."""
+    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/cut-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
