@@ -2,8 +2,8 @@
 
 A document's shingles are ordered rare first. Two sets of similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of either, so only these are joined. A pair is then tested by its sizes, by the places of the common
-shingle, by a lower bound on the difference of the whole sets (counts in 16 ranges of the shingle hash), and at last
-once by its texts.
+shingle (shingles before it that no other prefix holds can't be common), by a lower bound on the difference of the
+whole sets (counts in ranges of the shingle hash), and at last once by its texts.
 
 Links are found without all pairs of a group. Equal sets are one class. Two rounds link each document to one leader
 per shingle and join what is linked; the last round takes all pairs, but only between different components. A pair
@@ -16,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklake.llm._spark import cut, small_side
 from ticklake.llm._text import Words, blocks, byte_class, mix
 from ticklake.llm.components import components
 
-#: Buckets (as bits of the hash) in which shingle frequencies are counted; a fixed size at any scale.
-BITS = 18
-RANGES = 16
+#: Buckets (as bits of the hash) in which shingle frequencies are counted; a fixed size at any scale. A partition reports
+#: what it meets more than once, so that the many shingles of one document cost nothing; sums under ``FEW`` count as 0.
+BITS, FEW = 24, 4
+RANGES = 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -56,13 +57,13 @@ def shingles(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for _, raw, at in blocks(batch, 0):
                 _, h = shingles(raw, at, size)
-                total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
+                np.add.at(total, (h >> np.uint64(64 - BITS)).astype(np.int64), 1)
+        seen = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))], ["bucket", "n"])
 
     return run
 
@@ -82,14 +83,14 @@ def _profiles(shared, size: int, percent: int):
                     n.append(len(own))
                     key_1.append(own.sum(dtype=np.uint64))
                     key_2.append(mix(own ^ _STEP).sum(dtype=np.uint64))
-                    ranges.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=RANGES))
+                    ranges.append(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=RANGES))
                     keep = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                     rare = np.argsort(frequency[(own >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")
                     prefix.append(own[rare[:keep]])
                     prefix_n.append(keep)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix_n)]).astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64)))
-                sixteen = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate(ranges).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(np.array(key_1, np.uint64).view(np.int64)), pa.array(np.array(key_2, np.uint64).view(np.int64)), sixteen, lists], names)
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * RANGES), pa.array(np.minimum(np.concatenate(ranges), 127).astype(np.int8)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(np.array(key_1, np.uint64).view(np.int64)), pa.array(np.array(key_2, np.uint64).view(np.int64)), counts, lists], names)
 
     return run
 
@@ -126,11 +127,13 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    counted = rows.select("text").mapInArrow(_frequencies(size), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(1 << BITS, np.int64)
-    frequency[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    counted = rows.select("text").mapInArrow(_frequencies(size), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # a quarter of a doubling is one step; the table has a byte per bucket, and its rows to the driver at most 5
+    counted = counted.where(F.col("n") >= FEW).select("bucket", F.least(F.lit(127), F.log2("n") * 4).cast("tinyint").alias("step")).toArrow()
+    frequency = np.zeros(1 << BITS, np.int8)
+    frequency[counted["bucket"].to_numpy()] = counted["step"].to_numpy()
     shared = spark.sparkContext.broadcast(frequency)
-    profiles = cut(rows.mapInArrow(_profiles(shared, size, percent), "id bigint, n bigint, key_1 bigint, key_2 bigint, ranges array<int>, prefix array<bigint>"))
+    profiles = cut(rows.mapInArrow(_profiles(shared, size, percent), "id bigint, n bigint, key_1 bigint, key_2 bigint, ranges array<tinyint>, prefix array<bigint>"))
     real = profiles.where("n > 0 and id is not null")
     classes = cut(real.groupBy("key_1", "key_2").agg(F.min_by(F.struct("id", "n", "ranges", "prefix"), "id").alias("first")).select("key_1", "key_2", "first.*"))
     sets = classes.select("id", "n", "ranges")
@@ -144,17 +147,22 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
 
 def _links(rows: DataFrame, classes: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links that join all classes that any links join."""
-    postings = classes.select("id", "n", F.posexplode("prefix").alias("place", "key"), F.col("id").alias("component_id"))
-    whole = F.struct("id", "n", "place", "component_id")
-    leaders = postings.groupBy("key").agg(F.count("*").alias("times"), F.min(whole).alias("leader")).where("times > 1").drop("times")
-    postings = cut(postings.join(leaders, "key"))
+    every = classes.select("id", F.posexplode("prefix").alias("place", "key"))
+    often = every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    # earlier: shingles of this document before this one that others hold too; only these can be common before it
+    earlier = F.row_number().over(Window.partitionBy("id").orderBy("place", "key")) - 1
+    shared_keys = every.join(often, "key").withColumn("earlier", earlier)
+    postings = cut(shared_keys.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("component_id", F.col("id")))
+    whole = F.struct("id", "n", "place", "earlier", "component_id")
+    leaders = postings.groupBy("key").agg(F.min(whole).alias("leader"))
+    postings = postings.join(leaders, "key")
     fits = f"""least(n, m) * 100 >= {percent} * greatest(n, m)
-        and (least(place, at) + 1 + least(n - place, m - at) - 1) * {100 + percent} >= {percent} * (n + m)"""
+        and (least(earlier, sooner) + 1 + least(n - place, m - at) - 1) * {100 + percent} >= {percent} * (n + m)"""
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"))
-        apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
         overlap = (F.col("n_a") + F.col("n_b") - apart) / 2  # at most, as the sets differ in ``apart`` shingles at least
         close = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
         close = cut(close)
@@ -165,7 +173,7 @@ def _links(rows: DataFrame, classes: DataFrame, sets: DataFrame, size: int, perc
 
     links = None
     for _ in range(2):
-        pairs = postings.where("component_id <> leader.component_id").select("id", "n", "place", F.col("leader.id").alias("other"), F.col("leader.n").alias("m"), F.col("leader.place").alias("at"))
+        pairs = postings.where("component_id <> leader.component_id").select("id", "n", "place", "earlier", F.col("leader.id").alias("other"), F.col("leader.n").alias("m"), F.col("leader.place").alias("at"), F.col("leader.earlier").alias("sooner"))
         new = verified(pairs.where(fits))
         links = new if links is None else links.unionByName(new)
         labelled = postings.drop("leader", "component_id").join(components(links), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -175,6 +183,6 @@ def _links(rows: DataFrame, classes: DataFrame, sets: DataFrame, size: int, perc
         postings = cut(labelled.join(mixed.select("key", "pick.leader"), "key"))
         if postings.isEmpty():
             return links
-    right = postings.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component_id").alias("other_component"))
+    right = postings.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("earlier").alias("sooner"), F.col("component_id").alias("other_component"))
     pairs = postings.drop("leader").join(right, "key").where("id < other and component_id <> other_component")
     return links.unionByName(verified(pairs.where(fits)))
