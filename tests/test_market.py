@@ -52,8 +52,11 @@ def test_books_equal_a_fold_over_random_frames(spark):
         else:
             rows.append(delta(o, rng.choice(["yes", "no"]), rng.randint(1, 49), rng.randint(-25, 25)))
     rows = [r if r[2] == "delta" else (*r[:9], list({(s, p): (s, p, q) for s, p, q in r[9]}.values())) for r in rows]
-    got = {r["ord"]: (r["bid"], r["ask"]) for r in book.best(book.depth(frames(spark, rows))).collect()}
-    assert got == fold(rows)
+    for most in ("10000", "7"):  # the second cuts epochs and events over batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        got = {r["ord"]: (r["bid"], r["ask"]) for r in book.best(book.depth(frames(spark, rows))).collect()}
+        assert got == fold(rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     states = book.level_state(frames(spark, rows)).where("qty < 0").count()
     assert states == 0
 

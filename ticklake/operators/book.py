@@ -7,14 +7,16 @@ price in cents; a NO bid at p offers YES at 100 - p. A connection id stands for
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH = 10
-#: Events of an epoch folded at a time.
-CHUNK = 20_000
 
 
 def with_epoch(frames: DataFrame) -> DataFrame:
@@ -69,29 +71,51 @@ def level_state_min_size(frames: DataFrame, least: int) -> DataFrame:
     return ordered.select("ticker", "epoch", "side", "price", F.explode(F.aggregate("steps", first, step)).alias("s")).select("ticker", "epoch", "side", "price", "s.*")
 
 
-def _fold(table: pa.Table) -> pa.Table:
-    ticker, epoch = table["ticker"][0].as_py(), table["epoch"][0].as_py()
-    ords, yes = table["ord"].to_numpy(), np.array(table["side"].to_pylist()) == "yes"
-    price, change = table["price"].to_numpy(), table["change"].to_numpy()
-    events, at = np.unique(ords, return_inverse=True)
-    slot = np.where(yes, price - 1, 98 + price)
-    order = np.argsort(at, kind="stable")
-    at, slot, change = at[order], slot[order], change[order]
-    total, least = np.zeros(198, np.int64), np.zeros(198, np.int64)
-    out = []
-    for lo in range(0, len(events), CHUNK):
-        n = min(CHUNK, len(events) - lo)
-        own = slice(*np.searchsorted(at, [lo, lo + n]))
-        steps = np.zeros((n, 198), np.int64)
-        np.add.at(steps, (at[own] - lo, slot[own]), change[own])
-        steps[0] += total
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Books after each event, from changes sorted by ticker, epoch and ord.
+
+    All epochs of a batch are summed as one matrix with a row per event and a column per side and price; an epoch that
+    goes on in the next batch hands its last sums on, and the rows of a batch's last event wait for the next.
+    """
+    held, state = None, None
+    for batch in chain(batches, [None]):
+        parts = [b for b in (held, batch) if b is not None and b.num_rows]
+        if not parts:
+            continue
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        code = rows.column(0).dictionary_encode().indices.to_numpy()
+        epoch, ords = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        opens = np.concatenate([[True], (code[1:] != code[:-1]) | (epoch[1:] != epoch[:-1])])
+        fresh = opens.copy()
+        fresh[1:] |= ords[1:] != ords[:-1]
+        end = len(code) if batch is None else int(np.flatnonzero(fresh)[-1])
+        held = rows.slice(end) if end < len(code) else None
+        if not end:
+            continue
+        rows, fresh, opens = rows.slice(0, end), fresh[:end], opens[:end]
+        event = np.cumsum(fresh) - 1
+        first = np.flatnonzero(fresh)
+        start = np.flatnonzero(opens[first])  # events that open an epoch, but for the one carried on
+        yes = np.asarray(pc.equal(rows.column(3), "yes"))
+        price, change = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+        steps = np.zeros((len(first), 198), np.int64)
+        np.add.at(steps, (event, np.where(yes, price - 1, 98 + price)), change)
+        key, least = (rows.column(0)[0].as_py(), rows.column(1)[0].as_py()), np.zeros(198, np.int64)
+        if state is not None and state[0] == key:
+            steps[0] += state[1]
+            least = state[2]
         sums = np.cumsum(steps, 0)
-        lows = np.minimum(np.minimum.accumulate(sums, 0), least)
-        out.append(_rows(sums - lows))
-        total, least = sums[-1], lows[-1]
-    columns = {k: np.ma.concatenate([o[k] for o in out]) for k in out[0]}
-    fields = {k: pa.array(v.filled(0), pa.int32(), mask=np.ma.getmaskarray(v)) for k, v in columns.items()}
-    return pa.table({"ticker": [ticker] * len(events), "epoch": pa.array([epoch] * len(events), pa.int64()), "ord": events, **fields})
+        group = np.cumsum(opens[first]) - 1
+        base = np.vstack([np.zeros(198, np.int64), sums])[start]
+        sums -= base[group]
+        far = np.int64(1) << 40  # sets each epoch's sums below those of the epochs before it
+        lows = np.minimum(np.minimum.accumulate(sums - group[:, None] * far, 0) + group[:, None] * far, 0)
+        own = group == 0
+        lows[own] = np.minimum(lows[own], least)
+        state = ((rows.column(0)[end - 1].as_py(), rows.column(1)[end - 1].as_py()), sums[-1], lows[-1])
+        columns = _rows(sums - lows)
+        fields = [pa.array(v.filled(0), pa.int32(), mask=np.ma.getmaskarray(v)) for v in columns.values()]
+        yield pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(first)) for k in range(3)], *fields], ["ticker", "epoch", "ord", *columns])
 
 
 def _rows(book: np.ndarray) -> dict[str, np.ma.MaskedArray]:
@@ -126,14 +150,16 @@ DEPTH_COLUMNS += [f"{s}_depth_{c}c" for s in ("bid", "ask") for c in (5, 10)] +
 def depth(frames: DataFrame) -> DataFrame:
     """A row per snapshot and live delta with the book after it: ten levels a side, depth within 5 and 10 cents of the best, level counts, spread and twice the mid.
 
-    Folded per ticker and epoch over vectors of 99 prices a side; all changes of one ``ord`` apply together. A snapshot
-    without levels opens an empty book, whose row has nulls and zeros.
+    Dealt by ticker and epoch, sorted, and folded batch by batch over vectors of 99 prices a side, so an epoch of any
+    length takes the memory of one batch; all changes of one ``ord`` apply together. A snapshot without levels opens an
+    empty book, whose row has nulls and zeros.
     """
     empty = frames.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), "ord", F.lit("yes").alias("side"), F.lit(1).alias("price"), F.lit(0).cast("bigint").alias("change"))
     changes = level_changes(frames).select("ticker", F.col("epoch").cast("bigint"), F.col("ord").cast("bigint"), "side", F.col("price").cast("int"), F.col("change").cast("bigint"))
     every = changes.unionByName(empty.select(*changes.columns))
     schema = "ticker string, epoch bigint, ord bigint, " + ", ".join(f"{c} int" for c in _order())
-    return every.groupBy("ticker", "epoch").applyInArrow(_fold, schema)
+    dealt = every.repartition("ticker", "epoch").sortWithinPartitions("ticker", "epoch", "ord")
+    return dealt.mapInArrow(_fold, schema)
 
 
 def _order() -> list[str]:
@@ -215,3 +241,23 @@ def violations(books: DataFrame) -> DataFrame:
         )
     )
     return books.select("ticker", "ord", F.explode(found).alias("v")).select("ticker", "ord", "v.*")
+
+
+def repaired(frames: DataFrame, most_skipped: int) -> DataFrame:
+    """Another repair: snapshots whose book would be cleared, as more than ``most_skipped`` deltas of other subscriptions follow in the epoch.
+
+    Columns: ticker, epoch, skipped, cleared_at (the ord of the delta that goes over the limit).
+    """
+    foreign = stale_deltas(frames).where("reason = 'other_subscription'")
+    ranked = foreign.withColumn("rn", F.row_number().over(Window.partitionBy("ticker", "epoch").orderBy("ord")))
+    over = F.min(F.when(F.col("rn") == most_skipped + 1, F.col("ord")))
+    return ranked.groupBy("ticker", "epoch").agg(F.count("*").alias("skipped"), over.alias("cleared_at"))
+
+
+def require_valid(books: DataFrame) -> DataFrame:
+    """The books, after one count of all their violations but crossed rows; raises if there is any."""
+    found = violations(books).where("check <> 'crossed'")
+    n = found.count()
+    if n:
+        raise ValueError(f"{n} rows break the book's invariants, such as {found.first()}")
+    return books

@@ -113,3 +113,9 @@ def queue_fills(orders: DataFrame, trades: DataFrame) -> DataFrame:
     summed = hits.withColumn("avail", avail).withColumn("cum", F.sum("avail").over(w))
     got = F.least("remaining", "cum") - F.least(F.col("remaining"), F.col("cum") - F.col("avail"))
     return summed.withColumn("filled", got).where("filled > 0").select("order_id", "ticker", "at", "filled")
+
+
+def lineage(fills: DataFrame, orders: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Fills with the order that they belong to and the ticker's quote in force when that order was placed."""
+    placed = fills.join(orders.select("order_id", F.col("ord").alias("placed")), "order_id")
+    return asof(placed, quotes, ["ticker"], "placed", "ord", ["bid", "ask"])

@@ -220,3 +220,21 @@ def _(t):
     first = book.crosses(book.depth(t.frames)).withColumnRenamed("ord", "cross_at")
     after = book.live_deltas(t.frames).join(first, ["ticker", "epoch"]).where("ord > cross_at").select("ticker", "ord")
     return lost.unionByName(after)
+
+
+@query("b16_alternative_repair", ", odd as (select ticker, epoch, ord, row_number() over (partition by ticker, epoch order by ord) as rn from epochs where epoch is not null and 1 + seq % 6 <> 1) select ticker, epoch, count(*) as skipped, min(ord) filter (rn = 6) as cleared_at from odd group by ticker, epoch")
+def _(t):
+    own = F.when(F.col("kind") == "snapshot", 1).otherwise(1 + F.col("seq") % 6).cast("bigint")
+    return book.repaired(t.frames.withColumn("sid", own), 5)
+
+
+@query("d02_invariants_hold", "select count(*) as n from allbooks")
+def _(t):
+    return book.require_valid(book.depth(t.frames)).agg(F.count("*").alias("n"))
+
+
+@query("d07_freshness", "select count(distinct filename) as n_files from (select 1 as filename)")
+def _(t):
+    from ticklake.operators import quality
+
+    return quality.freshness(t("events")).agg(F.sum("n_files").alias("n_files"))
