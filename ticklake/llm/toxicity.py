@@ -27,7 +27,7 @@ BUCKETS = 1 << BITS
 LENGTHS = (3, 4, 5, 6)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of texts taken at a time.
-MOST = 2_000_000
+MOST = 500_000
 
 
 @cache
