@@ -1,0 +1,41 @@
+"""What a review of the first round found missing."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ticklake.llm import lm_scoring
+
+
+def test_lm_scoring_keeps_its_order_beyond_four_million_grams(spark):
+    rng = np.random.default_rng(3)
+    own = "the wanted words" * 40
+    texts = [own, *["".join(map(chr, rng.integers(33, 127, 1_500_000))) for _ in range(3)]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pair = lm_scoring.train(d, spark.createDataFrame([(0,)], "doc_id bigint"))
+    assert pair.order == 4 and pair.counts.count() > 4_000_000
+    probe = "the wanted noise"
+    got = lm_scoring.score(spark.createDataFrame([(7, probe)], "doc_id bigint, text string"), pair).first()
+
+    def loss(model, scale):
+        model, total = ["\0" * 4 + t for t in model], 0.0
+        data = "\0" * 4 + probe
+        for k in range(4, len(data)):
+            p = 1 / 256
+            for j in range(5):
+                context = data[k - j : k]
+                after = scale * sum(_starts(t, context + data[k], 4 - j) for t in model)
+                p = (after + 8 * p) / (scale * sum(_starts(t, context, 4 - j, 1) for t in model) + 8)
+            total -= np.log2(p)
+        return total / len(probe)
+
+    assert abs(got["target_loss"] - loss([own], 1)) < 1e-5
+    assert abs(got["background_loss"] - loss(texts, len(own) / sum(map(len, texts)))) < 1e-5
+
+
+def _starts(text: str, part: str, first: int, left: int = 0) -> int:
+    """Places of ``part`` from ``first`` on, with ``left`` characters after it."""
+    n, at = 0, text.find(part, first)
+    while 0 <= at <= len(text) - len(part) - left:
+        n, at = n + 1, text.find(part, at + 1)
+    return n
