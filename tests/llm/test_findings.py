@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from ticklake.llm import lm_scoring
+import corpus_pipeline
+from ticklake.llm import lm_scoring, queries
 
 
 def test_lm_scoring_keeps_its_order_beyond_four_million_grams(spark):
@@ -33,6 +36,23 @@ def test_lm_scoring_keeps_its_order_beyond_four_million_grams(spark):
     assert abs(got["background_loss"] - loss(texts, len(own) / sum(map(len, texts)))) < 1e-5
 
 
+def test_packing_splits_at_added_tokens_as_tokenizers_does(spark, tmp_path):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    reference = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|>\n a", "x<|endoftext|", "  a  <|endoftext|>  b", "", None, "it's 12'345 日本語"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    whole = lambda d: {r["doc_id"]: r["doc_tokens"] for r in d.select("doc_id", "doc_tokens").distinct().collect()}
+    want = {k: [*reference.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert 50256 in want[0]
+    rows = corpus_pipeline.sequences(spark, docs, str(tmp_path)).orderBy("doc_id", "start").collect()
+    assert {k: np.frombuffer(b"".join(r["ids"] for r in rows if r["doc_id"] == k), "<u4").tolist() for k in want} == want
+    crcs = lambda d: sorted(map(tuple, d.collect()))
+    op4 = queries.op4_packing(spark, str(tmp_path))
+    assert whole(op4) == {k: len(v) for k, v in want.items()}
+    assert crcs(op4.select("doc_id", "start", "ids_crc32")) == crcs(corpus_pipeline.sequences(spark, docs, str(tmp_path)).select("doc_id", "start", F.crc32("ids")))
+
+
 def _starts(text: str, part: str, first: int, left: int = 0) -> int:
     """Places of ``part`` from ``first`` on, with ``left`` characters after it."""
     n, at = 0, text.find(part, first)
