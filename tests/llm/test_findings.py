@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ticklake.llm import lm_scoring, queries
+from ticklake.llm import decontamination, lm_scoring, queries
 
 
 def test_lm_scoring_keeps_its_order_beyond_four_million_grams(spark):
@@ -53,6 +55,19 @@ def test_packing_splits_at_added_tokens_as_tokenizers_does(spark, tmp_path):
     assert crcs(op4.select("doc_id", "start", "ids_crc32")) == crcs(corpus_pipeline.sequences(spark, docs, str(tmp_path)).select("doc_id", "start", F.crc32("ids")))
 
 
+def test_benchmark_rows_without_id_and_with_one_id(spark, monkeypatch):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (5, "delta epsilon"), (5, "zeta eta"), (5, "zeta eta")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma y"), (2, "delta epsilon and zeta eta")], "doc_id bigint, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for block, a_pass in ((2_000_000, 8), (10, 1)):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontamination, "BLOCKS_A_PASS", a_pass)
+        got = {r["doc_id"]: tuple(r[1:]) for r in decontamination.report(docs, bench).collect()}
+        assert got == {1: (5, 3, 0, sha(""), True), 2: (5, 4, 1, sha("5"), True)}
+    clean = {r["doc_id"]: r["text"].split() for r in decontamination.decontaminate(docs, bench).collect()}
+    assert clean == {1: ["x", "y"], 2: ["and"]}
+
+
 def _starts(text: str, part: str, first: int, left: int = 0) -> int:
     """Places of ``part`` from ``first`` on, with ``left`` characters after it."""
     n, at = 0, text.find(part, first)

@@ -8,6 +8,7 @@ found become spans of words, merged per document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticklake.llm._spark import cut
 from ticklake.llm._text import Words, blocks, byte_class
 
 #: Bytes of benchmark text in one block of phrases, and blocks that a task searches in one pass.
@@ -190,7 +192,9 @@ def _search(shared: list[Broadcast], text: int, texts: str, names: list[str], in
                     n = phrases.first[phrase + 1] - phrases.first[phrase]
                     owner = phrases.owner[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(phrases.first[phrase], n)]
                     pairs = np.unique(np.stack([np.repeat(words.row[first], n), owner], 1), axis=0)
-                    held.append((pairs[:, 0], np.array(phrases.items, object)[pairs[:, 1]]))
+                    item = np.array(phrases.items, object)[pairs[:, 1]]
+                    named = np.not_equal(item, None).astype(bool)
+                    held.append((pairs[named, 0], item[named]))
                 hit = np.cumsum(edge[:-1]) > 0
                 begins, ends = hit.copy(), hit.copy()
                 new_row = words.row[1:] != words.row[:-1]
@@ -236,18 +240,16 @@ def _item_words(inside: np.ndarray):
     return run
 
 
-def phrase_blocks(benchmark: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> list[Broadcast]:
-    """The benchmark's windows as broadcast blocks, each of about ``BLOCK_BYTES`` of text."""
+def phrase_blocks(benchmark: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> Iterator[Broadcast]:
+    """The benchmark's windows as broadcast blocks, each of about ``BLOCK_BYTES`` of text, made as they are drawn."""
     inside = byte_class("alnum")
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES)
-    out = []
     for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).mapInArrow(_item_words(inside), "item string, words array<bigint>").toArrow()
+        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).mapInArrow(_item_words(inside), "item string, words array<bigint>").toArrow()
         words = [np.array(w, np.int64).view(np.uint64) for w in own["words"].to_pylist()]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Phrases(own["item"].to_pylist(), words, width)))
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(Phrases(own["item"].to_pylist(), words, width))
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", clean: bool = False, item_id: str = "item_id", benchmark_text: str = "text") -> DataFrame:
@@ -260,8 +262,10 @@ def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str =
     else null.
 
     Null or empty texts, and all texts if the benchmark is empty, have no spans; items without words match nothing.
+    Items without an id cover words like others, but aren't in ``span_items``; rows with one id are one item there.
     Equal rows get equal results; an empty table gives none. No row is shuffled; a task holds one shard's index and
-    ``BLOCKS_A_PASS`` blocks of phrases; more blocks take more passes over the rows.
+    ``BLOCKS_A_PASS`` blocks of phrases; more blocks take more passes over the rows, each
+    kept in the checkpoint folder before the next.
     """
     found = ("n_words", "span_starts", "span_ends", "span_items")
     names = [*docs.columns, *found]
@@ -272,11 +276,18 @@ def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str =
     for f in schema.fields:
         f.nullable = True
     shared = phrase_blocks(benchmark, width, item_id, benchmark_text)
-    passes = [shared[k : k + BLOCKS_A_PASS] for k in range(0, len(shared), BLOCKS_A_PASS)] or [[]]
-    for k, own in enumerate(passes):
-        texts = "keep" if k < len(passes) - 1 else "clean" if clean else "drop"
+    own = list(islice(shared, BLOCKS_A_PASS))
+    while True:
+        later = list(islice(shared, BLOCKS_A_PASS))
+        texts = "keep" if later else "clean" if clean else "drop"
         out = out.mapInArrow(_search(own, at, texts, names, inside), schema)
-    return out
+        if not later:
+            break
+        out = cut(out)
+        for broadcast in own:
+            broadcast.destroy()
+        own = later
+    return out.withColumn("span_items", F.array_distinct("span_items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
