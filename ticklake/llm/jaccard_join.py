@@ -3,15 +3,19 @@
 A document's shingles are ordered rare first. Two sets of similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of either, so only these are joined. A pair is then tested by its sizes, by the places of the common
 shingle (shingles before it that no other prefix holds can't be common), by a lower bound on the difference of the
-whole sets (counts in ranges of the shingle hash), and at last once by its texts.
-
-Links are found without all pairs of a group. Equal sets are one class. Two rounds link each document to one leader
-per shingle and join what is linked; the last round takes all pairs, but only between different components. A pair
-left out is in one component already, so the components are those of all links.
+whole sets (counts in ranges of the shingle hash, which stands for the suffix filter), and at last once by its texts.
+
+Links are found without all pairs of a group. Equal sets are one class. Each round links every document to leaders of
+its shingles, one from the largest component there and one from another, and joins what is linked. Rounds go on while
+pairs between components are more than in proportion to the postings and halve each time. What is left are pairs between
+different components, each taken under its first common shingle only, where the smaller set must have it within the
+first (1 - t) / (1 + t) of its size: in a group of copies with own changes almost only true links pass that, and these
+the rounds have joined. A pair left out is in one component already, so the components are those of all links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ from ticklake.llm.components import components
 #: what it meets more than once, so that the many shingles of one document cost nothing; sums under ``FEW`` count as 0.
 BITS, FEW = 24, 4
 RANGES = 256
+#: Pairs a posting up to which all pairs between components are taken, and shared shingles that a posting carries along.
+LINEAR, CARRIED = 4, 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -153,36 +159,65 @@ def _links(rows: DataFrame, classes: DataFrame, sets: DataFrame, size: int, perc
     earlier = F.row_number().over(Window.partitionBy("id").orderBy("place", "key")) - 1
     shared_keys = every.join(often, "key").withColumn("earlier", earlier)
     postings = cut(shared_keys.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("component_id", F.col("id")))
-    whole = F.struct("id", "n", "place", "earlier", "component_id")
-    leaders = postings.groupBy("key").agg(F.min(whole).alias("leader"))
-    postings = postings.join(leaders, "key")
-    fits = f"""least(n, m) * 100 >= {percent} * greatest(n, m)
-        and (least(earlier, sooner) + 1 + least(n - place, m - at) - 1) * {100 + percent} >= {percent} * (n + m)"""
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"))
-        apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
-        overlap = (F.col("n_a") + F.col("n_b") - apart) / 2  # at most, as the sets differ in ``apart`` shingles at least
-        close = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-        close = cut(close)
-        ids = small_side(cut(close.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        texts = rows.join(ids, "id", "left_semi")
-        both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a bigint, b bigint"))
-
-    links = None
-    for _ in range(2):
-        pairs = postings.where("component_id <> leader.component_id").select("id", "n", "place", "earlier", F.col("leader.id").alias("other"), F.col("leader.n").alias("m"), F.col("leader.place").alias("at"), F.col("leader.earlier").alias("sooner"))
-        new = verified(pairs.where(fits))
+    # the leader of a shingle is the document with fewest rare shingles before it, which is likely to be near the others
+    whole = F.struct("place", "id", "n", "earlier", "component_id")
+    postings = postings.join(postings.groupBy("key").agg(F.array(F.min(whole)).alias("leaders")), "key")
+    links, cross = None, None
+    while True:
+        leader = postings.withColumn("leader", F.explode("leaders")).where("component_id <> leader.component_id")
+        pairs = leader.select("id", F.col("leader.id").alias("other"), "n", F.col("leader.n").alias("m"), "place", F.col("leader.place").alias("at"), F.least("earlier", "leader.earlier").alias("before"))
+        new = _verified(pairs.where(_fits(percent)).select("id", "other"), rows, sets, size, percent)
         links = new if links is None else links.unionByName(new)
-        labelled = postings.drop("leader", "component_id").join(components(links), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        labelled = postings.drop("leaders", "component_id").join(components(links), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
         labelled = cut(labelled)
-        random = F.struct(F.xxhash64("component_id"), whole.alias("leader"))
-        mixed = labelled.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min(random).alias("pick")).where("low <> high")
-        postings = cut(labelled.join(mixed.select("key", "pick.leader"), "key"))
-        if postings.isEmpty():
+        held = labelled.groupBy("key", "component_id").agg(F.count("*").alias("times"), F.count_if(F.expr(_small(percent))).alias("small"), F.min(whole).alias("first"))
+        pick = F.min(F.struct(F.xxhash64("component_id", F.lit(str(cross))), F.col("first").alias("one")))
+        most = F.struct("times", "first")
+        mixed = held.groupBy("key").agg(F.count("*").alias("parts"), F.sum("times").alias("all"), F.sum("small").alias("small"), F.sum(F.col("small") ** 2).alias("within"), F.max(most).alias("most"), pick.alias("pick")).where("parts > 1")
+        mixed = cut(mixed.select("key", ((F.col("small") ** 2 - F.col("within")) / 2).alias("pairs"), F.col("all"), F.array("most.first", "pick.one").alias("leaders")))
+        left, n = mixed.agg(F.sum("pairs"), F.sum("all")).first()
+        if not n:
             return links
-    right = postings.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("earlier").alias("sooner"), F.col("component_id").alias("other_component"))
-    pairs = postings.drop("leader").join(right, "key").where("id < other and component_id <> other_component")
-    return links.unionByName(verified(pairs.where(fits)))
+        postings = cut(labelled.join(mixed.select("key", "leaders"), "key"))
+        if left <= LINEAR * n or cross is not None and left > cross / 2:
+            return links.unionByName(_verified(_crossing(postings.drop("leaders"), percent), rows, sets, size, percent))
+        cross = left
+
+
+def _fits(percent: int) -> str:
+    """Whether sizes and places of a common shingle allow a link; ``before`` is how many can be common before it at most."""
+    return f"least(n, m) * 100 >= {percent} * greatest(n, m) and (before + least(n - place, m - at)) * {100 + percent} >= {percent} * (n + m)"
+
+
+def _small(percent: int) -> str:
+    """Whether a posting can be a link's first common shingle on the side of the smaller set, of which it has at most (1 - t) / (1 + t) before it."""
+    return f"place * {100 + percent} <= n * {100 - percent}"
+
+
+def _crossing(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs between components that may link, each once but for a few, under the first shingle that both hold.
+
+    Each side carries the shared shingles before; a pair that has one of these in common too stands there, not here.
+    Sets meet within a class of sizes and the next, each a factor of over 1 / t wide.
+    """
+    before = Window.partitionBy("id").orderBy("place", "key")
+    carried = postings.withColumns({"shared": F.collect_list("key").over(before.rowsBetween(-CARRIED, -1)), "earlier": F.row_number().over(before) - 1})
+    carried = cut(carried.withColumn("class", F.floor(F.log("n") / math.log(101 / percent))))
+    small = carried.where(_small(percent)).select("key", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("earlier").alias("sooner"), F.col("shared").alias("others"), F.col("component_id").alias("other_component"))
+    beyond = f"greatest(earlier - {CARRIED}, 0) + greatest(sooner - {CARRIED}, 0)"
+    once = "(m < n or m = n and other < id) and component_id <> other_component and not arrays_overlap(shared, others)"
+    return carried.join(small, ["key", "class"]).where(once).where(_fits(percent).replace("before", beyond)).select("id", "other")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that link, by the bound of the hash ranges and then by the texts, each pair once."""
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"))
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
+    overlap = (F.col("n_a") + F.col("n_b") - apart) / 2  # at most, as the sets differ in ``apart`` shingles at least
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    close = cut(close)
+    ids = small_side(cut(close.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    texts = rows.join(ids, "id", "left_semi")
+    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a bigint, b bigint"))
