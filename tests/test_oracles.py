@@ -12,7 +12,7 @@ from ticklake.plans.registry import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-NAMES = "b01_snapshot_seed b03_level_state b05_bbo b06_valid_bbo b08_depth b12_boundary_drift b17_passive_fills j02_nearest_books j03_horizon_mids j06_delta_match j14_round_trips w09_w10_filled_bins w12_gross_exposure a10_rollups a19_calibration a26_quantile_bins u03_market_merge x02_divergence p13_parse_ticker p18_win_probability".split()
+NAMES = sorted(ORACLES)
 
 
 def plain(v):

@@ -60,19 +60,26 @@ def level_state(frames: DataFrame) -> DataFrame:
 
 def level_state_min_size(frames: DataFrame, least: int) -> DataFrame:
     """As ``level_state``, but a level under ``least`` is gone, and starts from 0 again: folded over its ordered changes."""
-    ordered = level_changes(frames).groupBy("ticker", "epoch", "side", "price").agg(F.array_sort(F.collect_list(F.struct("ord", "change"))).alias("steps"))
-    first = F.array().cast("array<struct<ord:bigint,change:bigint,qty:bigint>>")
+    changes = level_changes(frames).select("ticker", F.col("epoch").cast("bigint"), "side", F.col("price").cast("int"), F.col("ord").cast("bigint"), F.col("change").cast("bigint"))
 
-    def step(done, x):
-        before = F.when(F.size(done) > 0, F.get(done, F.size(done) - 1)["qty"]).otherwise(F.lit(0))
-        now = before + x["change"]
-        return F.concat(done, F.array(F.struct(x["ord"].cast("bigint").alias("ord"), x["change"].cast("bigint").alias("change"), F.when(now >= least, now).otherwise(0).cast("bigint").alias("qty"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, size = None, 0
+        for batch in batches:
+            kept = []
+            for *key, change in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)], strict=True):
+                if key != level:
+                    level, size = key, 0
+                size = size + change if size + change >= least else 0
+                kept.append(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.int64())], [*batch.schema.names, "qty"])
 
-    return ordered.select("ticker", "epoch", "side", "price", F.explode(F.aggregate("steps", first, step)).alias("s")).select("ticker", "epoch", "side", "price", "s.*")
+    level = ["ticker", "epoch", "side", "price"]
+    dealt = changes.repartition(*level).sortWithinPartitions(*level, "ord", "change")
+    return dealt.mapInArrow(run, "ticker string, epoch bigint, side string, price int, ord bigint, change bigint, qty bigint")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Books after each event, from changes sorted by ticker, epoch and ord.
+def _books(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """Ticker, epoch and ord of each event and the book after it, from changes sorted by these: 99 YES and 99 NO sizes a row.
 
     All epochs of a batch are summed as one matrix with a row per event and a column per side and price; an epoch that
     goes on in the next batch hands its last sums on, and the rows of a batch's last event wait for the next.
@@ -113,12 +120,25 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = group == 0
         lows[own] = np.minimum(lows[own], least)
         state = ((rows.column(0)[end - 1].as_py(), rows.column(1)[end - 1].as_py()), sums[-1], lows[-1])
-        columns = _rows(sums - lows)
-        fields = [pa.array(v.filled(0), pa.int32(), mask=np.ma.getmaskarray(v)) for v in columns.values()]
-        yield pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(first)) for k in range(3)], *fields], ["ticker", "epoch", "ord", *columns])
+        yield [rows.column(k).take(pa.array(first)) for k in range(3)], sums - lows
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for event, book in _books(batches):
+        columns = rows_of(book)
+        fields = [pa.array(v.filled(0), KINDS[kind_of(c)], mask=np.ma.getmaskarray(v)) for c, v in columns.items()]
+        yield pa.RecordBatch.from_arrays([*event, *fields], ["ticker", "epoch", "ord", *columns])
 
 
-def _rows(book: np.ndarray) -> dict[str, np.ma.MaskedArray]:
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for event, book in _books(batches):
+        at, column = np.nonzero(book)
+        yes = column < 99
+        side = pa.array(np.where(yes, "yes", "no"))
+        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in event], side, pa.array(np.where(yes, column + 1, column - 98), pa.int32()), pa.array(book[at, column])], ["ticker", "epoch", "ord", "side", "price", "qty"])
+
+
+def rows_of(book: np.ndarray) -> dict[str, np.ma.MaskedArray]:
     """Depth columns of books, one row each with 99 YES and 99 NO sizes."""
     out, best = {}, {}
     for side, q in (("bid", book[:, :99]), ("ask", book[:, 99:])):
@@ -143,6 +163,14 @@ def _rows(book: np.ndarray) -> dict[str, np.ma.MaskedArray]:
     return out
 
 
+#: Sizes are as wide as the changes that they sum.
+KINDS = {"int": pa.int32(), "bigint": pa.int64()}
+
+
+def kind_of(column: str) -> str:
+    return "bigint" if column.endswith(("_size", "c")) else "int"
+
+
 DEPTH_COLUMNS = [f"{s}_{k}{x}" for s in ("bid", "ask") for k in range(1, DEPTH + 1) for x in ("", "_size")]
 DEPTH_COLUMNS += [f"{s}_depth_{c}c" for s in ("bid", "ask") for c in (5, 10)] + ["num_bid_levels", "num_ask_levels", "spread", "mid_x2"]
 
@@ -154,16 +182,25 @@ def depth(frames: DataFrame) -> DataFrame:
     length takes the memory of one batch; all changes of one ``ord`` apply together. A snapshot without levels opens an
     empty book, whose row has nulls and zeros.
     """
+    schema = "ticker string, epoch bigint, ord bigint, " + ", ".join(f"{c} {kind_of(c)}" for c in _order())
+    return _dealt(frames).mapInArrow(_fold, schema)
+
+
+def history(frames: DataFrame) -> DataFrame:
+    """The book in long form: a row per level that rests after each snapshot and live delta (ticker, epoch, ord, side, price, qty), from the same fold."""
+    return _dealt(frames).mapInArrow(_levels, "ticker string, epoch bigint, ord bigint, side string, price int, qty bigint")
+
+
+def _dealt(frames: DataFrame) -> DataFrame:
+    """All changes, and one of nothing per snapshot, dealt by ticker and epoch and sorted."""
     empty = frames.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), "ord", F.lit("yes").alias("side"), F.lit(1).alias("price"), F.lit(0).cast("bigint").alias("change"))
     changes = level_changes(frames).select("ticker", F.col("epoch").cast("bigint"), F.col("ord").cast("bigint"), "side", F.col("price").cast("int"), F.col("change").cast("bigint"))
     every = changes.unionByName(empty.select(*changes.columns))
-    schema = "ticker string, epoch bigint, ord bigint, " + ", ".join(f"{c} int" for c in _order())
-    dealt = every.repartition("ticker", "epoch").sortWithinPartitions("ticker", "epoch", "ord")
-    return dealt.mapInArrow(_fold, schema)
+    return every.repartition("ticker", "epoch").sortWithinPartitions("ticker", "epoch", "ord")
 
 
 def _order() -> list[str]:
-    return list(_rows(np.zeros((1, 198), np.int64)))
+    return list(rows_of(np.zeros((1, 198), np.int64)))
 
 
 def crosses(books: DataFrame) -> DataFrame:
@@ -173,8 +210,9 @@ def crosses(books: DataFrame) -> DataFrame:
 
 def valid_books(books: DataFrame) -> DataFrame:
     """Rows before the first cross of their epoch; a snapshot that is itself crossed stays."""
-    first = crosses(books).select("ticker", "epoch", F.col("ord").alias("__cross"))
-    return books.join(first, ["ticker", "epoch"], "left").where("__cross is null or ord < __cross").drop("__cross")
+    so_far = Window.partitionBy("ticker", "epoch").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crossed = F.coalesce((F.col("spread") < 0) & (F.col("ord") > F.col("epoch")), F.lit(False))
+    return books.withColumn("__crossed", F.max(crossed).over(so_far)).where("not __crossed").drop("__crossed")
 
 
 def best(books: DataFrame) -> DataFrame:
@@ -213,18 +251,26 @@ def boundary_drift(frames: DataFrame) -> DataFrame:
 
 
 def sampled(books: DataFrame, every: int) -> DataFrame:
-    """Rows of a ticker at least ``every`` apart in ord, each counted from the last one taken: a chained choice, folded per ticker and epoch."""
-
-    def pick(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ord")
-        taken, last = [], None
-        for k, o in enumerate(table["ord"].to_pylist()):
-            if last is None or o - last >= every:
-                taken.append(k)
-                last = o
-        return table.take(taken)
-
-    return books.groupBy("ticker", "epoch").applyInArrow(pick, books.schema)
+    """Rows of a ticker and epoch at least ``every`` apart in ord, each counted from the last one taken: a chained choice, folded batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            ticker, epoch = batch.column("ticker").dictionary_encode().indices.to_numpy(), batch.column("epoch").to_numpy()
+            ords = batch.column("ord").to_numpy()
+            opens = np.flatnonzero(np.concatenate([[True], (ticker[1:] != ticker[:-1]) | (epoch[1:] != epoch[:-1])]))
+            taken = []
+            for lo, hi in zip(opens, [*opens[1:], len(ords)], strict=True):
+                own = (batch.column("ticker")[lo].as_py(), epoch[lo])
+                at = lo if own != key else lo + int(np.searchsorted(ords[lo:hi], last + every))
+                while at < hi:
+                    taken.append(at)
+                    last = ords[at]
+                    at = lo + int(np.searchsorted(ords[lo:hi], last + every))
+                key = own
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return books.repartition("ticker", "epoch").sortWithinPartitions("ticker", "epoch", "ord").mapInArrow(run, books.schema)
 
 
 def violations(books: DataFrame) -> DataFrame:

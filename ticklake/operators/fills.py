@@ -102,12 +102,16 @@ def reconcile(internal: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("ticker", F.coalesce("internal", F.lit(0)).alias("internal"), F.coalesce("actual", F.lit(0)).alias("actual")).where("internal <> actual")
 
 
-def queue_fills(orders: DataFrame, trades: DataFrame) -> DataFrame:
+def queue_fills(orders: DataFrame, trades: DataFrame, width: int) -> DataFrame:
     """What resting orders (order_id, ticker, side, price, placed, until, queue_ahead, remaining) get of the trades at their price.
 
-    A trade's size beyond the queue ahead fills the order until its size is used up.
+    A trade's size beyond the queue ahead fills the order until its size is used up. Time is cut into buckets of
+    ``width``, about as long as orders rest, so that a hot price's orders meet only the trades of their time.
     """
-    hits = orders.join(trades.select(F.col("ticker").alias("t"), F.col("ord").alias("at"), F.col("price").alias("p"), "size", "taker"), (F.col("ticker") == F.col("t")) & (F.col("price") == F.col("p")) & (F.col("at") > F.col("placed")) & (F.col("at") <= F.col("until")) & F.when(F.col("side") == "buy", F.col("taker") == "no").otherwise(F.col("taker") == "yes"))
+    bucket = lambda c: F.floor(c / width).cast("bigint")
+    resting = orders.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("placed")), bucket(F.greatest("placed", "until"))))).withColumn("taker", F.when(F.col("side") == "buy", "no").otherwise("yes"))
+    taken = trades.select("ticker", "price", "taker", F.col("ord").alias("at"), "size", bucket(F.col("ord")).alias("__bucket"))
+    hits = resting.join(taken, ["ticker", "price", "taker", "__bucket"]).where("at > placed and at <= until")
     w = Window.partitionBy("order_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     avail = F.greatest(F.col("size") - F.col("queue_ahead"), F.lit(0))
     summed = hits.withColumn("avail", avail).withColumn("cum", F.sum("avail").over(w))

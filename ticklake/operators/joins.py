@@ -40,28 +40,21 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_on: st
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, before: int, after: int, how: str = "inner") -> DataFrame:
     """Pairs with equal keys and right time within [left - before, left + after].
 
-    Times are cut into buckets as long as the span; each left row asks the buckets that its span meets, so the join is
-    one of equality. Columns of the two sides must differ but for the keys. ``how``: inner, left, left_semi, left_anti.
+    Times are cut into buckets as long as the span. A left row stands in its own bucket, and a right row in the two at
+    most that hold left rows it can meet, so the join is one of equality and each left row counts once, whatever its
+    nulls and repeats. Columns of the two sides must differ but for the keys. ``how``: inner, left, left_semi, left_anti.
     """
     span = max(1, before + after)
     div = lambda c: F.floor(c / span).cast("bigint")
-    asked = left.withColumn("__bucket", F.explode(F.sequence(div(F.col(left_on) - before), div(F.col(left_on) + after))))
-    dealt = right.withColumn("__bucket", div(F.col(right_on)))
-    l, r = asked.alias("l"), dealt.alias("r")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "__bucket"]]
-    within = F.col(f"r.{right_on}").between(F.col(f"l.{left_on}") - before, F.col(f"l.{left_on}") + after)
-    condition = within
-    for s in same:
-        condition = condition & s
-    out = l.join(r, condition, "inner" if how in ("inner", "left") else "left_semi")
+    dealt = left.withColumn("__bucket", div(F.col(left_on)))
+    asked = right.withColumn("__bucket", F.explode(F.sequence(div(F.col(right_on) - after), div(F.col(right_on) + before))))
+    l, r = dealt.alias("l"), asked.alias("r")
+    condition = F.col(f"r.{right_on}").between(F.col(f"l.{left_on}") - before, F.col(f"l.{left_on}") + after)
+    for k in [*keys, "__bucket"]:
+        condition = condition & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     mine = [F.col(f"l.{c}") for c in left.columns]
-    if how in ("left_semi", "left_anti"):
-        hit = out.select(*mine).distinct()
-        return hit if how == "left_semi" else left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
-    pairs = out.select(*mine, *[F.col(f"r.{c}") for c in right.columns if c not in keys])
-    if how == "inner":
-        return pairs
-    return left.join(pairs, left.columns, "left")
+    theirs = [F.col(f"r.{c}") for c in right.columns if c not in keys] if how in ("inner", "left") else []
+    return l.join(r, condition, how).select(*mine, *theirs)
 
 
 def running_sum(rows: DataFrame, order: str, value: str, out: str, width: int) -> DataFrame:

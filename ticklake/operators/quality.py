@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from ticklake.operators.book import DEPTH_COLUMNS
 
 
-def depth_gate(books: DataFrame, most_crossed: float = 0.05) -> DataFrame:
-    """One row: rows, spreads that are not null, crossed ones, whether these are ``most_crossed`` of the spreads at most, and whether no level has a negative size."""
+def depth_gate(books: DataFrame, trades_in: DataFrame, trades_out: DataFrame, most_crossed: float = 0.05) -> DataFrame:
+    """One row: rows, spreads that are not null, crossed ones, trades before and after, and what holds: as many trades out
+    as in, crossed rows ``most_crossed`` of the spreads at most, no level of a negative size."""
     sizes = [c for c in DEPTH_COLUMNS if c.endswith("_size")]
     negative = F.coalesce(F.max(F.greatest(*[F.coalesce((F.col(c) < 0).cast("int"), F.lit(0)) for c in sizes])), F.lit(0))
     crossed = F.count_if(F.coalesce(F.col("spread") < 0, F.lit(False)))
-    return books.agg(F.count("*").alias("n_rows"), F.count("spread").alias("n_spreads"), crossed.alias("n_crossed"), (crossed <= F.count("spread") * most_crossed).alias("crossed_ok"), (negative == 0).alias("sizes_ok"))
+    found = books.agg(F.count("*").alias("n_rows"), F.count("spread").alias("n_spreads"), crossed.alias("n_crossed"), (crossed <= F.count("spread") * most_crossed).alias("crossed_ok"), (negative == 0).alias("sizes_ok"))
+    counts = [df.agg(F.count("*").alias(name)) for df, name in ((trades_in, "trades_in"), (trades_out, "trades_out"))]
+    return found.crossJoin(counts[0]).crossJoin(counts[1]).withColumn("trades_ok", F.col("trades_in") == F.col("trades_out"))  # one row each
+
+
+def require_gate(gate: DataFrame) -> None:
+    """Raises if any condition of ``depth_gate`` fails."""
+    row = gate.first()
+    failed = [c for c in ("trades_ok", "crossed_ok", "sizes_ok") if not row[c]]
+    if failed:
+        raise ValueError(f"{', '.join(failed)} fails: {row.asDict()}")
 
 
 def null_counts(rows: DataFrame) -> DataFrame:
@@ -30,9 +41,9 @@ def sequence_gaps(rows: DataFrame, stream: str, seq: str) -> DataFrame:
     return found.groupBy(stream).agg(F.count("*").alias("n_gaps"), F.sum(F.col("jump") - 1).alias("missing"), F.max("jump").alias("largest"))
 
 
-def backward_times(rows: DataFrame, key: str, order: str, time: str) -> DataFrame:
-    """Per key: rows whose time is before that of the row ahead of them in arrival order."""
-    back = F.col(time) < F.lag(time).over(Window.partitionBy(key).orderBy(order))
+def backward_times(rows: DataFrame, key: str, order: list[str], time: str) -> DataFrame:
+    """Per key: rows whose time is before that of the row ahead of them in arrival order; ``order`` must leave no ties but of equal times."""
+    back = F.col(time) < F.lag(time).over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("back", back).groupBy(key).agg(F.count_if("back").alias("n_backward"), F.count("*").alias("n"))
 
 
@@ -52,7 +63,9 @@ def time_gaps(rows: DataFrame, key: str, time: str, over: Column | int) -> DataF
     return rows.withColumn("gap", F.col(time) - F.lag(time).over(Window.partitionBy(key).orderBy(time))).where(F.col("gap") > over)
 
 
-def freshness(rows: DataFrame) -> DataFrame:
-    """Per input file folder: files and the time of the latest write."""
+def freshness(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Per input folder: files, those written on the day of ``now``, the time of the latest write and the minutes since."""
+    now = F.current_timestamp() if now is None else now
     files = rows.select("_metadata.file_path", "_metadata.file_modification_time").distinct()
-    return files.groupBy(F.regexp_extract("file_path", r"^(.*)/", 1).alias("folder")).agg(F.count("*").alias("n_files"), F.max("file_modification_time").alias("latest"))
+    found = files.groupBy(F.regexp_extract("file_path", r"^(.*)/", 1).alias("folder")).agg(F.count("*").alias("n_files"), F.count_if(F.to_date("file_modification_time") == F.to_date(now)).alias("n_today"), F.max("file_modification_time").alias("latest"))
+    return found.withColumn("minutes_since", F.floor((F.unix_timestamp(now) - F.unix_timestamp("latest")) / 60))

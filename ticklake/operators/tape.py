@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: the distribution function of a Poisson count of mean 1
+_POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
 
 def candles(trades: DataFrame, width: int, time: str = "t", order: str = "ord") -> DataFrame:
     """Open, high, low, close, volume and count per ticker and bar of ``width`` time units."""
@@ -55,13 +62,26 @@ def quantile_bins(rows: DataFrame, column: str, bins: int, value: str) -> DataFr
 
 
 def bootstrap_mean(rows: DataFrame, key: str, value: str, rounds: int, seed: int = 42) -> DataFrame:
-    """95 % interval of the mean by a Poisson bootstrap: every row draws a weight per round from a hash of its key, so the result doesn't depend on partitions."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
-    # fixed values: the distribution function of a Poisson count of mean 1
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    each = rows.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    means = each.groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    """95 % interval of the mean by a Poisson bootstrap: every row draws a weight per round from a hash of its key, a whole
+    number, so the result doesn't depend on partitions. A task adds up all rounds at once and sends one row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        round_ = (np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        total = np.zeros((2, rounds))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                k, v = (batch.column(c).slice(lo, 1000).to_numpy(zero_copy_only=False) for c in (0, 1))
+                h = (k.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None] ^ round_
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+                weight = np.searchsorted(_POISSON, u)
+                total += np.stack([v.astype(float) @ weight, weight.sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, rounds + 1)), pa.array(total[0]), pa.array(total[1])], ["round", "total", "weight"])
+
+    known = rows.select(F.col(key).cast("bigint"), F.col(value).cast("double")).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    sums = known.mapInArrow(run, "round bigint, total double, weight double")
+    means = sums.groupBy("round").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))
 
 

@@ -30,7 +30,12 @@ def _(t):
     return book.level_state(t.frames)
 
 
-@query("b04_level_state_min_size")
+@query(
+    "b04_level_state_min_size",
+    """, steps as (select ticker, epoch, side, price, list(ord order by ord, change) as ords, list(cast(change as bigint) order by ord, change) as cs from changes group by all),
+    placed as (select ticker, epoch, side, price, ords, cs, unnest(range(1, len(ords) + 1)) as i from steps)
+    select ticker, epoch, side, price, ords[i] as ord, cs[i] as change, list_reduce(list_prepend(0::bigint, cs[1:i]), lambda q, c: case when q + c >= 15 then q + c else 0 end) as qty from placed""",
+)
 def _(t):
     return book.level_state_min_size(t.frames, 15)
 
@@ -91,14 +96,7 @@ def _(t):
 
 @query("b10_lob_history", "select ticker, ord as ts, side, price, qty from resting")
 def _(t):
-    books = book.depth(t.frames)
-    moments = books.select("ticker", "epoch", "ord")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ticker", "epoch", "side", "price").orderBy("ord")
-    states = book.level_state(t.frames).withColumn("until", F.lead("ord").over(w)).where("qty > 0").withColumnRenamed("ord", "since")
-    held = moments.join(states, ["ticker", "epoch"]).where("since <= ord and (until is null or until > ord)")
-    return held.select("ticker", F.col("ord").alias("ts"), "side", "price", "qty")
+    return book.history(t.frames).select("ticker", F.col("ord").alias("ts"), "side", "price", "qty")
 
 
 @query("b11_snapshot_windows", "select ticker, ord, lead(ord) over (partition by ticker order by ord) as until from snapshots")
@@ -128,7 +126,12 @@ def _(t):
     return rows.groupBy("ticker").agg(F.sum(F.abs(F.col("rebuilt") - F.col("snapshot"))).alias("drift"), F.count("*").alias("wrong_levels"), F.countDistinct("epoch").alias("boundaries"))
 
 
-@query("b14_sampled_book")
+@query(
+    "b14_sampled_book",
+    """, seqs as (select ticker, epoch, list([ord] order by ord) as os from allbooks group by all),
+    chosen as (select ticker, epoch, unnest(list_reduce(os, lambda acc, x: case when x[1] - acc[-1] >= 3600000000 then list_append(acc, x[1]) else acc end)) as ord from seqs)
+    select b.* from allbooks b join chosen c on c.ticker = b.ticker and c.epoch = b.epoch and c.ord = b.ord""",
+)
 def _(t):
     return book.best(book.sampled(book.depth(t.frames), DAY_US // 24))
 
@@ -146,12 +149,12 @@ def _(t):
 
 @query(
     "d03_depth_gate",
-    "select count(*) as n_rows, count(spread) as n_spreads, count(*) filter (spread < 0) as n_crossed, count(*) filter (spread < 0) * 20 <= count(spread) as crossed_ok, true as sizes_ok from books",
+    "select count(*) as n_rows, count(spread) as n_spreads, count(*) filter (spread < 0) as n_crossed, count(*) filter (spread < 0) * 20 <= count(spread) as crossed_ok, true as sizes_ok, (select count(*) from trades) as trades_in, (select count(*) from trades where size > 1) as trades_out, (select count(*) from trades where size <= 1) = 0 as trades_ok from books",
 )
 def _(t):
     from ticklake.operators import quality
 
-    return quality.depth_gate(book.valid_books(book.depth(t.frames)))
+    return quality.depth_gate(book.valid_books(book.depth(t.frames)), t.trades, t.trades.where("size > 1"))
 
 
 @query("d06_first_cross_context", ", n as (select *, row_number() over (partition by ticker, epoch order by ord) as rn from allbooks), c as (select n.ticker, n.epoch, n.rn from n join firstcross f on f.ticker = n.ticker and f.epoch = n.epoch and f.ord = n.ord) select n.ticker, n.epoch, n.ord, n.rn - c.rn as offset_rows, n.spread from n join c on c.ticker = n.ticker and c.epoch = n.epoch where n.rn - c.rn between -5 and 10")
@@ -233,8 +236,8 @@ def _(t):
     return book.require_valid(book.depth(t.frames)).agg(F.count("*").alias("n"))
 
 
-@query("d07_freshness", "select count(distinct filename) as n_files from (select 1 as filename)")
+@query("d07_freshness")
 def _(t):
     from ticklake.operators import quality
 
-    return quality.freshness(t("events")).agg(F.sum("n_files").alias("n_files"))
+    return quality.freshness(t("events"))

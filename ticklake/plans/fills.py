@@ -247,7 +247,7 @@ def _(t):
  c as (select *, sum(avail) over (partition by order_id order by at_ord) as cum from h) select order_id, ticker, at_ord as "at", least(remaining, cum) - least(remaining, cum - avail) as filled from c where least(remaining, cum) - least(remaining, cum - avail) > 0""")
 def _(t):
     orders = t.ev.where("event_type = 'view'").select(F.col("event_id").alias("order_id"), "ticker", F.lit("buy").alias("side"), (30 + F.col("k") % 26).alias("price"), F.col("ord").alias("placed"), (F.col("ord") + 86400 * SECOND).alias("until"), (F.col("k") % 3).alias("queue_ahead"), F.lit(5).alias("remaining"))
-    return fills.queue_fills(orders, t.trades)
+    return fills.queue_fills(orders, t.trades, 86_400 * SECOND)
 
 
 @query("j23_quote_lineage", _QUOTES + ", o as (select event_id as order_id, ticker, ord as placed from ev where event_type = 'view'), f as (select event_id as fill_id, event_id - 1 as order_id, ticker from ev where event_type = 'purchase'), p as (select f.fill_id, f.order_id, f.ticker, o.placed from f join o on f.order_id = o.order_id) select p.fill_id, p.order_id, p.ticker, p.placed, q.ord as quoted_at, q.bid, q.ask from p asof left join quotes q on p.ticker = q.ticker and p.placed >= q.ord")

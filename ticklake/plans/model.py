@@ -9,6 +9,7 @@ from ticklake.functions.game import win_probability
 from ticklake.operators import model
 from ticklake.operators.joins import asof
 from ticklake.plans.bridge import query
+from ticklake.plans.scalars import CHANCE, Z
 
 DAY = 86_400_000_000
 #: Scored trades: a made-up probability and outcome per trade, the same on both sides.
@@ -26,11 +27,14 @@ def _(t):
     return asof(t.trades.select("ticker", "ord"), states, ["ticker"], "ord", "ord", ["k"])
 
 
-@query("x05_scored_trades")
+@query("x05_scored_trades", f""", st as (select ticker, ord, k % 21 - 10 as lead, (k * 29 % 2880) * 1.0::double as secs from ev where event_type = 'signup'),
+  al as (select t.ticker, t.ord, t.price, t.user_id, s.ord as asof_on, s.lead, s.secs from trades t asof join st s on t.ticker = s.ticker and t.ord >= s.ord), zs as (select *, case when secs > 0 then {Z} end as z from al where secs <= 2400),
+  ps as (select *, {CHANCE} as p0 from zs) select ticker, ord, price, user_id, asof_on, lead, cast(secs as int) as secs, round(p0, 6) as p, round(case when user_id % 2 = 0 then p0 else 1 - p0 end - price / 100.0, 6) as edge from ps""")
 def _(t):
     states = t.ev.where("event_type = 'signup'").select("ticker", "ord", (F.col("k") % 21 - 10).alias("lead"), (F.col("k") * 29 % 2880).alias("secs"))
     aligned = asof(t.trades.select("ticker", "ord", "price", "user_id"), states, ["ticker"], "ord", "ord", ["lead", "secs"]).where("asof_on is not null and secs <= 2400")
-    return model.score(aligned, F.col("user_id") % 2 == 0)
+    scored = model.score(aligned, F.col("user_id") % 2 == 0)
+    return scored.withColumns({"p": F.round("p", 6), "edge": F.round("edge", 6)})
 
 
 @query("a17_brier", _SCORED + "select count(*) as n, round(avg(pow(p - won, 2)), 6) as model, round(avg(pow(m - won, 2)), 6) as market from scored")
@@ -156,9 +160,9 @@ def _(t):
     return model.match_games(tickers, games).select("c_custkey", "game")
 
 
-@query("ud01_model_callable")
+@query("ud01_model_callable", _SCORED + f", zs as (select *, case when secs > 0 then {Z} end as z from (select ticker, ord, won * 4 - 2 as lead, secs * 1.0::double as secs from scored)) select ticker, ord, round({CHANCE}, 6) as p from zs")
 def _(t):
-    return _scored(t).select("ticker", "ord", win_probability(F.col("won") * 4 - 2, F.col("secs").cast("double")).alias("p"))
+    return _scored(t).select("ticker", "ord", F.round(win_probability(F.col("won") * 4 - 2, F.col("secs").cast("double")), 6).alias("p"))
 
 
 @query("w13_convergence", _SCORED + ", e as (select ticker, min(ord) as entry from scored where abs(p - m) > 0.5 group by ticker), x as (select e.ticker, e.entry, min(s.ord) as out from e left join scored s on s.ticker = e.ticker and s.ord > e.entry and abs(s.p - s.m) < 0.05 group by all) select ticker, entry, out, case when out is null then 'settlement' else 'converged' end as kind from x")
@@ -178,3 +182,12 @@ def _(t):
 def _(t):
     last = F.max("ord").over(Window.partitionBy("ticker"))
     return t.trades.withColumn("last", last).where(F.col("ord") >= F.col("last") - 172_800_000_000).groupBy("ticker").agg(F.min("ord").alias("at_ord"))
+
+
+@query("a28_brier_difference")
+def _(t):
+    from ticklake.operators import tape
+
+    won = F.col("won")
+    rows = _scored(t).withColumn("gap", F.pow(F.col("p") - won, 2) - F.pow(F.col("m") - won, 2))
+    return tape.bootstrap_mean(rows, "ord", "gap", 1000)

@@ -49,6 +49,7 @@ TYPES = {
     "a21_threshold_pnl": "double threshold",
     "j22_parameter_sweep": "double threshold",
     "p17_clock_seconds": "double seconds",
+    "p06_flat_snapshots": "double yes_depth no_depth",
     "p05_p08_flat_frames": "double amount",
 }
 

@@ -35,9 +35,9 @@ def _(t):
     return t.trades.select("ticker", "ord", F.col("price").alias("yes_price"), (100 - F.col("price")).alias("no_price"))
 
 
-@query("p10_seconds_to_ns", "select event_id, cast(trunc((event_id * 0.37::double) * 1e9) as bigint) as ns from events where event_id < 1000")
+@query("p10_seconds_to_ns", "select event_id, cast(trunc((event_id * 0.37::double) * 1e9) as bigint) as ns from events")
 def _(t):
-    return t("events").where("event_id < 1000").select("event_id", money.seconds_to_ns(F.col("event_id") * F.lit(0.37)).alias("ns"))
+    return t("events").select("event_id", money.seconds_to_ns(F.col("event_id") * F.lit(0.37)).alias("ns"))
 
 
 @query("p10_seconds_to_ns_all", "select event_id, cast(trunc((event_id * 0.37::double) * 1e9) as bigint) as ns from events")
@@ -100,22 +100,27 @@ def _(t):
     return t("orders").select("o_orderkey", game.clock_seconds(1 + o % 5, clock).alias("seconds"))
 
 
-_Z = "(lead + 3.5 * secs / 2880) / sqrt(0.44 * secs)"
-#: Phi by its series, exact to more digits than are compared.
-_PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_reduce(list_transform(range(0, 60), lambda n: pow(z, 2 * n + 1) / list_reduce(list_transform(range(0, n + 1), lambda k: (2 * k + 1) * 1.0::double), lambda a, b: a * b)), lambda a, b: a + b)"
+Z = "(lead + 3.5 * secs / 2880) / sqrt(0.44 * secs)"
+#: Phi by its series, nested from the last of 60 terms; right to about 1e-15 for z within 5.
+PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * z * list_reduce(list_prepend(1.0::double, list_transform(range(121, 1, -2), lambda k: k * 1.0::double)), lambda s, k: 1 + z * z / k * s)"
+#: The model's chance from z, lead and secs.
+CHANCE = f"case when secs <= 0 then case when lead > 0 then 1.0 when lead < 0 then 0.0 else 0.5 end when z > 5 then 1.0 when z < -5 then 0.0 else {PHI} end"
 GAME_STATES = "states0 as (select o_orderkey, o_orderkey % 21 - 10 as lead, (o_orderkey % 2880) * 1.0::double as secs from orders)"
 
 
-@query("p18_win_probability", f", {GAME_STATES}, zs as (select *, case when secs > 0 then {_Z} end as z from states0) select o_orderkey, round(case when secs <= 0 then case when lead > 0 then 1.0 when lead < 0 then 0.0 else 0.5 end when z > 5 then 1.0 when z < -5 then 0.0 else {_PHI} end, 2) as p from zs where o_orderkey % 10 = 0")
+_P18 = f", {GAME_STATES}, zs as (select *, case when secs > 0 then {Z} end as z from states0) select o_orderkey, round({CHANCE}, 6) as p from zs"
+
+
+@query("p18_win_probability", _P18)
 def _(t):
     o = F.col("o_orderkey")
-    return t("orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.round(game.win_probability(o % 21 - 10, (o % 2880).cast("double")), 2).alias("p"))
+    return t("orders").select("o_orderkey", F.round(game.win_probability(o % 21 - 10, (o % 2880).cast("double")), 6).alias("p"))
 
 
-@query("p18_win_probability_all")
+@query("p18_win_probability_all", _P18)
 def _(t):
     o = F.col("o_orderkey")
-    return t("orders").select("o_orderkey", F.round(game.win_probability(o % 21 - 10, (o % 2880).cast("double")), 2).alias("p"))
+    return t("orders").select("o_orderkey", F.round(game.win_probability(o % 21 - 10, (o % 2880).cast("double")), 6).alias("p"))
 
 
 @query("p19_fees", "select ticker, ord, round(0.07 * (price / 100.0) * (1 - price / 100.0), 9) as taker, round(0.25 * 0.07 * (price / 100.0) * (1 - price / 100.0), 9) as maker, greatest(1, cast(floor(0.0175 * price * (100 - price) / 100) as int)) as maker_cents, greatest(1, cast(floor(0.0287 * price * (100 - price) / 100) as int)) as taker_cents from trades")
@@ -185,3 +190,43 @@ def _(t):
     flat = frames.flat_deltas(parsed).select("ticker", "seq", F.lit("delta").alias("kind"), "side", "price", F.col("delta").alias("amount"))
     both = flat.unionByName(frames.flat_trades(parsed).select("ticker", "seq", F.lit("trade").alias("kind"), F.col("taker").alias("side"), "price", F.col("size").alias("amount")))
     return both.withColumnRenamed("seq", "ord")
+
+
+def _parsed(rows, kind, msg):
+    """Frames of one kind as the archive has them, through JSON text: ``seq`` is the rows' ord."""
+    from ticklake.sources import frames
+
+    text = F.to_json(F.struct(F.lit("x").alias("source"), F.lit(kind).alias("channel"), (F.col("ord") / 1e6).alias("t_receipt"), F.struct(F.lit(kind).alias("type"), F.col("ord").alias("seq"), F.struct(*msg).alias("msg")).alias("frame")))
+    return frames.parse(rows.select(text.alias("value")))
+
+
+@query(
+    "p06_flat_snapshots",
+    """select ticker, epoch as ord, round(max(price) filter (side = 'yes') / 100.0, 6) as best_bid, round(1 - max(price) filter (side = 'no') / 100.0, 6) as best_ask,
+    round(1 - max(price) filter (side = 'no') / 100.0 - max(price) filter (side = 'yes') / 100.0, 6) as spread, sum(qty) filter (side = 'yes') as yes_depth, sum(qty) filter (side = 'no') as no_depth,
+    count(*) filter (side = 'yes') as yes_levels, count(*) filter (side = 'no') as no_levels from seeds group by ticker, epoch""",
+)
+def _(t):
+    from ticklake.sources import frames
+
+    own = lambda s: F.transform(F.filter("levels", lambda x: x["side"] == s), lambda x: F.array((x["price"] / 100).cast("string"), x["qty"].cast("string"))).alias(f"{s}_dollars_fp")
+    flat = frames.flat_snapshots(_parsed(t.frames.where("kind = 'snapshot'"), "orderbook_snapshot", [F.col("ticker").alias("market_ticker"), own("yes"), own("no")]))
+    rounded = [F.round(c, 6).alias(c) for c in ("best_bid", "best_ask", "spread")]
+    return flat.select("ticker", F.col("seq").alias("ord"), *rounded, "yes_depth", "no_depth", F.col("yes_levels").cast("bigint").alias("yes_levels"), F.col("no_levels").cast("bigint").alias("no_levels"))
+
+
+@query("p08_trade_events", "select ticker as market_ticker, ord as seq, taker as side, price, size from trades where size > 1")
+def _(t):
+    from ticklake.sources import frames
+
+    rows = t.trades.withColumn("taker", F.when(F.col("size") > 1, F.col("taker")).otherwise(""))  # an empty taker makes no trade
+    msg = [F.col("ticker").alias("market_ticker"), (F.col("price") / 100).cast("string").alias("yes_price_dollars"), F.col("size").cast("string").alias("count_fp"), F.col("taker").alias("taker_side")]
+    return frames.trade_events(_parsed(rows, "trade", msg)).select("market_ticker", "seq", "side", "price", "size")
+
+
+@query("p28_private_fills", "select 'fill' as kind, 'T' || ticker as ticker, 'o' || ord as order_id, 'yes' as side, side as action, price, n as count, cast(null as varchar) as status, cast(null as bigint) as position from fills")
+def _(t):
+    from ticklake.sources import frames
+
+    msg = [F.concat(F.lit("T"), "ticker").alias("market_ticker"), F.concat(F.lit("o"), "ord").alias("order_id"), F.lit("yes").alias("side"), F.col("side").alias("action"), (F.col("price") / 100).cast("string").alias("yes_price_dollars"), F.col("n").cast("string").alias("count_fp")]
+    return frames.private_events(_parsed(t.fills, "fill", msg)).drop("t_receipt")

@@ -61,7 +61,7 @@ def _(t):
 
 @query("a05_side_balance", "select day, count(*) filter (taker = 'no') as no, count(*) filter (taker = 'yes') as yes from trades group by day")
 def _(t):
-    counted = t.trades.groupBy("day").pivot("taker", ["no", "yes"]).agg(F.count("*"))
+    counted = t.trades.groupBy("day").pivot("taker", ["no", "yes"]).agg(F.count(F.lit(1)))
     return counted.na.fill(0)
 
 
@@ -118,7 +118,7 @@ def _(t):
 
 @query("a28_bootstrap")
 def _(t):
-    return tape.bootstrap_mean(t.trades, "ord", "price", 200)
+    return tape.bootstrap_mean(t.trades, "ord", "price", 1000)
 
 
 @query("a30_series_scan", "select ticker, count(*) as n, sum(size) as volume, round(median(price) * ln(1 + count(*)) * ln(1 + sum(size)), 6) as score, round(quantile_cont(price, 0.25), 6) as p25, round(quantile_cont(price, 0.75), 6) as p75 from trades group by ticker")
@@ -156,9 +156,9 @@ def _(t):
     return rows.agg(F.round(F.avg("gap"), 3).alias("mean"), F.median("gap").alias("median_gap"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.percentile("gap", F.lit(0.95)), 3).alias("p95"))
 
 
-@query("w01_backward_times", ", x as (select ticker, t < lag(t) over (partition by ticker order by ord) as back from tape) select ticker, count(*) filter (back) as n_backward, count(*) as n from x group by ticker")
+@query("w01_backward_times", ", x as (select ticker, t < lag(t) over (partition by ticker order by ord, t) as back from tape) select ticker, count(*) filter (back) as n_backward, count(*) as n from x group by ticker")
 def _(t):
-    return quality.backward_times(t.tape, "ticker", "ord", "t")
+    return quality.backward_times(t.tape, "ticker", ["ord", "t"], "t")
 
 
 @query("w02_sequence_gaps", ", x as (select sid, seq - lag(seq) over (partition by sid order by seq) as jump from deltas) select sid, count(*) as n_gaps, sum(jump - 1) as missing, max(jump) as largest from x where jump > 1 group by sid")

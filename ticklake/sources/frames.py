@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklake.functions.game import parse_time
 from ticklake.functions.money import dollars_to_cents, parse_size, seconds_to_ns
 
-#: Order of channels among frames received at the same time.
+# fixed values: channel names, in the order of frames received at the same time
 CHANNELS = ("orderbook_snapshot", "orderbook_delta", "trade")
 _TEXTS = ("market_ticker", "market_id", "price_dollars", "delta_fp", "side", "yes_price_dollars", "no_price_dollars", "count_fp", "count", "taker_side", "ts", "order_id", "action", "status", "position")
 _LEVELS = T.ArrayType(T.ArrayType(T.StringType()))
@@ -69,20 +69,28 @@ def _levels(side: str) -> Column:
 
 
 def to_book_frames(parsed: DataFrame) -> DataFrame:
-    """The frames that books are built of, as ``operators.book`` takes them; ``ord`` is the receipt in nanoseconds, stepped by channel and sequence."""
+    """The frames that books are built of, as ``operators.book`` takes them; ``ord`` is the receipt in nanoseconds.
+
+    Frames of a ticker with one receipt are stepped by a nanosecond each, in the order of channel and sequence number;
+    receipts in seconds as doubles lie some 240 of these apart. A stream can't rank rows: there the step is made of the
+    channel and the sequence number's last six bits. Frames without a ticker are left out.
+    """
     kind = F.when(F.col("type") == CHANNELS[0], "snapshot").when(F.col("type") == CHANNELS[1], "delta").when(F.col("type") == CHANNELS[2], "trade")
-    step = F.col("channel_rank") * 64 + F.coalesce(F.pmod("seq", F.lit(64)), F.lit(0))
+    if parsed.isStreaming:
+        step = F.col("channel_rank") * 64 + F.coalesce(F.pmod("seq", F.lit(64)), F.lit(0))
+    else:
+        step = F.row_number().over(Window.partitionBy("msg.market_ticker", "t_receipt").orderBy("channel_rank", "seq", "conn_id")) - 1
     return parsed.select(
         F.col("msg.market_ticker").alias("ticker"), (seconds_to_ns(F.col("t_receipt")) + step).cast("bigint").alias("ord"), kind.alias("kind"), F.coalesce("conn_id", F.lit("")).alias("conn"), "sid", "seq",
         F.col("msg.side").alias("side"), dollars_to_cents(F.col("msg.price_dollars")).alias("price"), parse_size(F.col("msg.delta_fp")).alias("delta"), F.when(kind == "snapshot", F.concat(_levels("yes"), _levels("no"))).alias("levels"),
-    ).where("ticker is not null and kind is not null")
+    ).where("ticker <> '' and kind is not null")
 
 
 def trade_events(parsed: DataFrame) -> DataFrame:
-    """Trades that have ticker, price, count and taker."""
+    """Trades that have ticker, price, count and taker; an empty ticker or taker counts as missing."""
     m = F.col("msg")
     rows = parsed.where(F.col("type") == "trade").select(seconds_to_ns(F.col("t_receipt")).alias("t_receipt_ns"), seconds_to_ns(parse_time(m["ts"])).alias("t_exchange_ns"), m["market_ticker"].alias("market_ticker"), m["taker_side"].alias("side"), dollars_to_cents(m["yes_price_dollars"]).alias("price"), parse_size(m["count_fp"]).cast("int").alias("size"), "sid", "seq")
-    return rows.where("market_ticker is not null and side is not null and price is not null and size is not null")
+    return rows.where("market_ticker <> '' and side <> '' and price is not null and size is not null")
 
 
 def flat_deltas(parsed: DataFrame) -> DataFrame:

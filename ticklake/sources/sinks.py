@@ -8,10 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklake.functions.game import LOWER_COEFFICIENTS, QUARTER, QUARTERS, UPPER_COEFFICIENTS
+from ticklake.operators.book import DEPTH_COLUMNS
+from ticklake.sources import frames
+from ticklake.sources.markets import COUNTS, PRICES, TEXTS, TIMES
+
 #: Columns of the typed event tables.
 TABLES = {
     "OrderBookUpdate": "t_receipt_ns bigint, t_exchange_ns bigint, market_ticker string, bid_yes int, ask_yes int, bid_size int, ask_size int, sid int, seq int",
     "TradeEvent": "t_receipt_ns bigint, t_exchange_ns bigint, market_ticker string, side string, price int, size int, sid int, seq int",
+    "OrderBookDepth": "t_receipt_ns bigint, t_exchange_ns bigint, market_ticker string, seq int, sid int, " + ", ".join(f"{c} int" for c in DEPTH_COLUMNS),
     "BookInvalidated": "t_receipt_ns bigint, market_ticker string",
     "MMQuoteEvent": "t_receipt_ns bigint, market_ticker string, bid_price int, ask_price int, book_bid int, book_ask int, spread int, position int, reason_no_bid string, reason_no_ask string",
     "MMOrderEvent": "t_receipt_ns bigint, market_ticker string, action string, price int, size int, order_id string, reason string, error string",
@@ -19,6 +25,8 @@ TABLES = {
     "MMReconcileEvent": "t_receipt_ns bigint, market_ticker string, field string, internal_value string, actual_value string, action_taken string",
     "MMCircuitBreakerEvent": "t_receipt_ns bigint, state string, consecutive_failures int, last_error string",
 }
+#: The market dimension, without partitions.
+MARKETS = ", ".join([f"{c} string" for c in TEXTS] + [f"{c} timestamp" for c in TIMES] + [f"{c} bigint" for c in COUNTS] + [f"{c} int" for c in PRICES])
 VERSION = 3
 ROW_GROUP = 100_000
 
@@ -78,9 +86,30 @@ def archive(lines: DataFrame, root: str) -> None:
     lines.select("value", "channel", "date", "hour").write.mode("append").option("compression", "gzip").partitionBy("channel", "date", "hour").text(root)
 
 
-def merge_raw(lines: DataFrame, out: str, files: int = 1) -> None:
-    """Non-blank lines of many small files in few gzipped ones, unparsed."""
-    lines.where(F.trim("value") != "").select("value").coalesce(files).write.mode("overwrite").option("compression", "gzip").text(out)
+def merge_raw(lines: DataFrame, out: str, file_bytes: int = 1 << 30) -> None:
+    """Non-blank lines of many small files in as few gzipped ones as ``file_bytes`` of text each allow, unparsed."""
+    rows = lines.where(F.trim("value") != "").select("value")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
+    rows.coalesce(max(1, -(-size // file_bytes))).write.mode("overwrite").option("compression", "gzip").text(out)
+
+
+def write_dated(rows: DataFrame, root: str, dt: str, time: str) -> None:
+    """Replaces one day of a flat table under ``dt=``: bronze deltas, snapshots and trades, or a day's book history in ``lob``."""
+    placed = rows.withColumn("dt", F.lit(dt)).sortWithinPartitions(time)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("dt").parquet(root)
+
+
+def read_dated(spark: SparkSession, root: str, dts: list[str]) -> DataFrame:
+    """The rows of some days, by partition pruning; ``dt`` names each row's."""
+    return spark.read.parquet(root).withColumn("dt", F.col("dt").cast("string")).where(F.col("dt").isin(dts))
+
+
+FLAT = {"orderbook_snapshot": frames.flat_snapshots, "orderbook_delta": frames.flat_deltas, "trade": frames.flat_trades}
+
+
+def materialize(parsed: DataFrame, channel: str, out: str) -> None:
+    """One channel's frames as one flat table, all dates together, sorted by receipt within files."""
+    FLAT[channel](parsed).sortWithinPartitions("t_receipt").write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
 def register(spark: SparkSession, name: str, root: str) -> None:
@@ -89,8 +118,23 @@ def register(spark: SparkSession, name: str, root: str) -> None:
     spark.sql(f"MSCK REPAIR TABLE `{name}`")
 
 
+def register_markets(spark: SparkSession, name: str, root: str) -> None:
+    """An external table over the market dimension's files."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({MARKETS}) USING parquet LOCATION '{root}'")
+
+
+def bbo_view(spark: SparkSession, name: str, depth_table: str, least: int = 50) -> None:
+    """A view of best bid and offer over a depth table, of rows with ``least`` contracts or more on both sides."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT t_receipt_ns, market_ticker, bid_1, bid_1_size, ask_1, ask_1_size, spread, date, v FROM `{depth_table}` WHERE bid_1_size >= {least} AND ask_1_size >= {least}")
+
+
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions for money and probabilities."""
+    """SQL functions for money, clocks and probabilities."""
+    horner = lambda cs: f"{'(' * len(cs)}0D" + "".join(f" * abs(x) + {c!r}D)" for c in cs)
+    tail = f"exp(-x * x / 2) * CASE WHEN abs(x) < 7.07D THEN {horner(UPPER_COEFFICIENTS)} / {horner(LOWER_COEFFICIENTS)} ELSE 0D END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm_cdf(x DOUBLE) RETURNS DOUBLE RETURN CASE WHEN x > 0 THEN 1 - {tail} ELSE {tail} END")
+    own = r"CASE WHEN clock RLIKE '^PT\\d+M[\\d.]+S$' THEN CAST(regexp_extract(clock, '^PT(\\d+)M', 1) AS DOUBLE) * 60 + CAST(regexp_extract(clock, 'M([\\d.]+)S$', 1) AS DOUBLE) ELSE 0D END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION parse_game_clock(period INT, clock STRING) RETURNS DOUBLE RETURN {own} + CASE WHEN period <= {QUARTERS} THEN ({QUARTERS} - period) * {QUARTER} ELSE 0 END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION dollars_to_cents(s STRING) RETURNS INT RETURN CAST(rint(CAST(s AS DOUBLE) * 100) AS INT)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION maker_fee_cents(c INT) RETURNS INT RETURN greatest(1, CAST(0.0175D * c * (100 - c) / 100 AS INT))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION taker_fee(p DOUBLE) RETURNS DOUBLE RETURN 0.07D * p * (1 - p)")

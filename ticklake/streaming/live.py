@@ -7,61 +7,69 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ticklake.operators import book
 from ticklake.sources import frames
 
-EVENT = "ticker string, ord bigint, event string, bid int, bid_size bigint, ask int, ask_size bigint, spread int"
+EVENT = "ticker string, ord bigint, event string, bid int, bid_size bigint, ask int, ask_size bigint, " + ", ".join(f"{c} {book.kind_of(c)}" for c in book.DEPTH_COLUMNS)
 
 
-def read_frames(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Book frames of a folder of JSON-line files that keeps growing."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).where(F.trim("value") != "")
-    return frames.to_book_frames(frames.parse(lines))
+def read_frames(spark: SparkSession, folder: str, files_per_batch: int = 100, bytes_per_batch: int | None = None) -> DataFrame:
+    """Book frames of a folder of JSON-line files that keeps growing; a batch takes so many files, or about so many bytes of them."""
+    return frames.to_book_frames(frames.parse(read_lines(spark, folder, files_per_batch, bytes_per_batch)))
+
+
+def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100, bytes_per_batch: int | None = None) -> DataFrame:
+    limit = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else ("maxFilesPerTrigger", files_per_batch)
+    return spark.readStream.option(*limit).text(folder).where(F.trim("value") != "")
+
+
+def archive(lines: DataFrame, root: str, checkpoint: str, every: str | None = None):
+    """Keeps a stream's lines as they came, by channel, date and hour of receipt, before and apart from what is made of them:
+    a query of its own on the same source, with its own checkpoint, so that neither waits for the other."""
+    parsed = F.from_json("value", frames.FRAME)
+    at = F.timestamp_seconds(F.coalesce(parsed["t_receipt"], F.lit(0.0)))
+    placed = lines.select("value", F.coalesce(parsed["channel"], F.lit("unknown")).alias("channel"), F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"))
+    writer = placed.writeStream.format("text").partitionBy("channel", "date", "hour").option("compression", "gzip").option("path", root).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 class Books(StatefulProcessor):
-    """Keeps one ticker's book. Emits a ``book`` row after each change, ``invalidated`` when a delta crosses the book or
-    the connection changed, and ``need_snapshot`` for deltas without a book. Frames apply in order within a batch."""
+    """Keeps one ticker's book as a vector of 99 YES and 99 NO sizes. Emits a ``book`` row of all depth columns after each
+    change, ``invalidated`` when a delta crosses the book or the connection changed, and ``need_snapshot`` for deltas
+    without a book. Frames apply in order within a batch."""
 
     def __init__(self, least: int = 1, both_sides: bool = False):
         self.least, self.both_sides = least, both_sides
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price int", "qty bigint")
-        self.source = handle.getValueState("source", "conn string, sid bigint, open boolean")
+        self.kept = handle.getValueState("book", "conn string, sid bigint, open boolean, sizes array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        book = {k: v[0] for k, v in self.levels.iterator()}
-        conn, sid, open_ = self.source.get() if self.source.exists() else (None, None, False)
-        out = []
-
-        def best(side):
-            own = [(p, q) for (s, p), q in book.items() if s == side]
-            return max(own) if own else (None, None)
+        conn, sid, open_, sizes = self.kept.get() if self.kept.exists() else (None, None, False, None)
+        sizes = np.array(sizes if sizes is not None else [0] * 198, np.int64)
+        events, states = [], []
 
         def emit(ord_, event):
-            bid, bid_size = best("yes")
-            no, ask_size = best("no")
-            ask = None if no is None else 100 - no
-            spread = None if bid is None or ask is None else ask - bid
-            if event == "book" and (self.both_sides and spread is None):
-                return spread
-            row = (bid, bid_size, ask, ask_size, spread) if event == "book" else (None,) * 5
-            out.append((key[0], ord_, event, *row))
-            return spread
+            if event == "book" and self.both_sides and not (sizes[:99].any() and sizes[99:].any()):
+                return
+            events.append((key[0], ord_, event))
+            states.append(sizes.copy())
 
         for f in batch.itertuples():
             if open_ and f.conn != conn:
-                book.clear()
-                open_ = False
+                sizes[:], open_ = 0, False
                 emit(f.ord, "invalidated")
             if f.kind == "snapshot":
-                book = {(x["side"], x["price"]): x["qty"] for x in f.levels if x["qty"] >= self.least}
+                sizes[:] = 0
+                for x in f.levels:
+                    sizes[_place(x["side"], x["price"])] = x["qty"] if x["qty"] >= self.least else 0
                 conn, sid, open_ = f.conn, None if pd.isna(f.sid) else int(f.sid), True
                 emit(f.ord, "book")
             elif f.kind == "delta":
@@ -70,31 +78,38 @@ class Books(StatefulProcessor):
                     continue
                 if sid is not None and not pd.isna(f.sid) and int(f.sid) != sid:
                     continue
-                at = (f.side, int(f.price))
-                left = book.get(at, 0) + int(f.delta)
-                if left >= self.least:
-                    book[at] = left
-                else:
-                    book.pop(at, None)
-                bid, no = best("yes")[0], best("no")[0]
-                if bid is not None and no is not None and 100 - no < bid:
-                    book.clear()
-                    open_ = False
+                at = _place(f.side, f.price)
+                left = sizes[at] + int(f.delta)
+                sizes[at] = left if left >= self.least else 0
+                yes, no = np.flatnonzero(sizes[:99]), np.flatnonzero(sizes[99:])
+                if len(yes) and len(no) and 99 - no[-1] < yes[-1] + 1:
+                    sizes[:], open_ = 0, False
                     emit(f.ord, "invalidated")
                 else:
                     emit(f.ord, "book")
-        self.levels.clear()
-        for (side, price), qty in book.items():
-            self.levels.updateValue((side, price), (int(qty),))
-        self.source.update((conn, sid, open_))
-        yield pd.DataFrame(out, columns=["ticker", "ord", "event", "bid", "bid_size", "ask", "ask_size", "spread"]).astype({c: "Int64" for c in ("bid", "bid_size", "ask", "ask_size", "spread")})
+        self.kept.update((conn, sid, open_, sizes.tolist()))
+        out = pd.DataFrame(events, columns=["ticker", "ord", "event"])
+        depth = book.rows_of(np.array(states, np.int64).reshape(-1, 198))
+        gone = (out["event"] != "book").to_numpy()
+        whole = {c: pd.array(np.ma.filled(v, 0), "Int64") for c, v in depth.items()}
+        for c, v in depth.items():
+            whole[c][np.ma.getmaskarray(v) | gone] = pd.NA
+        best = {"bid": whole["bid_1"], "bid_size": whole["bid_1_size"], "ask": whole["ask_1"], "ask_size": whole["ask_1_size"]}
+        yield out.assign(**best, **{c: whole[c] for c in book.DEPTH_COLUMNS})
 
     def close(self) -> None:
         pass
 
 
+def _place(side: str, price: int) -> int:
+    return int(price) - 1 if side == "yes" else 98 + int(price)
+
+
 def books(stream: DataFrame, least: int = 1, both_sides: bool = False) -> DataFrame:
-    """Events of all tickers' books; ``least`` and ``both_sides`` give the profile with a minimum size and two-sided rows."""
+    """Events of all tickers' books; ``least`` and ``both_sides`` give the profile with a minimum size and two-sided rows.
+
+    A ticker's book on a connection that is gone is invalidated by the ticker's next frame of another connection.
+    """
     rows = stream.where("kind in ('snapshot', 'delta')").select("ticker", "ord", "kind", "conn", "sid", "side", "price", "delta", "levels")
     return rows.groupBy("ticker").transformWithStateInPandas(Books(least, both_sides), EVENT, "Append", "None")
 
