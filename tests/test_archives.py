@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import random
 import time
 
 import pytest
@@ -27,6 +28,16 @@ def test_range_join_keeps_nulls_and_repeats(spark):
     assert run("left_anti") == sorted([(None, 5, "y"), ("b", 99, "z")], key=repr)
 
 
+def test_asof_in_ranges_equals_one_window(spark):
+    rng = random.Random(4)
+    left = spark.createDataFrame([(rng.choice(["x", "y", None]), rng.choice([None, *range(300)]), i) for i in range(150)], "k string, t int, i int")
+    right = spark.createDataFrame([(rng.choice(["x", "y", None]), rng.choice([None, *range(300)]), v) for v in range(60)], "k string, u int, v int")
+    for exact in (True, False):
+        for forward in (True, False):
+            run = lambda **more: sorted((tuple(r) for r in joins.asof(left, right, ["k"], "t", "u", ["v"], exact, forward, **more).where("t is not null").collect()), key=repr)  # noqa: E731, B023
+            assert run(width=7) == run() == run(width=1000)
+
+
 def test_queue_fills_over_several_buckets(spark):
     orders = spark.createDataFrame([(1, "A", "buy", 50, 95, 205, 2, 5), (2, "A", "sell", 50, 0, 400, 0, 100), (3, "A", "buy", 50, 30, 20, 0, 5)], "order_id int, ticker string, side string, price int, placed long, until long, queue_ahead int, remaining int")
     trades = spark.createDataFrame([("A", 95, 50, 9, "no"), ("A", 101, 50, 4, "no"), ("A", 205, 50, 9, "no"), ("A", 206, 50, 9, "no"), ("A", 150, 50, 3, "yes"), ("A", 150, 51, 3, "no")], "ticker string, ord long, price int, size int, taker string")

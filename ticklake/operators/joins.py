@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str], exact: bool = True, forward: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str], exact: bool = True, forward: bool = False, width: int | None = None) -> DataFrame:
     """``left`` with ``values`` of the right row nearest before (``forward``: after) it under the same keys.
 
     Both sides are stacked and the last right row is carried along the order, so there is one shuffle and no pair is
     tried in vain. With ``exact`` a right row at the same time counts. Among right rows of one time the greatest by
-    ``values`` is taken. Rows without a partner get nulls. A column ``asof_on`` has the partner's time.
+    ``values`` is taken. Rows without a partner get nulls; right rows without a time are no partners. A column ``asof_on`` has the partner's time.
+
+    With ``width`` time is cut into ranges of that length, each worked for itself on top of the last right row of the
+    ranges before it, so that a key with a large part of all rows is spread over tasks.
     """
     tagged_left = left.select(*keys, F.col(left_on).alias("__on"), F.lit(1).alias("__tag"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"), F.lit(None).alias("__seen"))
     carried = F.struct(F.col(right_on).alias("asof_on"), *[F.col(v) for v in values])
-    tagged_right = right.select(*keys, F.col(right_on).alias("__on"), F.lit(0 if exact else 2).alias("__tag"), F.lit(None).alias("__row"), carried.alias("__seen"))
+    tagged_right = right.select(*keys, F.col(right_on).alias("__on"), F.lit(0 if exact else 2).alias("__tag"), F.lit(None).alias("__row"), carried.alias("__seen")).where(F.col("__on").isNotNull())
     both = tagged_left.unionByName(tagged_right)
-    order = [F.col("__on").desc() if forward else F.col("__on"), F.col("__tag"), F.col("__seen")]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("__last", F.last("__seen", ignorenulls=True).over(w)).where(F.col("__tag") == 1)
+    along = lambda c: F.col(c).desc() if forward else F.col(c)
+    order = [along("__on"), F.col("__tag"), F.col("__seen")]
+    if width:
+        both = both.withColumn("__range", F.coalesce(F.floor(F.col("__on") / width).cast("bigint"), F.lit(0)))
+        near = F.struct(-F.col("__on") if forward else F.col("__on"), "__seen")
+        ends = both.groupBy(*keys, "__range").agg(F.max_by("__seen", F.when(F.col("__seen").isNotNull(), near)).alias("__end"))
+        before = Window.partitionBy(*keys).orderBy(along("__range")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("__earlier", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+        own = [ends[k].alias(f"__{k}") for k in keys]
+        ends = ends.select(*own, F.col("__range").alias("__of"), "__earlier")
+        same = F.col("__range") == F.col("__of")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        both = both.join(ends, same, "left")
+    w = Window.partitionBy(*keys, *(["__range"] if width else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("__seen", ignorenulls=True).over(w)
+    seen = both.withColumn("__last", F.coalesce(last, "__earlier") if width else last).where(F.col("__tag") == 1)
     return seen.select(*[F.col(f"__row.{c}").alias(c) for c in left.columns], "__last.*")
 
 

@@ -24,7 +24,7 @@ def _scored(t):
 @query("j01_align_trades", ", snaps as (select ticker, ord, k from snapshots) select t.ticker, t.ord, s.ord as asof_on, s.k from trades t asof left join snaps s on t.ticker = s.ticker and t.ord >= s.ord")
 def _(t):
     states = t.ev.where("event_type = 'signup'").select("ticker", "ord", "k")
-    return asof(t.trades.select("ticker", "ord"), states, ["ticker"], "ord", "ord", ["k"])
+    return asof(t.trades.select("ticker", "ord"), states, ["ticker"], "ord", "ord", ["k"], width=DAY)
 
 
 @query("x05_scored_trades", f""", st as (select ticker, ord, k % 21 - 10 as lead, (k * 29 % 2880) * 1.0::double as secs from ev where event_type = 'signup'),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ticklake.operators.book import DEPTH_COLUMNS
-from ticklake.plans import analytics, books, bridge, fills, model, scalars, tape  # noqa: F401  (each registers its queries)
+from ticklake.plans import analytics, archives, books, bridge, fills, model, scalars, tape  # noqa: F401  (each registers its queries)
 
 #: Columns that DuckDB sums to wider numbers or writes as decimals, with the type that they have here.
 TYPES = {
@@ -51,6 +51,11 @@ TYPES = {
     "p17_clock_seconds": "double seconds",
     "p06_flat_snapshots": "double yes_depth no_depth",
     "p05_p08_flat_frames": "double amount",
+    "s01_k02_archive": "double amount",
+    "s02_k05_merged": "double amount",
+    "k06_d04_compaction": "bigint volume",
+    "k07_materialized_trades": "double size",
+    "k10_history_sink": "bigint qty",
 }
 
 

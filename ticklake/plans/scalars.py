@@ -182,14 +182,19 @@ def _(t):
 def _(t):
     from ticklake.sources import frames
 
+    parsed = frames.parse(archive_lines(t))
+    flat = frames.flat_deltas(parsed).select("ticker", "seq", F.lit("delta").alias("kind"), "side", "price", F.col("delta").alias("amount"))
+    both = flat.unionByName(frames.flat_trades(parsed).select("ticker", "seq", F.lit("trade").alias("kind"), F.col("taker").alias("side"), "price", F.col("size").alias("amount")))
+    return both.withColumnRenamed("seq", "ord")
+
+
+def archive_lines(t):
+    """All deltas and trades as JSON lines of the archive (column ``value``); ``seq`` is the rows' ord."""
     d = t.deltas.select("ticker", "ord", "side", (F.col("price") / 100).cast("string").alias("p"), F.col("delta").cast("string").alias("q"), F.lit("orderbook_delta").alias("type"))
     r = t.trades.select("ticker", "ord", F.col("taker").alias("side"), (F.col("price") / 100).cast("string").alias("p"), F.col("size").cast("string").alias("q"), F.lit("trade").alias("type"))
     msg = F.struct(F.col("ticker").alias("market_ticker"), F.when(F.col("type") == "trade", F.col("p")).alias("yes_price_dollars"), F.when(F.col("type") == "trade", F.col("q")).alias("count_fp"), F.when(F.col("type") == "trade", F.col("side")).alias("taker_side"), F.when(F.col("type") != "trade", F.col("p")).alias("price_dollars"), F.when(F.col("type") != "trade", F.col("q")).alias("delta_fp"), F.when(F.col("type") != "trade", F.col("side")).alias("side"))
     text = F.to_json(F.struct(F.lit("x").alias("source"), F.col("type").alias("channel"), (F.col("ord") / 1e6).alias("t_receipt"), F.struct("type", F.col("ord").alias("seq"), msg.alias("msg")).alias("frame")))
-    parsed = frames.parse(d.unionByName(r).select(text.alias("value")))
-    flat = frames.flat_deltas(parsed).select("ticker", "seq", F.lit("delta").alias("kind"), "side", "price", F.col("delta").alias("amount"))
-    both = flat.unionByName(frames.flat_trades(parsed).select("ticker", "seq", F.lit("trade").alias("kind"), F.col("taker").alias("side"), "price", F.col("size").alias("amount")))
-    return both.withColumnRenamed("seq", "ord")
+    return d.unionByName(r).select(text.alias("value"))
 
 
 def _parsed(rows, kind, msg):

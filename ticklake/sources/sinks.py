@@ -38,10 +38,10 @@ def write_events(rows: DataFrame, root: str, date: str, time: str = "t_receipt_n
     writer.partitionBy("date", "v").parquet(root)
 
 
-def read_events(spark: SparkSession, root: str, date: str | None = None, version: int = VERSION) -> DataFrame:
-    """A table's rows of one version, and of one date if given, by partition pruning."""
+def read_events(spark: SparkSession, root: str, date: str | list[str] | None = None, version: int = VERSION) -> DataFrame:
+    """A table's rows of one version, and of one date or some if given, by partition pruning; ``date`` names each row's."""
     rows = spark.read.parquet(root).where(F.col("v") == version)
-    return rows.where(F.col("date") == date) if date else rows
+    return rows.where(F.col("date").isin(date)) if date else rows
 
 
 def dates(spark: SparkSession, root: str, least: str | None = None) -> DataFrame:
