@@ -3,13 +3,14 @@
 Every page scores its containers by the text that their blocks hold. A container's path, its tags and classes from the
 root with numbers taken alike, gets the page's vote; Spark sums votes per host, and the path with most is where that
 host keeps its articles. Each page is then read again along its host's path, or along its own best container's if the
-page has nothing there.
+page has nothing there. A page is read in time linear in its length, whatever its nesting, quotes or unclosed tags.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ticklake.llm._spark import cut, small_side
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>|<[!?/][^>]*>", re.S)
+OPENS = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 # fixed values: HTML elements by kind
@@ -36,6 +38,7 @@ WORDS = frozenset(
     "comment comments disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "pagination pager widget toolbar skip hidden".split()
 )
+LAYOUT = frozenset("has no with without".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -43,14 +46,23 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _outside(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the element holds no article text, by its tag, role or style."""
     if tag in OUTSIDE:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES or "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return tag not in ("article", "main") and not WORDS.isdisjoint(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES or "display:none" in attributes.get("style", "").replace(" ", "")
+
+
+def _named_outside(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a class or the id names a part without article text; a class such as ``has-sidebar`` names a layout."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if not WORDS.isdisjoint(words) and LAYOUT.isdisjoint(words):
+            return True
+    return False
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -59,118 +71,151 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 class Element:
-    __slots__ = ("linked", "outside", "parent", "path", "score", "tag")
-
-    def __init__(self, tag: str, path: str, outside: bool, linked: bool, parent: Element | None):
-        self.tag, self.path, self.outside, self.linked, self.parent, self.score = tag, path, outside, linked, parent, 0.0
-
-
-def walk(html: str) -> Iterator[tuple[Element, str | None]]:
-    """The open element and each text in it; a block's start or end comes as None."""
-    root = Element("", "", False, False, None)
-    stack, at = [root], 0
-    while at < len(html):
-        m = TOKEN.search(html, at)
-        if m is None:
-            yield stack[-1], html[at:]
-            return
-        if m.start() > at:
-            yield stack[-1], html[at : m.start()]
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
+    """An element of a page; ``path`` names its innermost container's path by a hash of all its steps and the last one."""
+
+    __slots__ = ("block", "container", "holds", "linked", "named", "outside", "parent", "path", "place", "score", "tag")
+
+    def __init__(self, tag: str, path: str, place: int, parent: Element | None, outside: bool, named: bool, linked: bool):
+        self.tag, self.path, self.place, self.parent, self.outside, self.named, self.linked = tag, path, place, parent, outside, named, linked
+        self.holds, self.score = tag in ("article", "main"), 0.0
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.container = self if tag in CONTAINERS else parent and parent.container
+
+
+class Page:
+    """The elements of a page in order, and its pieces: a text with the element that it stands in, or None where a block starts or ends."""
+
+    def __init__(self, html: str):
+        root = Element("", "", 0, None, False, False, False)
+        self.elements, self.pieces = [root], []
+        self.stack, self.open = [root], {}
+        self._walk(html)
+        for e in reversed(self.elements[1:]):
+            e.parent.holds = e.parent.holds or e.holds
+        for e in self.elements[1:]:  # a part named otherwise that holds the article is its frame
+            e.outside = e.outside or e.parent.outside or (e.named and not e.holds)
+
+    def _close(self, place: int) -> None:
+        for e in self.stack[place:]:
+            self.open[e.tag].pop()
+        del self.stack[place:]
+
+    def _last(self, tag: str) -> int:
+        return self.open[tag][-1] if self.open.get(tag) else 0
+
+    def _walk(self, html: str) -> None:
+        stack, at, last, quotes = self.stack, 0, html.rfind(">"), True
+        while at < len(html):
+            m = OPENS.search(html, at)
+            if m is None or m.start() > last:  # no tag ends any more, and no comment
+                comment = html.find("<!--", at)
+                self.pieces.append((stack[-1], html[at : comment if comment >= 0 else len(html)]))
+                return
+            if m.start() > at:
+                self.pieces.append((stack[-1], html[at : m.start()]))
+            if m[1]:
+                end = html.find("-->", m.end())
+                at = end + 3 if end >= 0 else len(html)
+                continue
+            tag, found = (m[3] or "").lower(), quotes and m[3] and QUOTED.match(html, m.end())
+            if m[3] and quotes and not found:
+                quotes = False  # a quote that never closes: none counts from here on
+            at = found.end() if found else html.index(">", m.end()) + 1
+            if not tag:
+                continue
+            if m[2]:
+                if tag in BLOCKS:
+                    self.pieces.append((stack[-1], None))
+                place = self._last(tag)
+                if place and (tag in BLOCKS or place > stack[-1].block.place):  # a stray end of an inline element closes no block
+                    self._close(place)
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                at = html.find(">", end.end()) + 1 if end else 0
+                at = at or len(html)
+                continue
+            text = html[m.end() : at - 1]
             if tag in BLOCKS:
-                yield stack[-1], None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:  # a stray end of an inline element closes no block
-                    break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if tag in BLOCKS:
-            yield stack[-1], None
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if limit := CLOSES_SAME.get(tag):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in limit:
-                    break
-        up = stack[-1]
-        attributes = _attributes(m[3])
-        path = f"{up.path}/{_step(tag, attributes)}" if tag in CONTAINERS else up.path
-        stack.append(Element(tag, path, up.outside or _outside(tag, attributes), up.linked or tag == "a", up))
-
-
-def scores(html: str) -> dict[str, float]:
-    """Per path of containers, the best score of a container there. A text counts in full for the container of its block, in half for the next one out, and so on; text of links counts a quarter."""
-    found: dict[str, float] = {}
-    for element, text in walk(html):
-        if text is None or element.outside or not (size := len(text.strip())):
-            continue
-        worth = size * (0.25 if element.linked else 1.0)
-        while element.tag and element.tag not in BLOCKS:
-            element = element.parent
-        if element.tag in CONTAINERS and element.tag not in ("article", "main", "body", "html"):
-            element = element.parent  # a block of its own: what holds it is the container
-        while element is not None:
-            if element.tag in CONTAINERS:
-                element.score += worth
-                found[element.path] = max(found.get(element.path, 0.0), element.score)
-                worth /= 2
-            element = element.parent
-    return {p: s * (1.25 if re.search(r"/(article|main)[^/]*$", p) else 1.0) for p, s in found.items()}
+                self.pieces.append((stack[-1], None))
+            if tag in VOID or text.endswith("/") and tag not in BLOCKS:
+                continue
+            block = stack[-1].block
+            if tag in CLOSES_P and block.tag == "p":
+                self._close(block.place)
+            if limit := CLOSES_SAME.get(tag):
+                place = self._last(tag)
+                if place and place > max(map(self._last, limit)):
+                    self._close(place)
+            up, attributes = stack[-1], _attributes(text)
+            path = up.path
+            if tag in CONTAINERS:
+                step = _step(tag, attributes)
+                path = f"{blake2b(f'{path}/{step}'.encode(), digest_size=8).hexdigest()}/{step}"
+            e = Element(tag, path, len(stack), up, _outside(tag, attributes), _named_outside(tag, attributes), up.linked or tag == "a")
+            self.open.setdefault(tag, []).append(len(stack))
+            stack.append(e)
+            self.elements.append(e)
+
+    def scores(self) -> dict[str, float]:
+        """Per path of containers, the best score of a container there. A text counts in full for the container of its block, in half for the next one out, and so on; text of links counts a quarter."""
+        for e in self.elements:
+            e.score = 0.0
+        for e, text in self.pieces:
+            if text is None or e.outside or not (size := len(text.strip())):
+                continue
+            block = e.block
+            if block.tag in CONTAINERS and block.tag not in ("article", "main", "body", "html"):
+                block = block.parent  # a block of its own: what holds it is the container
+            if block.container is not None:
+                block.container.score += size * (0.25 if e.linked else 1.0)
+        found: dict[str, float] = {}
+        for e in reversed(self.elements[1:]):
+            if e.container is e and e.score:
+                article = 1.25 if e.tag in ("article", "main") else 1.0
+                found[e.path] = max(found.get(e.path, 0.0), e.score * article)
+                if e.parent.container is not None:
+                    e.parent.container.score += e.score / 2
+        return found
+
+    def text(self, path: str) -> str:
+        """Text of the containers at ``path``; of the whole page if it is empty."""
+        inside = {id(self.elements[0])} if not path else set()
+        parts = []
+        for e in self.elements[1:]:
+            if id(e.parent) in inside or (e.container is e and e.path == path):
+                inside.add(id(e))
+        for e, text in self.pieces:
+            parts.append(" " if text is None or e.outside or id(e) not in inside else unescape(text))
+        return " ".join("".join(parts).split())
 
 
 def read(html: str, path: str | None) -> str:
     """Text of the containers at ``path``; of the page's own best ones if there are none."""
-    for own in (path, None):
-        if own is None:
-            ranked = scores(html)
-            own = max(ranked, key=lambda p: (ranked[p], p)) if ranked else ""
-        parts = []
-        for element, text in walk(html):
-            if element.outside or not (element.path == own or element.path.startswith(f"{own}/")):
-                parts.append(" ")
-            else:
-                parts.append(" " if text is None else unescape(text))
-        if out := " ".join("".join(parts).split()):
-            return out
-        if not path:
-            break
-    return ""
+    page = Page(html)
+    if path and (out := page.text(path)):
+        return out
+    ranked = page.scores()
+    return page.text(max(reversed(ranked), key=ranked.__getitem__) if ranked else "")  # of equal ones the first in the page
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, path, weight = [], [], []
-        for h, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = scores(html.as_py() or "")
-            total = sum(found.values())
-            for p in sorted(found, key=lambda p: (-found[p], p))[:3]:
-                host.append(h)
-                path.append(p)
-                weight.append(round(1000 * found[p] / total))
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(weight, pa.int64())], ["host", "path", "weight"])
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            host, path, weight = [], [], []
+            for h, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                found = Page(html.as_py() or "").scores()
+                total = sum(found.values())
+                for p, score in found.items():
+                    host.append(h)
+                    path.append(p)
+                    weight.append(round(1_000_000 * score / total))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(weight, pa.int64())], ["host", "path", "weight"])
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host`` and the ``path`` with most votes of its pages; a page votes for its three best in proportion to their scores."""
+    """``host`` and the ``path`` with most votes of its pages; a page votes for all its containers' paths in proportion to their scores."""
     rows = pages.select(_host(url), F.col(html).cast("string").alias("html"))
     votes = rows.mapInArrow(_votes, "host string, path string, weight bigint").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     return votes.groupBy("host").agg(F.max(F.struct("weight", "path")).alias("best")).select("host", "best.path")
@@ -195,6 +240,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """Per row: id, url, ``text`` (the article without menus, headers, forms, adverts, comments and the like; blocks joined by one space) and ``n_chars`` (code points).
 
     A null or empty html, and one without text, gives an empty text. Pages without a readable host share the host ``''``.
+    A tag that never ends is text; once a quote in a tag never closes, quotes don't count in the rest of the page. Very
+    long pages and deep nesting are read whole, in time linear in their length, one page at a time.
     Rows are read each for itself; equal rows get equal results; an empty table gives none; other columns are ignored.
     Hosts' paths are broadcast while few; beyond that pages are joined by host, where a large host's part is split.
     """
