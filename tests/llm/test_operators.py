@@ -64,6 +64,40 @@ def test_jaccard_components_equal_brute_force(spark, corpus):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.link(twice).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def test_jaccard_pairs_of_a_large_group_of_near_copies_stay_few(spark, monkeypatch):
+    rng, base, texts = random.Random(12), [f"w{k}" for k in range(110)], []
+    for k in range(3000):  # 0 to 5 changes each: few at 0.85 of each other, all with most of the same shingles
+        own = list(base)
+        for at in rng.sample(range(110), rng.randint(2, 5) if k else 0):
+            own[at] = f"x{k}_{at}"
+        texts.append(" ".join(own))
+    made, crossing = [], jaccard_join._crossing
+
+    def counted(postings, percent):
+        pairs = crossing(postings, percent)
+        made.append((pairs.count(), postings.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_crossing", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(docs(spark, texts), 4, 85).collect()}
+    assert all(pairs <= 4 * postings for pairs, postings in made)
+    sets = [frozenset(zip(*(t.split()[j:] for j in range(4)))) for t in texts]
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in rng.sample(range(3000), 40):  # no link of these with any other is lost
+        for j, other in enumerate(sets):
+            if 100 * len(sets[i] & other) >= 85 * len(sets[i] | other):
+                assert got[i] == got[j]
+    for i, j in {(0, j) for j in range(1, 3000) if 100 * len(sets[0] & sets[j]) >= 85 * len(sets[0] | sets[j])}:
+        up[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(got[j] == 0 for j in range(3000) if find(j) == 0)
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
     for most in (500_000, 10):
@@ -75,8 +109,7 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
 def test_packing_round_trip(spark, corpus):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     reference = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    texts = [*corpus, "<|endoftext|> a", "  two  spaces\t\r\n\nlines ", "naïve café 日本語 \U0001f600", "it's 12'345,67 don't"]
+    texts = [*corpus, " " * 1_000_000, f"a{chr(10) * 600_000}b<|endoftext|>", "<|endoftext|> a", "  two  spaces\t\r\n\nlines ", "naïve café 日本語 \U0001f600", "it's 12'345,67 don't"]
     rows = packing.pack(docs(spark, texts), longest=256).collect()
     for k, t in enumerate(texts):
         own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"])
