@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
+from ticklake.llm._spark import free_names, map_arrow
 from ticklake.llm._text import blocks, grams_counted
 
 #: Label of texts without any letter.
@@ -87,17 +89,21 @@ def _count(order: int):
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", order: int = 4, sample_bytes: int = 4_000_000) -> ContextTrees:
     """Context trees from ``labelled``; rows without label or text are left out.
 
-    Fitted on a sample bounded by ``sample_bytes`` of text in all, dealt evenly among labels: whole rows are drawn by
-    a hash of their text with the rate that meets a label's share. Priors are the labels' shares of all rows.
+    Fitted on a sample bounded by ``sample_bytes`` of text in all, dealt evenly among labels, and by one row more for
+    each: whole rows are drawn by a hash of all their columns, so copies are drawn each for itself, with the rate that
+    meets a label's share. The row of the least hash is always drawn. Priors are the labels' shares of all rows.
     """
-    rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).where("label is not null and text is not null")
-    sizes = {r["label"]: (r["n"], r["size"]) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    plain = [F.col(f"`{f.name}`") for f in labelled.schema.fields if isinstance(f.dataType, AtomicType)]
+    draw = F.pmod(F.xxhash64(*plain), F.lit(1 << 40)).alias("draw")
+    rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), draw).where("label is not null and text is not null")
+    found = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("draw").alias("least")).collect()
+    sizes, least = {r["label"]: (r["n"], r["size"]) for r in found}, {r["label"]: r["least"] for r in found}
     if not sizes:
         return ContextTrees([], [], [], order)
     share = sample_bytes / len(sizes)
-    rate = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, share / max(1, size)))) for k, (_, size) in sizes.items()], F.lit(0.0))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < rate * 1_000_003)
-    counts = drawn.mapInArrow(_count(order), "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    most = {k: max(least[k], int(min(1.0, share / max(1, size)) * (1 << 40))) for k, (_, size) in sizes.items()}
+    drawn = rows.where(F.col("draw") <= F.coalesce(*[F.when(F.col("label") == k, F.lit(m)) for k, m in most.items()], F.lit(-1)))
+    counts = drawn.select("label", "text").mapInArrow(_count(order), "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(sizes)
     found, gram, n = counts["label"].to_numpy(), counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy()
     total = sum(n for n, _ in sizes.values())
@@ -131,9 +137,9 @@ def _score(shared, order: int, names: list[str]):
     return run
 
 
-def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
     """Per row: the columns ``keep`` (the id, if not given), ``lang_pred``, ``score`` (the language's share of the
-    posterior, 0 to 1) and ``bits`` (its code length). These three names must not be in ``keep``.
+    posterior, 0 to 1) and ``bits`` (its code length), the last three as ``names``, which must not be in ``keep``.
 
     Null or empty texts and texts without a letter are ``und`` with score 0; so are all if nothing was learned. Rows
     are scored each for itself, whole; equal texts get equal results; other columns are ignored.
@@ -141,12 +147,11 @@ def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text:
     keep = keep or [doc_id]
     kept = [F.col(f"`{c}`") for c in keep]
     if not trees.languages:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
+        return docs.select(*kept, *[F.lit(x).alias(n) for x, n in zip((UNKNOWN, 0.0, 0.0), names, strict=True)])
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    names = ["lang_pred", "score", "bits"]
     schema = docs.select(*kept, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).alias(names[2])).schema
     for field in schema.fields:
         field.nullable = True
     own = F.col(f"`{text}`").cast("string")
-    with_letters = docs.select(*kept, F.when(own.rlike(r"\p{L}"), own).alias("__text"))
-    return with_letters.mapInArrow(_score(shared, trees.order, [*keep, *names]), schema)
+    with_letters = docs.select(*kept, F.when(own.rlike(r"\p{L}"), own).alias(free_names([*keep, *names], "__text")[0]))
+    return map_arrow(with_letters, _score(shared, trees.order, [*keep, *names]), schema)
