@@ -1,7 +1,8 @@
 """Benchmark decontamination with one FM-index per shard of training texts.
 
-A shard is a few MB of one partition's texts as word symbols. Its index is a suffix array's last column as a wavelet
-matrix, symbol counts and sampled suffix positions. All benchmark phrases are searched backwards at once; the places
+A shard is a few MB of one partition's texts as word symbols; a word that no phrase has is a separator, as is the border
+of two documents. Its index is a suffix array's last column as a wavelet matrix, symbol counts and sampled suffix
+positions. All benchmark phrases are searched backwards at once; the places
 found become spans of words, merged per document.
 """
 
@@ -16,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm._spark import cut
+from ticklake.llm._spark import columns, cut, free_names, map_arrow
 from ticklake.llm._text import Words, blocks, byte_class
 
 #: Bytes of benchmark text in one block of phrases, and blocks that a task searches in one pass.
@@ -145,18 +146,9 @@ def _found(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.n
     if not len(phrases.symbols) or not len(words.hash):
         return none, none, none
     at = np.minimum(np.searchsorted(phrases.vocabulary, words.hash), len(phrases.vocabulary) - 1)
-    known = phrases.vocabulary[at] == words.hash
-    begins = known.copy()
-    begins[1:] &= ~known[:-1] | (words.row[1:] != words.row[:-1])
-    run = np.cumsum(begins)[known] - 1
-    long_enough = np.bincount(run, minlength=1) >= phrases.length.min()  # a shorter run of known words holds no phrase
-    kept = long_enough[run]
-    word, run = np.flatnonzero(known)[kept], run[kept]
-    if not len(word):
-        return none, none, none
-    place = np.arange(len(word)) + np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
+    place = np.arange(len(words.hash)) + words.row
     text, word_of = np.zeros(place[-1] + 2, np.int32), np.zeros(place[-1] + 2, np.int64)
-    text[place], word_of[place] = at[word] + 1, word
+    text[place], word_of[place] = np.where(phrases.vocabulary[at] == words.hash, at + 1, 0), np.arange(len(place))
     index = FMIndex(text, len(phrases.vocabulary))
     lo, hi = index.search(phrases.symbols, phrases.length)
     n = hi - lo
@@ -205,13 +197,13 @@ def _search(shared: list[Broadcast], text: int, texts: str, names: list[str], in
                 item_row = np.concatenate([r for r, _ in held])
                 order = np.argsort(item_row, kind="stable")
                 items = pa.array(np.concatenate([v for _, v in held])[order].tolist(), pa.string())
-                columns = list(part.columns[:before])
+                own = list(part.columns[:before])
                 if texts == "clean":
-                    columns[text] = _without(part.column(text), raw, at, row, words.start[a], words.end[b])
+                    own[text] = _without(part.column(text), raw, at, row, words.start[a], words.end[b])
                 elif texts == "drop":
-                    columns[text] = pa.nulls(rows, pa.string())
-                columns += [pa.array(words_of), _lists(row, pa.array(a - base[row]), rows), _lists(row, pa.array(b + 1 - base[row]), rows), _lists(item_row, items, rows)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    own[text] = pa.nulls(rows, pa.string())
+                own += [pa.array(words_of), _lists(row, pa.array(a - base[row]), rows), _lists(row, pa.array(b + 1 - base[row]), rows), _lists(item_row, items, rows)]
+                yield pa.RecordBatch.from_arrays(own, names)
 
     return run
 
@@ -241,24 +233,27 @@ def _item_words(inside: np.ndarray):
 
 
 def phrase_blocks(benchmark: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> Iterator[Broadcast]:
-    """The benchmark's windows as broadcast blocks, each of about ``BLOCK_BYTES`` of text, made as they are drawn."""
+    """The benchmark's windows as broadcast blocks, each of about ``BLOCK_BYTES`` of text, made as they are drawn from one table dealt by block."""
     inside = byte_class("alnum")
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES)
+    if n > 1:  # read again by block, from files that hold one block's rows or few
+        rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition("block").sortWithinPartitions("block"))
     for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).mapInArrow(_item_words(inside), "item string, words array<bigint>").toArrow()
+        block = rows.where(F.col("block") == k) if n > 1 else rows
+        own = block.select("item", "text").mapInArrow(_item_words(inside), "item string, words array<bigint>").toArrow()
         words = [np.array(w, np.int64).view(np.uint64) for w in own["words"].to_pylist()]
         yield benchmark.sparkSession.sparkContext.broadcast(Phrases(own["item"].to_pylist(), words, width))
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", clean: bool = False, item_id: str = "item_id", benchmark_text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", clean: bool = False, item_id: str = "item_id", benchmark_text: str = "text", found: tuple[str, ...] = ("n_words", "span_starts", "span_ends", "span_items")) -> DataFrame:
     """``docs`` with what benchmark windows cover in each text.
 
     Words are runs of ASCII letters (A-Z as a-z), digits and characters beyond ASCII; a window is ``width`` consecutive
     words of an item, or the whole item if it has fewer. Adds ``n_words``, ``span_starts`` and ``span_ends`` (words,
-    end excluded, merged where they meet) and ``span_items`` (each item with an occurring window once; unordered).
-    These names must not be among ``docs``'s columns. ``text`` comes back with one space for each span if ``clean``,
+    end excluded, merged where they meet) and ``span_items`` (each item with an occurring window once; unordered), as
+    named by ``found``; these names must not be among ``docs``'s columns. ``text`` comes back with one space for each span if ``clean``,
     else null.
 
     Null or empty texts, and all texts if the benchmark is empty, have no spans; items without words match nothing.
@@ -267,11 +262,10 @@ def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str =
     ``BLOCKS_A_PASS`` blocks of phrases; more blocks take more passes over the rows, each
     kept in the checkpoint folder before the next.
     """
-    found = ("n_words", "span_starts", "span_ends", "span_items")
     names = [*docs.columns, *found]
     at, inside = docs.columns.index(text), byte_class("alnum")
-    columns = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    out = docs.select(*columns, F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("span_starts"), F.array().cast("array<bigint>").alias("span_ends"), F.array().cast("array<string>").alias("span_items"))
+    kept = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    out = docs.select(*kept, F.lit(0).cast("bigint").alias(found[0]), *[F.array().cast(f"array<{kind}>").alias(c) for kind, c in zip(("bigint", "bigint", "string"), found[1:], strict=True)])
     schema = out.schema
     for f in schema.fields:
         f.nullable = True
@@ -280,14 +274,14 @@ def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str =
     while True:
         later = list(islice(shared, BLOCKS_A_PASS))
         texts = "keep" if later else "clean" if clean else "drop"
-        out = out.mapInArrow(_search(own, at, texts, names, inside), schema)
+        out = map_arrow(out, _search(own, at, texts, names, inside), schema)
         if not later:
             break
         out = cut(out)
         for broadcast in own:
             broadcast.destroy()
         own = later
-    return out.withColumn("span_items", F.array_distinct("span_items"))
+    return out.withColumn(found[3], F.array_distinct(found[3]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,5 +299,6 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with each merged span of benchmark words replaced by one space; every row and all other columns stay."""
-    return spans(docs, benchmark, width, doc_id, text, clean=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with each merged span of benchmark words replaced by one space; every row and all other columns stay, whatever their names."""
+    found = tuple(free_names(docs.columns, "n_words", "span_starts", "span_ends", "span_items"))
+    return spans(docs, benchmark, width, doc_id, text, clean=True, found=found).select(*columns(docs))
