@@ -1,8 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are compared by their words. Of equal lines the earliest stays. A line of ``min_words`` words or more is dropped
-too if an earlier one of that size is within one edit of it: a word replaced, inserted or deleted. Every such line emits
-the variants that lack one word, as hashed keys with their length:
+Lines are compared by their words. Of equal lines the earliest stays. Near lines may differ in a share of their words
+only, one in ``min_words``, and in one at most: a line of so many words is dropped too if an earlier one of that size is
+within one edit of it, a word replaced, inserted or deleted. In fewer words one edit makes another line, and unrelated
+short lines lie within it by chance. Every line that may have near ones emits the variants that lack one word, as hashed
+keys with their length:
 
 * two lines of equal length with equal variants at the same place differ by one replaced word;
 * a variant that equals a shorter line means one inserted or deleted word.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklake.llm._spark import BROADCAST_IDS, cut, small_side
+from ticklake.llm._spark import BROADCAST_IDS, cut, free_names, small_side
 
 #: White space that is one space: all of ASCII's but the newline, which ends a line.
 SPACE = r"[\x20\x09\x0B-\x0D]+"
@@ -119,7 +121,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 10, counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with each text's lines but for those that repeat an earlier line or are within one edit of it.
 
     Lines end at newlines and are compared in lower case with white space as one space; earlier means a lower id, then a
@@ -130,20 +132,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """
     if min_words < 3:
         raise ValueError("min_words must be 3 at least")
+    own_doc, own_kept, own_lines = free_names(docs.columns, "__doc", "__kept", "__lines")
     named = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text)
     distinct = cut(earliest_lines(named, doc_id, text, min_words))
     near = _near(named, distinct, doc_id, text)
-    kept = distinct.join(near, ["doc", "line"], "left_anti").groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("line").alias("__kept"))
-    lines = F.col("__lines")
+    kept = distinct.join(near, ["doc", "line"], "left_anti").groupBy(F.col("doc").alias(own_doc)).agg(F.collect_list("line").alias(own_kept))
+    lines = F.col(own_lines)
     places = F.sequence(F.lit(0), F.size(lines) - 1)
     blank = F.filter(places, lambda i: _blank(F.element_at(lines, i + 1)))
-    stay = F.array_sort(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
+    stay = F.array_sort(F.array_union(F.coalesce(own_kept, F.array().cast("array<int>")), blank))
     stay = F.when(F.col(doc_id).isNull(), places).otherwise(F.filter(stay, lambda i: i < F.size(lines)))
     new = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
-    joined = docs.join(kept, docs[doc_id] == F.col("__doc"), "left").withColumn("__lines", _lines(F.col(text)))
+    joined = docs.join(kept, docs[doc_id] == F.col(own_doc), "left").withColumn(own_lines, _lines(F.col(text)))
     out = [F.when(F.col(text).isNotNull(), new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         n = F.when(F.col(text).isNotNull(), F.size(F.filter(lines, lambda x: ~_blank(x)))).otherwise(0)
-        k = F.when(F.col(doc_id).isNull(), n).otherwise(F.coalesce(F.size("__kept"), F.lit(0)))
+        k = F.when(F.col(doc_id).isNull(), n).otherwise(F.coalesce(F.size(own_kept), F.lit(0)))
         out += [n.cast("bigint").alias(counts[0]), k.cast("bigint").alias(counts[1])]
     return joined.select(*out)

@@ -27,7 +27,7 @@ with raw as (
 ), firsts as (
   select norm, min((doc_id, line)) as pos from lines where norm <> '' group by norm
 ), long as (
-  select pos, string_split(norm, ' ') as w from firsts where len(string_split(norm, ' ')) >= 10
+  select pos, string_split(norm, ' ') as w from firsts where len(string_split(norm, ' ')) >= 5
 ), cut as (
   select pos, len(w) as n, i, list_concat(w[1:i - 1], w[i + 1:]) as rest from (select pos, w, unnest(range(1, len(w) + 1)) as i from long)
 ), replaced as (
