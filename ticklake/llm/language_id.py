@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
+from pyspark.sql.types import AtomicType, StringType
 
-from ticklake.llm._spark import free_names, map_arrow
+from ticklake.llm._spark import map_arrow
 from ticklake.llm._text import blocks, grams_counted
 
 #: Label of texts without any letter.
@@ -110,13 +110,13 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", order: i
     return ContextTrees(names, [sizes[k][0] / total for k in names], [(gram[found == k], n[found == k]) for k in names], order)
 
 
-def _score(shared, order: int, names: list[str]):
-    """Adds three columns in place of the last one, the text."""
+def _score(shared, order: int, text: int, keep: int, names: list[str]):
+    """Adds three columns to the first ``keep`` ones; column ``text`` is the text, the last one says whether it has letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
         for batch in batches:
-            for part, raw, at in blocks(batch, batch.num_columns - 1, 2_000_000):
+            for part, raw, at in blocks(batch, text, 2_000_000):
                 total = np.tile(trees.prior_bits, (part.num_rows, 1))
                 step = 4_000_000
                 for lo in range(0, len(raw), step):  # a very long row stands alone; its bytes are taken in pieces
@@ -129,10 +129,10 @@ def _score(shared, order: int, names: list[str]):
                     for k in range(len(trees.languages)):
                         total[:, k] += np.bincount(row, weights=bits[code, k], minlength=part.num_rows)
                 best = total.argmin(1)
-                some = np.diff(at) > 0
+                some = (np.diff(at) > 0) & part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
                 score = np.where(some, 1 / np.exp2(total.min(1)[:, None] - total).sum(1), 0.0)
                 found = [trees.languages[i] if ok else UNKNOWN for i, ok in zip(best, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(score), pa.array(np.where(some, total.min(1), 0.0))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(found, pa.string()), pa.array(score), pa.array(np.where(some, total.min(1), 0.0))], names)
 
     return run
 
@@ -153,5 +153,6 @@ def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text:
     for field in schema.fields:
         field.nullable = True
     own = F.col(f"`{text}`").cast("string")
-    with_letters = docs.select(*kept, F.when(own.rlike(r"\p{L}"), own).alias(free_names([*keep, *names], "__text")[0]))
-    return map_arrow(with_letters, _score(shared, trees.order, [*keep, *names]), schema)
+    inside = text in keep and isinstance(docs.schema[text].dataType, StringType)  # then the text isn't sent twice
+    rows = docs.select(*kept, *([] if inside else [own]), F.coalesce(own.rlike(r"\p{L}"), F.lit(False)))
+    return map_arrow(rows, _score(shared, trees.order, keep.index(text) if inside else len(keep), len(keep), [*keep, *names]), schema)
