@@ -25,14 +25,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the application in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, as compressed Parquet, and read again, which ends the lineage.
 
     Results may still be read from these files when they are computed, so none is deleted here. All of an application's
     lie under its id in the checkpoint folder, which may go once the application has ended.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid4().hex}"
+    spark, path = df.sparkSession, kept_folder(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

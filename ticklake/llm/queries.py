@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ticklake.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality, toxicity, vector_dedup
-from ticklake.llm._spark import fold, table
+from ticklake.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, merkle, oracles, packing, quality, toxicity, vector_dedup, warc
+from ticklake.llm._spark import fold, kept_folder, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,18 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = kept_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), f"{folder}/written")
+    warc.deduplicate(spark, f"{folder}/written", f"{folder}/deduplicated")
+    found = warc.with_originals(warc.read(spark, f"{folder}/deduplicated", payloads=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,6 +111,8 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op12_merkle_manifest": oracles.OP12_SQL, "op13_warc": oracles.OP13_SQL}
