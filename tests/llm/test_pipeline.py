@@ -68,4 +68,4 @@ def test_stages_on_no_documents(spark, sf_dir):
 
 def test_ten_operators_and_the_pipeline_are_registered():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"] and set(queries.ORACLES) <= set(names)
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"] and set(queries.ORACLES) <= set(names)

@@ -62,3 +62,30 @@ with rows as (
 )
 select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from named
 """
+
+OP11_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), numbered as (
+  select lang, row_number() over () as p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+), grams as (
+  select lang, k, w[i:i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest([1, 2, 3, 4, 5]) as k from numbered) where len(w) >= k)
+), counts as (
+  select lang, k, g, count(*) as f from grams group by all
+), totals as (
+  select lang, sum(f)::bigint as n from counts where k = 1 group by lang
+), found as (
+  select lang, k, g, f from counts where k > 1 and f >= 100
+), inner_ as (
+  select lang, part, max(f) as longer from (select lang, f, unnest([g[1:k - 1], g[2:k]]) as part from found where k > 2) group by all
+), cuts as (
+  select c.lang, c.g, c.f as a, t.n, j, l.f as l, r.f as r, (1000::hugeint * c.f * t.n) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, k)) as j from found) c join totals t on t.lang = c.lang join counts l on l.lang = c.lang and l.g = c.g[1:j] join counts r on r.lang = c.lang and r.g = c.g[j + 1:]
+  left join inner_ i on i.lang = c.lang and i.part = c.g where i.part is null or 100 * i.longer < 100 * c.f
+), scored as (
+  select lang, array_to_string(g, ' ') as phrase, a, n, min((score, j, l, r)) as best from cuts group by lang, g, a, n
+), ranked as (
+  select lang, phrase, a, best[3] as l, best[4] as r, n, best[1]::bigint as score, row_number() over (partition by lang order by best[1] desc, a desc, phrase) as rank from scored
+)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ticklake.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, merkle, oracles, packing, quality, toxicity, vector_dedup, warc
+from ticklake.llm import collocations, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, merkle, oracles, packing, quality, toxicity, vector_dedup, warc
 from ticklake.llm._spark import fold, kept_folder, table
 
 
@@ -88,6 +88,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.mine(table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), merkle.tampered())
 
@@ -111,8 +115,9 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op12_merkle_manifest": oracles.OP12_SQL, "op13_warc": oracles.OP13_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_collocations": oracles.OP11_SQL, "op12_merkle_manifest": oracles.OP12_SQL, "op13_warc": oracles.OP13_SQL}
