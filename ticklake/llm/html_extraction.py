@@ -33,12 +33,20 @@ CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 # fixed values: elements, roles and class or id words that hold no article text
 OUTSIDE = frozenset("nav header footer aside form button select option dialog menu svg canvas object audio video map head input label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar side footer header masthead breadcrumb breadcrumbs "
-    "comment comments disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "pagination pager widget toolbar skip hidden".split()
+# what a class or id says by its last word: parts that never hold the article, and those that do where they are its frame or its own heading
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+COMMENT_PARTS = frozenset("author avatar count date footer header meta metadata name text time title".split())
+PARTS = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
+    "cookie cookies consent gdpr alert popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar".split()
 )
-LAYOUT = frozenset("has no with without".split())
+FRAMES = frozenset("header footer side masthead banner notice notices overlay skip hidden".split())
+# words about place and shape, which say nothing of what a part holds; words of the article; and of a layout
+OTHERS = frozenset("articles posts stories reading content".split())  # after related and the like
+SHAPES = frozenset("list lists item items wrap wrapper container section area box block body inner outer holder thread form content unit slot bar row col column group panel top bottom left right primary secondary mobile desktop sticky fixed links link button buttons icons".split())
+ARTICLE = frozenset("article post entry story news blog".split())
+HEADED = ARTICLE | frozenset("page content text main".split())
+LAYOUT = frozenset("has no with without is".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -54,15 +62,35 @@ def _outside(tag: str, attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES or "display:none" in attributes.get("style", "").replace(" ", "")
 
 
-def _named_outside(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether a class or the id names a part without article text; a class such as ``has-sidebar`` names a layout."""
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _named(tag: str, attributes: dict[str, str]) -> int:
+    """What the classes and the id name: 0 nothing, 1 the frame of a page or a part beside the article, 2 a part that holds none whatever is in it.
+
+    A name counts by its last word that isn't about place or shape: ``article-comments`` are comments, ``comment-on-policy``
+    isn't one. ``header`` and the like of an article, such as ``entry-header``, are its own. An inline element counts by
+    whole names that are one word only, an ``article`` or ``main`` by comments only.
+    """
+    if not attributes or tag in ("html", "body"):
+        return 0
+    if "comment" in attributes.get("itemtype", "").lower().rpartition("/")[2] or attributes.get("itemprop", "").lower() == "comment":
+        return 2
+    most = 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
-        if not WORDS.isdisjoint(words) and LAYOUT.isdisjoint(words):
-            return True
-    return False
+        words = [w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if len(w) > 1]
+        if not words or not LAYOUT.isdisjoint(words[:-1]) or (tag not in BLOCKS and len(words) > 1):
+            continue
+        shaped = len(words)
+        while len(words) > 1 and words[-1] in SHAPES:
+            words.pop()
+        head = words[0] if words[-1] in OTHERS and words[0] in ("related", "recommended", "sponsored") else words[-1]
+        if head in COMMENTS or (words[0] in COMMENTS and head in COMMENT_PARTS):
+            return 2
+        if tag in ("article", "main"):
+            continue
+        if head in FRAMES and (HEADED if head == "header" else ARTICLE).isdisjoint(words[:-1]):
+            most = 1
+        elif head in PARTS:  # as in content-sidebar-wrap, a part with a shape may be named for what stands in it
+            most = max(most, 1 if shaped > len(words) and (head in ("sidebar", "nav", "menu") or not HEADED.isdisjoint(words)) else 2)
+    return most
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -73,11 +101,12 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 class Element:
     """An element of a page; ``path`` names its innermost container's path by a hash of all its steps and the last one."""
 
-    __slots__ = ("block", "container", "holds", "linked", "named", "outside", "parent", "path", "place", "score", "tag")
+    __slots__ = ("block", "container", "framed", "holds", "linked", "named", "outside", "parent", "path", "place", "score", "tag")
 
-    def __init__(self, tag: str, path: str, place: int, parent: Element | None, outside: bool, named: bool, linked: bool):
+    def __init__(self, tag: str, path: str, place: int, parent: Element | None, outside: bool, named: int, linked: bool):
         self.tag, self.path, self.place, self.parent, self.outside, self.named, self.linked = tag, path, place, parent, outside, named, linked
-        self.holds, self.score = tag in ("article", "main"), 0.0
+        self.holds, self.score = tag if tag in ("article", "main") and not outside and named < 2 else "", 0.0
+        self.framed = False
         self.block = self if parent is None or tag in BLOCKS else parent.block
         self.container = self if tag in CONTAINERS else parent and parent.container
 
@@ -86,14 +115,20 @@ class Page:
     """The elements of a page in order, and its pieces: a text with the element that it stands in, or None where a block starts or ends."""
 
     def __init__(self, html: str):
-        root = Element("", "", 0, None, False, False, False)
+        root = Element("", "", 0, None, False, 0, False)
         self.elements, self.pieces = [root], []
         self.stack, self.open = [root], {}
         self._walk(html)
+        for e in self.elements[1:]:
+            e.outside = e.outside or e.named == 2 or e.parent.outside
+            e.framed = e.named == 1 or e.parent.framed
+        free = any(e.holds and not e.framed and not e.outside for e in self.elements)
         for e in reversed(self.elements[1:]):
-            e.parent.holds = e.parent.holds or e.holds
-        for e in self.elements[1:]:  # a part named otherwise that holds the article is its frame
-            e.outside = e.outside or e.parent.outside or (e.named and not e.holds)
+            if e.holds and not e.outside:  # a main counts more than an article
+                e.parent.holds = max(e.parent.holds, e.holds)
+        for e in self.elements[1:]:  # a frame is kept for the page's main part, or for its articles where none stands free
+            kept = e.holds == "main" or (e.holds == "article" and not free)
+            e.outside = e.outside or e.parent.outside or (e.named == 1 and not kept)
 
     def _close(self, place: int) -> None:
         for e in self.stack[place:]:
@@ -152,7 +187,7 @@ class Page:
             if tag in CONTAINERS:
                 step = _step(tag, attributes)
                 path = f"{blake2b(f'{path}/{step}'.encode(), digest_size=8).hexdigest()}/{step}"
-            e = Element(tag, path, len(stack), up, _outside(tag, attributes), _named_outside(tag, attributes), up.linked or tag == "a")
+            e = Element(tag, path, len(stack), up, _outside(tag, attributes), _named(tag, attributes), up.linked or tag == "a")
             self.open.setdefault(tag, []).append(len(stack))
             stack.append(e)
             self.elements.append(e)
