@@ -23,6 +23,8 @@ VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identica
 URN = "urn:x-page:"
 #: Rows of revisits, or of digests, up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: How hard archives are compressed, by Hadoop's name for it.
+LEVEL = "BEST_SPEED"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -63,15 +65,15 @@ def _record(kind: Column, page_id: Column, url: Column, digest: Column, size: Co
     return F.concat(head, F.lit("\r\n\r\n"), http, F.when(revisit, F.lit("")).otherwise(payload), F.lit("\r\n\r")).alias("value")
 
 
-def _save(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+def _save(records: DataFrame, path: str, level: str) -> None:
+    records.write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", level: str = LEVEL) -> None:
     """A response record per row in gzipped WARC files under ``path``; a null html has an empty payload, a null address no header."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     none = F.lit(None).cast("string")
-    _save(pages.select(_record(F.lit("response"), F.col(page_id), F.col(url).cast("string"), base32_sha1(payload), F.octet_length(payload).cast("bigint"), payload, none, none)), path)
+    _save(pages.select(_record(F.lit("response"), F.col(page_id), F.col(url).cast("string"), base32_sha1(payload), F.octet_length(payload).cast("bigint"), payload, none, none)), path, level)
 
 
 class Archive:
@@ -200,7 +202,7 @@ def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
     return repeats.where("file <> of_file or number <> of_number").select("file", "number", "refers_to", "refers_to_url", "full_bytes")
 
 
-def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0, id_type: str = "bigint") -> None:
+def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0, id_type: str = "bigint", level: str = LEVEL) -> None:
     """The archives under ``source`` written to ``target`` with fresh headers: each payload once, its other records as revisits of it.
 
     Revisits that ``source`` already has are resolved too: they refer to the original of their digest, or keep what they
@@ -212,7 +214,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0, i
     repeats = F.coalesce(F.col("repeats"), F.lit(False)) | (F.col("record_type") == "revisit")
     payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     refers = F.when(F.col("repeats"), F.col("original")).otherwise(F.col("refers_to"))
-    _save(records.select(_record(F.when(repeats, "revisit").otherwise("response"), F.col("page_id"), F.col("url"), F.col("payload_digest"), F.coalesce("payload_bytes", "full_bytes", F.lit(0).cast("bigint")), payload, refers, F.col("refers_to_url"))), target)
+    _save(records.select(_record(F.when(repeats, "revisit").otherwise("response"), F.col("page_id"), F.col("url"), F.col("payload_digest"), F.coalesce("payload_bytes", "full_bytes", F.lit(0).cast("bigint")), payload, refers, F.col("refers_to_url"))), target, level)
 
 
 def with_originals(records: DataFrame) -> DataFrame:
