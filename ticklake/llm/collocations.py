@@ -1,13 +1,14 @@
 """Phrases whose words keep company, counted with a bidirectional FM-index per shard of the corpus.
 
-A shard is a few MB of one partition's texts as word codes; 0 stands where a phrase can't go on: at a piece's end and at
-words that are too rare. Its index is the Burrows-Wheeler transform, as a wavelet matrix, of the codes and of the codes
-backwards. A phrase is one interval in each; one step gives all words that stand right (or left) of all phrases, with
-their counts. Suffixes are ordered no deeper than phrases are long. Shards' counts are summed by Spark.
-
-A phrase is frequent only if its words and pairs of words are, so shards learn which of their own words, and then pairs,
-are frequent over the whole corpus before they go on to longer phrases. What returns to a shard is what it sent: tables
-that grow with the corpus are shuffled, and nothing of them goes through the driver.
+A shard is a few MB of one partition's texts as word ids; 0 stands where a phrase can't go on: at a piece's end, at words
+that are too rare and between two words that are too rare together. Its index is the Burrows-Wheeler transform, as a
+wavelet matrix, of the ids and of the ids backwards. A phrase is one interval in each; one step gives all words that stand
+right (or left) of all phrases, with their counts. Suffixes are ordered no deeper than phrases are long. Shards' counts
+are summed by Spark.
+
+A phrase is frequent only if its words and pairs of words are, so shards learn which words, and then pairs, are frequent
+over the whole corpus before they go on to longer phrases: by broadcast while these are few, else each shard its own by a
+shuffle.
 """
 
 from __future__ import annotations
@@ -15,20 +16,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklake.llm._spark import cut, map_arrow, small_side
+from ticklake.llm._spark import cut, map_arrow
 from ticklake.llm._text import LOWER, Words, blocks, mix
+from ticklake.llm.merkle import ranked
 
 SHARD_BYTES = 4_000_000
 #: Positions of a shard whose extensions are looked up at once.
 SPAN = 400_000
-#: Frequent words, or pairs of them, up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: Frequent words, and pairs of them, up to which they are broadcast; words take some 20 bytes each, pairs 8.
+BROADCAST_WORDS, BROADCAST_PAIRS = 1_000_000, 2_000_000
 
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,6 +39,9 @@ INSIDE = ~ENDS
 INSIDE[[0x20, 0x09]] = False
 
 
+LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A bit vector with the number of ones before any place: 64 bits and a count to a word."""
 
@@ -44,13 +50,12 @@ class Bits:
         packed[: -(-len(bit) // 8)] = np.packbits(bit, bitorder="little")
         self.words = packed.view(np.uint64)
         count = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.cumsum(count) - count
         self.total = int(count.sum())
+        self.before = (np.cumsum(count) - count).astype(np.int32)
 
     def ones(self, place: np.ndarray) -> np.ndarray:
         word = place >> 6
-        low = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before[word] + np.bitwise_count(self.words[word] & LOW[place & 63])
 
 
 class Wavelet:
@@ -64,12 +69,12 @@ class Wavelet:
             self.levels.append((ones, len(sequence) - ones.total))
             sequence = np.concatenate([sequence[~bit], sequence[bit]])
         first = np.flatnonzero(np.concatenate([[True], sequence[1:] != sequence[:-1]]))
-        self.start = np.zeros(1 << bits, np.int64)  # of each symbol's run below the last level
+        self.start = np.zeros(1 << bits, np.int32)  # of each symbol's run below the last level
         self.start[sequence[first]] = first
 
     def symbols(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
         """Interval, symbol, and the symbol's occurrences before lo and before hi, by interval, symbols ascending."""
-        of, symbol = np.arange(len(lo)), np.zeros(len(lo), np.int64)
+        of, symbol = np.arange(len(lo), dtype=np.int32), np.zeros(len(lo), np.int32)
         for ones, zeros in self.levels:
             a, b = ones.ones(lo), ones.ones(hi)
             both = lambda x, y: np.stack([x, y], 1).ravel()
@@ -81,15 +86,15 @@ class Wavelet:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes by their first ``depth`` symbols, by doubling."""
+    """An order of the suffixes by their first ``depth`` symbols, by doubling; those alike so far stand in any order."""
     rank, known = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while known < depth:
         step = min(known, depth - known)
         after = np.zeros(len(rank), np.int64)
         after[:-step] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         held = key[order]
         rank[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
         known += step
@@ -100,9 +105,8 @@ class Side:
     """The index of one direction: what stands before each suffix, and where each symbol's suffixes begin."""
 
     def __init__(self, text: np.ndarray, depth: int, symbols: int):
-        before = text[suffix_order(text, depth) - 1]
-        self.wave, self.stops = Wavelet(before, max(1, symbols.bit_length())), Bits(before == 0)
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
+        self.wave = Wavelet(text[suffix_order(text, depth) - 1], max(1, symbols.bit_length()))
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))]).astype(np.int32)
 
 
 class Index:
@@ -113,26 +117,21 @@ class Index:
         self.right, self.left = side  # extending right reads the text backwards
 
     def single(self) -> Phrases:
-        words = np.arange(1, self.symbols + 1)
+        words = np.arange(1, self.symbols + 1, dtype=np.int32)
         return Phrases(words[:, None], *[s.below[words + k] for s in (self.left, self.right) for k in (0, 1)])
 
-    def stops(self, of: Phrases, right: bool) -> np.ndarray:
-        """How often each phrase has no symbol on that side."""
-        side, (lo, hi) = (self.right, of.back) if right else (self.left, of.ahead)
-        return side.stops.ones(hi) - side.stops.ones(lo)
-
     def extend(self, of: Phrases, right: bool) -> Phrases:
         """All phrases of one word more on that side."""
         side, own, other = (self.right, of.back, of.ahead) if right else (self.left, of.ahead, of.back)
         found = [side.wave.symbols(own[0][s], own[1][s]) for s in of.parts()]
         base = [s.start for s in of.parts()]
         if not found:
-            none = np.zeros(0, np.int64)
-            return Phrases(np.zeros((0, of.words.shape[1] + 1), np.int64), none, none, none, none)
-        which = np.concatenate([f[0] + b for f, b in zip(found, base, strict=True)])
+            none = np.zeros(0, np.int32)
+            return Phrases(np.zeros((0, of.words.shape[1] + 1), np.int32), none, none, none, none)
+        which = np.concatenate([f[0] + np.int32(b) for f, b in zip(found, base, strict=True)])
         symbol, a, b = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
         width = b - a
-        before = np.cumsum(width) - width
+        before = np.cumsum(width, dtype=np.int32) - width
         first = np.searchsorted(which, np.arange(len(of.words)))  # every interval holds a symbol
         lo = other[0][which] + before - before[first][which]  # suffixes after the phrase, by the next symbol
         on = symbol > 0
@@ -170,7 +169,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             lang = part.column(1).fill_null("und").dictionary_encode()
             row_lang = lang.indices.to_numpy()[words.row]
-            _, first, code = np.unique(mix(words.hash + row_lang.astype(np.uint64)), return_index=True, return_inverse=True)
+            code, found = pd.factorize(mix(words.hash + row_lang.astype(np.uint64)))
+            first = np.zeros(len(found), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
             piece = np.cumsum(ENDS[raw])[words.start]
             fresh = np.concatenate([[True], (piece[1:] != piece[:-1]) | (words.row[1:] != words.row[:-1])])
             text = np.zeros(len(code) + int(fresh.sum()) + 1, np.int32)
@@ -181,108 +182,167 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_of = np.bincount(row_lang, minlength=len(lang.dictionary))
             totals = pa.StructArray.from_arrays([lang.dictionary, pa.array(n_of)], ["lang", "n"])
             one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
-            held = pa.compress(text.tobytes(), "zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([held], pa.binary()), pa.array([len(text)]), one(counted), one(totals)], ["shard", "text", "size", "words", "totals"])
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), _packed(text), pa.array([len(text)]), one(counted), one(totals)], ["shard", "text", "size", "words", "totals"])
             k += 1
 
 
 SHARD = "shard bigint, text binary, size bigint, words array<struct<lang: string, word: string, n: bigint>>, totals array<struct<lang: string, n: bigint>>"
 
 
-def _text(shard: pa.Table) -> np.ndarray:
-    return np.frombuffer(pa.decompress(shard["text"][0].as_buffer(), 4 * shard["size"][0].as_py(), "zstd"), np.int32)
-
-
-def _renamed(text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text in symbols from 1 for the given codes, 0 for all others; and the codes by symbol. Zeros after a zero go."""
-    codes = np.unique(codes)
-    name = np.zeros(int(max(text.max(initial=0), codes.max(initial=0))) + 1, np.int64)
-    name[codes] = np.arange(1, len(codes) + 1)
-    out = name[text]
-    kept = np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])
-    out = out[kept]
-    return (out if out[-1] == 0 else np.append(out, 0)), codes
-
-
-def _pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """The shard's pairs of frequent words with their counts."""
-    code, word = (known[c].to_numpy() for c in ("code", "id"))
-    if shard.num_rows and len(code):
-        text, codes = _renamed(_text(shard), code)
-        own = np.zeros(len(codes) + 1, np.int64)
-        own[np.searchsorted(codes, code) + 1] = word
-        index = Index(text, len(codes), 1)
-        found = index.extend(index.single(), right=True)
-        c1, c2 = found.words.T
-        columns = [np.full(len(c1), shard["shard"][0].as_py()), codes[c1 - 1], codes[c2 - 1], own[c1], own[c2], found.n]
-    else:
-        columns = [np.zeros(0, np.int64)] * 6
-    return pa.table([pa.array(c, pa.int64()) for c in columns], ["shard", "c1", "c2", "w1", "w2", "n"])
+def _packed(text: np.ndarray) -> pa.Array:
+    return pa.array([pa.compress(text.astype(np.int32).tobytes(), "zstd", asbytes=True)], pa.binary())
+
+
+def _text(held: pa.Scalar, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(held.as_buffer(), 4 * size, "zstd"), np.int32)
+
+
+def _single_zeros(text: np.ndarray) -> np.ndarray:
+    """The text, which begins with 0, without zeros after zeros, and with one at its end."""
+    text = text[np.concatenate([[True], (text[1:] != 0) | (text[:-1] != 0)])]
+    return text if text[-1] == 0 else np.append(text, text.dtype.type(0))
+
+
+def _renamed(text: np.ndarray, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The text in the words of its codes, 0 for codes without."""
+    name = np.zeros(int(max(text.max(initial=0), code.max(initial=0))) + 1, np.int32)
+    name[code] = word
+    return _single_zeros(name[text])
+
+
+SHARD_OF_WORDS = "shard bigint, text binary, size bigint"
+
 
+def _keys(lang: pa.Array, word: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(lang, word, "\x01")
 
-def _grams(most: int):
-    names = [*[f"w{k}" for k in range(1, most + 1)], "n", "left_ends", "right_ends"]
+
+def _rename_by(words: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = words.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column(3)[k].values
+                place = pc.index_in(_keys(own.field("lang"), own.field("word")), known)
+                code = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                text = _renamed(_text(batch.column(1)[k], batch.column(2)[k].as_py()), code + 1, ids[place.drop_null().to_numpy()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), _packed(text), pa.array([len(text)])], ["shard", "text", "size"])
+
+    return run
+
+
+def _rename_own(shard: pa.Table, known: pa.Table) -> pa.Table:
+    """The same with the shard's own frequent words (code, id)."""
+    text = _renamed(_text(shard["text"][0], shard["size"][0].as_py()), known["code"].to_numpy(), known["id"].to_numpy()) if shard.num_rows else np.zeros(1, np.int32)
+    return pa.table([shard["shard"], _packed(text).slice(0, shard.num_rows), pa.array([len(text)] * shard.num_rows, pa.int64())], ["shard", "text", "size"])
+
+
+def _symbols(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text in symbols from 1 on, and the word of each symbol (of 0: 0)."""
+    words = np.unique(np.append(text, text.dtype.type(0)))
+    name = np.zeros(int(words[-1]) + 1, np.int32)
+    name[words] = np.arange(len(words))
+    return name[text], words.astype(np.int64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's pairs of words with their counts."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text, words = _symbols(_text(batch.column(1)[k], batch.column(2)[k].as_py()))
+            if len(words) > 1:
+                index = Index(text, len(words) - 1, 1)
+                found = index.extend(index.single(), right=True)
+                pair = words[found.words[:, 0]] << 32 | words[found.words[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), batch.column(0)[k].as_py())), pa.array(pair), pa.array(found.n.astype(np.int64))], ["shard", "pair", "n"])
+
+
+def _grams(text: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The text's phrases of 3 to ``most`` words, all of whose pairs are among the sorted ``pairs``; a row of ``most`` words (then null) and a count each."""
+    pair = text[:-1].astype(np.int64) << 32 | text[1:]
+    at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+    apart = np.concatenate([(pairs[at] != pair) if len(pairs) else np.ones(len(pair), bool), [True]])  # after each word
+    lone = apart & np.concatenate([[True], apart[:-1]])
+    spread = np.zeros(2 * len(text), np.int32)
+    spread[::2] = np.where(lone, 0, text)
+    spread[1::2] = np.where(apart, 0, -1)
+    text, words = _symbols(_single_zeros(spread[spread >= 0]))
+    if len(words) == 1:
+        return
+    index, right = Index(text, len(words) - 1, most - 1), True
+    found = index.single()
+    for length in range(2, most + 1):
+        found, right = index.extend(found, right), not right  # either way gives all
+        if length > 2:
+            own = words[found.words].T
+            rows = [pa.array(own[k]) if k < length else pa.nulls(len(found.words), pa.int64()) for k in range(most)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(found.n.astype(np.int64))], [*[f"w{k + 1}" for k in range(most)], "n"])
+
+
+def _grams_by(pairs: Broadcast, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from _grams(_text(batch.column(1)[k], batch.column(2)[k].as_py()), pairs.value, most)
+
+    return run
+
+
+def _grams_own(most: int):
+    schema = pa.schema([(f"w{k + 1}", pa.int64()) for k in range(most)] + [("n", pa.int64())])
 
     def run(shard: pa.Table, known: pa.Table) -> pa.Table:
-        """The shard's phrases of 2 to ``most`` words all of whose pairs are frequent."""
-        out = []
-        if shard.num_rows and known.num_rows:
-            c1, c2, w1, w2 = (known[c].to_numpy() for c in ("c1", "c2", "w1", "w2"))
-            text, codes = _renamed(_text(shard), np.concatenate([c1, c2]))
-            symbol = lambda c: np.searchsorted(codes, c) + 1
-            own = np.zeros(len(codes) + 1, np.int64)
-            own[symbol(c1)], own[symbol(c2)] = w1, w2
-            name = lambda a, b: a * (len(codes) + 1) + b
-            pairs = np.sort(name(symbol(c1), symbol(c2)))
-            index, right = Index(text, len(codes), most), True
-            phrases = index.single()
-            for length in range(1, most + 1):
-                if length > 1:
-                    words = np.pad(own[phrases.words], ((0, 0), (0, most - length))).T
-                    rows = [pa.array(w, pa.int64(), mask=w == 0) for w in words]
-                    out.append(pa.table([*rows, *[pa.array(x, pa.int64()) for x in (phrases.n, index.stops(phrases, False), index.stops(phrases, True))]], names))
-                if length < most:
-                    longer = index.extend(phrases, right)
-                    new = longer.words[:, -2:] if right else longer.words[:, :2]
-                    key = name(new[:, 0], new[:, 1])
-                    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    phrases, right = longer.where(pairs[at] == key), not right
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * len(names), names)
-
-    return run, ", ".join(f"{c} bigint" for c in names)
+        held = _grams(_text(shard["text"][0], shard["size"][0].as_py()), np.sort(known["pair"].to_numpy()), most) if shard.num_rows else ()
+        return pa.Table.from_batches(list(held), schema)
+
+    return run
 
 
 def phrases(docs: DataFrame, least: int = 100, most: int = 5, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: frequent words (id, lang, word, n), frequent phrases (ids, n, left_ends, right_ends) and word counts by lang (lang, n).
+    """Three tables: frequent words (id, lang, word, n), frequent phrases (ids, n) and word counts by lang (lang, n).
 
     Texts in lower case (A-Z only) are cut at ``[.,;:!?]`` and line ends into pieces, those at spaces and tabs into words;
     a null lang is ``und``. A phrase is two to ``most`` consecutive words of a piece; n counts all its occurrences in texts
-    of its lang, and it is frequent from ``least`` on. left_ends and right_ends count those that stand at their piece's
-    start or end, or beside a word that is in no frequent pair.
+    of its lang, and it is frequent from ``least`` on. What extends a phrase left or right are the phrases of one word more.
 
     Null and empty texts hold nothing; a text of any length is read whole, as a shard of its own where it is longer than
     one; repeated rows count each. Word ids are the tables' own. A word is told from others of its shard by 64 bits.
     """
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     shards = cut(map_arrow(rows, _shards, SHARD))
     held = shards.select("shard", F.posexplode("words").alias("code", "w")).select("shard", (F.col("code") + 1).cast("bigint").alias("code"), "w.*")
     words = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    words = cut(words.withColumn("id", F.monotonically_increasing_id() + 1))
-    texts = shards.select("shard", "text", "size")
-    known = held.join(small_side(words.select("lang", "word", "id"), BROADCAST_ROWS), ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
-    pairs = cut(texts.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_pairs, "shard bigint, c1 bigint, c2 bigint, w1 bigint, w2 bigint, n bigint"))
-    frequent = cut(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("w1", "w2"))
-    known = pairs.join(small_side(frequent, BROADCAST_ROWS), ["w1", "w2"]).select(F.col("shard").alias("of"), "c1", "c2", "w1", "w2")
-    run, schema = _grams(most)
-    found = texts.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(run, schema)
+    words = ranked(words.withColumn("all", F.lit(0)), "all", ["lang", "word"])
+    words = cut(words.select((F.col("rank") + 1).alias("id"), "lang", "word", "n"))
+    if words.count() <= BROADCAST_WORDS:
+        own = words.select("id", "lang", "word").toArrow().combine_chunks()
+        known = _keys(own["lang"], own["word"]).combine_chunks() if own.num_rows else pa.array([], pa.string())
+        named = shards.select("shard", "text", "size", "words").mapInArrow(_rename_by(sc.broadcast((known, own["id"].to_numpy()))), SHARD_OF_WORDS)
+    else:
+        known = held.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
+        named = shards.select("shard", "text", "size").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_rename_own, SHARD_OF_WORDS)
+    named = cut(named)
+    pairs = named.mapInArrow(_pairs, "shard bigint, pair bigint, n bigint")
+    frequent = cut(pairs.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     columns = [f"w{k}" for k in range(1, most + 1)]
-    summed = found.groupBy(*columns).agg(*[F.sum(c).alias(c) for c in ("n", "left_ends", "right_ends")]).where(F.col("n") >= least)
+    schema = ", ".join(f"{c} bigint" for c in (*columns, "n"))
+    if most < 3:
+        found = docs.sparkSession.createDataFrame([], schema)
+    elif frequent.count() <= BROADCAST_PAIRS:
+        own = np.sort(frequent.select("pair").toArrow()["pair"].to_numpy())
+        found = named.mapInArrow(_grams_by(sc.broadcast(own), most), schema)
+    else:
+        known = pairs.select(F.col("shard").alias("of"), "pair").join(frequent.select("pair"), "pair")
+        found = named.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_grams_own(most), schema)
+    longer = found.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.array_compact(F.array(*columns)).alias("ids"), "n")
+    two = frequent.select(F.array(F.shiftright("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)).alias("ids"), "n")
     totals = shards.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
-    return words, cut(summed.select(F.array_compact(F.array(*columns)).alias("ids"), "n", "left_ends", "right_ends")), cut(totals)
+    return words, cut(two.unionByName(longer)), cut(totals)
 
 
 def mine(docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Collocations: lang, phrase, n_words, a (its occurrences), l, r, n, score, cut, left_ends, right_ends; unordered.
+    """Collocations: lang, phrase, n_words, a (its occurrences), l, r, n, score, cut; unordered.
 
     Of the cuts of a phrase in two parts with l and r occurrences, that of the least score floor(1000 a n / (l r)) counts, the
     first of equal ones; n are all words of the lang. A phrase that lies in a longer frequent one with ``percent`` of its
@@ -303,14 +363,14 @@ def mine(docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, t
     cuts = cuts.join(part("left", "l"), "left_ids").join(part("right", "r"), "right_ids")
     cuts = cuts.withColumn("score", F.expr("(cast(n as decimal(38,0)) * total * 1000) div (cast(l as decimal(38,0)) * r)"))
     least_cut = F.min(F.struct("score", "cut", "l", "r")).alias("best")
-    scored = cuts.groupBy("ids", "lang", F.col("n").alias("a"), F.col("total").alias("n"), "left_ends", "right_ends").agg(least_cut)
-    return cut(scored.select("ids", "lang", "a", "n", "best.*", "left_ends", "right_ends")).transform(_with_phrase, words)
+    scored = cuts.groupBy("ids", "lang", F.col("n").alias("a"), F.col("total").alias("n")).agg(least_cut)
+    return cut(scored.select("ids", "lang", "a", "n", "best.*")).transform(_with_phrase, words)
 
 
 def _with_phrase(scored: DataFrame, words: DataFrame) -> DataFrame:
     names = scored.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word"), "id")
     texts = names.groupBy("ids").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase"))
-    return scored.join(texts, "ids").select("lang", "phrase", F.size("ids").alias("n_words"), "a", "l", "r", "n", "score", "cut", "left_ends", "right_ends")
+    return scored.join(texts, "ids").select("lang", "phrase", F.size("ids").alias("n_words"), "a", "l", "r", "n", "score", "cut")
 
 
 def top(found: DataFrame, k: int = 2000) -> DataFrame:
