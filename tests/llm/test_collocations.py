@@ -66,7 +66,7 @@ def rows_of(seed):
 def test_collocations_equal_brute_force(spark, monkeypatch, least, most, percent, few):
     if not few:  # shards learn of words and pairs by shuffles
         monkeypatch.setattr(collocations, "BROADCAST_WORDS", 0)
-        monkeypatch.setattr(collocations, "BROADCAST_PAIRS", 0)
+        monkeypatch.setattr(collocations, "BROADCAST_PHRASES", 0)
     rows = rows_of(least)
     rows = rows if least > 1 else rows[:4]
     found = collocations.mine(spark.createDataFrame(rows, DOCS).repartition(9), least, most, percent)

@@ -1,14 +1,14 @@
 """Phrases whose words keep company, counted with a bidirectional FM-index per shard of the corpus.
 
 A shard is a few MB of one partition's texts as word ids; 0 stands where a phrase can't go on: at a piece's end, at words
-that are too rare and between two words that are too rare together. Its index is the Burrows-Wheeler transform, as a
+that are too rare and between phrases that are. Its index is the Burrows-Wheeler transform, as a
 wavelet matrix, of the ids and of the ids backwards. A phrase is one interval in each; one step gives all words that stand
 right (or left) of all phrases, with their counts. Suffixes are ordered no deeper than phrases are long. Shards' counts
 are summed by Spark.
 
-A phrase is frequent only if its words and pairs of words are, so shards learn which words, and then pairs, are frequent
-over the whole corpus before they go on to longer phrases: by broadcast while these are few, else each shard its own by a
-shuffle.
+A phrase is frequent only if all phrases in it are, so shards learn which words, then pairs, then phrases of one word
+more are frequent over the whole corpus, and are cut down to these before they go on: by broadcast while these are few,
+else each shard its own by a shuffle.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from ticklake.llm.merkle import ranked
 SHARD_BYTES = 4_000_000
 #: Positions of a shard whose extensions are looked up at once.
 SPAN = 400_000
-#: Frequent words, and pairs of them, up to which they are broadcast; words take some 20 bytes each, pairs 8.
-BROADCAST_WORDS, BROADCAST_PAIRS = 1_000_000, 2_000_000
+#: Frequent words, and phrases of one length, up to which they are broadcast; words take some 20 bytes each, phrases 8.
+BROADCAST_WORDS, BROADCAST_PHRASES = 1_000_000, 2_000_000
 
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -245,55 +245,76 @@ def _symbols(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return name[text], words.astype(np.int64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shard's pairs of words with their counts."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            text, words = _symbols(_text(batch.column(1)[k], batch.column(2)[k].as_py()))
-            if len(words) > 1:
-                index = Index(text, len(words) - 1, 1)
-                found = index.extend(index.single(), right=True)
-                pair = words[found.words[:, 0]] << 32 | words[found.words[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), batch.column(0)[k].as_py())), pa.array(pair), pa.array(found.n.astype(np.int64))], ["shard", "pair", "n"])
-
-
-def _grams(text: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """The text's phrases of 3 to ``most`` words, all of whose pairs are among the sorted ``pairs``; a row of ``most`` words (then null) and a count each."""
-    pair = text[:-1].astype(np.int64) << 32 | text[1:]
-    at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
-    apart = np.concatenate([(pairs[at] != pair) if len(pairs) else np.ones(len(pair), bool), [True]])  # after each word
-    lone = apart & np.concatenate([[True], apart[:-1]])
-    spread = np.zeros(2 * len(text), np.int32)
-    spread[::2] = np.where(lone, 0, text)
-    spread[1::2] = np.where(apart, 0, -1)
-    text, words = _symbols(_single_zeros(spread[spread >= 0]))
-    if len(words) == 1:
-        return
-    index, right = Index(text, len(words) - 1, most - 1), True
-    found = index.single()
-    for length in range(2, most + 1):
-        found, right = index.extend(found, right), not right  # either way gives all
-        if length > 2:
-            own = words[found.words].T
-            rows = [pa.array(own[k]) if k < length else pa.nulls(len(found.words), pa.int64()) for k in range(most)]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(found.n.astype(np.int64))], [*[f"w{k + 1}" for k in range(most)], "n"])
+def _columns(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The words of phrases, place by place, two to a whole number of 64 bits."""
+    return [words[k].astype(np.int64) << 32 | (words[k + 1] if k + 1 < len(words) else 0) for k in range(0, len(words), 2)]
+
+
+def _named(columns: list[np.ndarray]) -> np.ndarray:
+    """64 bits for each phrase. Two that share them are both looked at further; counts are of the phrases themselves."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix(out + c.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
-def _grams_by(pairs: Broadcast, most: int):
+def _keep(text: np.ndarray, length: int, known: np.ndarray) -> np.ndarray:
+    """The text's runs of words in which each phrase of ``length`` words is among the sorted ``known``, parted by 0."""
+    n = len(text) - length + 1
+    if n < 1 or not len(known):
+        return np.zeros(1, np.int32)
+    words = [text[k : k + n] for k in range(length)]
+    whole = np.logical_and.reduce([w > 0 for w in words])
+    name = _named(_columns(words))
+    found = whole & (known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name)
+    edge = np.diff(np.concatenate([[False], found, [False]]).astype(np.int8))
+    first, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1) + length - 1
+    run = np.repeat(np.arange(len(first)), size)
+    at = np.arange(len(run)) - (np.cumsum(size) - size)[run] + first[run]
+    out = np.zeros(len(run) + len(first) + 1, np.int32)
+    out[np.arange(len(run)) + run + 1] = text[at]
+    return out
+
+
+def _count(length: int):
+    names = ["shard", *[f"k{k}" for k in range((length + 1) // 2)], "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's phrases of ``length`` words with their counts."""
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from _grams(_text(batch.column(1)[k], batch.column(2)[k].as_py()), pairs.value, most)
+                text, words = _symbols(_text(batch.column(1)[k], batch.column(2)[k].as_py()))
+                if len(words) == 1:
+                    continue
+                index, right = Index(text, len(words) - 1, length - 1), True
+                found = index.single()
+                for _ in range(length - 1):
+                    found, right = index.extend(found, right), not right  # either side gives all phrases
+                columns = _columns(list(words[found.words].T))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(found.words), batch.column(0)[k].as_py()), *columns, found.n.astype(np.int64))], names)
 
-    return run
+    return run, ", ".join(f"{c} bigint" for c in names)
 
 
-def _grams_own(most: int):
-    schema = pa.schema([(f"w{k + 1}", pa.int64()) for k in range(most)] + [("n", pa.int64())])
+def _keep_by(known: Broadcast, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = _keep(_text(batch.column(1)[k], batch.column(2)[k].as_py()), length, known.value)
+                if len(text) > 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), _packed(text), pa.array([len(text)])], ["shard", "text", "size"])
+
+    return run
+
 
+def _keep_own(length: int):
     def run(shard: pa.Table, known: pa.Table) -> pa.Table:
-        held = _grams(_text(shard["text"][0], shard["size"][0].as_py()), np.sort(known["pair"].to_numpy()), most) if shard.num_rows else ()
-        return pa.Table.from_batches(list(held), schema)
+        text = np.zeros(1, np.int32)
+        if shard.num_rows and known.num_rows:
+            columns = [known[c].to_numpy() for c in known.column_names if c != "of"]
+            text = _keep(_text(shard["text"][0], shard["size"][0].as_py()), length, np.sort(_named(columns)))
+        n = int(len(text) > 1)
+        return pa.table([shard["shard"].slice(0, n), _packed(text).slice(0, n), pa.array([len(text)] * n, pa.int64())], ["shard", "text", "size"])
 
     return run
 
@@ -322,23 +343,26 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 5, text: str = "text"
     else:
         known = held.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
         named = shards.select("shard", "text", "size").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_rename_own, SHARD_OF_WORDS)
-    named = cut(named)
-    pairs = named.mapInArrow(_pairs, "shard bigint, pair bigint, n bigint")
-    frequent = cut(pairs.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    columns = [f"w{k}" for k in range(1, most + 1)]
-    schema = ", ".join(f"{c} bigint" for c in (*columns, "n"))
-    if most < 3:
-        found = docs.sparkSession.createDataFrame([], schema)
-    elif frequent.count() <= BROADCAST_PAIRS:
-        own = np.sort(frequent.select("pair").toArrow()["pair"].to_numpy())
-        found = named.mapInArrow(_grams_by(sc.broadcast(own), most), schema)
-    else:
-        known = pairs.select(F.col("shard").alias("of"), "pair").join(frequent.select("pair"), "pair")
-        found = named.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_grams_own(most), schema)
-    longer = found.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.array_compact(F.array(*columns)).alias("ids"), "n")
-    two = frequent.select(F.array(F.shiftright("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)).alias("ids"), "n")
+    named, out = cut(named), None
+    for length in range(2, most + 1):
+        run, schema = _count(length)
+        found, keys = named.mapInArrow(run, schema), [f"k{k}" for k in range((length + 1) // 2)]
+        frequent = cut(found.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        halves = [x for k in keys for x in (F.shiftright(k, 32), F.col(k).bitwiseAND(0xFFFFFFFF))][:length]
+        own = frequent.select(F.array(*halves).alias("ids"), "n")
+        out = own if out is None else out.unionByName(own)
+        if length == most:
+            break
+        if frequent.count() <= BROADCAST_PHRASES:
+            held = frequent.select(*keys).toArrow()
+            known = np.sort(_named([held[k].to_numpy() for k in keys]))
+            named = named.mapInArrow(_keep_by(sc.broadcast(known), length), SHARD_OF_WORDS)
+        else:
+            known = found.select(F.col("shard").alias("of"), *keys).join(frequent.select(*keys), keys).select("of", *keys)
+            named = named.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_keep_own(length), SHARD_OF_WORDS)
+        named = cut(named)
     totals = shards.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
-    return words, cut(two.unionByName(longer)), cut(totals)
+    return words, cut(out), cut(totals)
 
 
 def mine(docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
