@@ -40,12 +40,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right
     return seen.select(*[F.col(f"__row.{c}").alias(c) for c in left.columns], "__last.*")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str], tolerance: Column) -> DataFrame:
-    """The nearer of the rows before and after, the one before if level, where it is within ``tolerance``."""
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str], tolerance: Column, width: int | None = None) -> DataFrame:
+    """The nearer of the rows before and after, the one before if level, where it is within ``tolerance``; ``width`` as in ``asof``."""
     mine = left.columns
-    back = asof(left, right, keys, left_on, right_on, values)
+    back = asof(left, right, keys, left_on, right_on, values, width=width)
     packed = back.select(*mine, F.struct("asof_on", *values).alias("__back"))
-    ahead = asof(packed, right, keys, left_on, right_on, values, forward=True)
+    ahead = asof(packed, right, keys, left_on, right_on, values, forward=True, width=width)
     b, a, on = F.col("__back.asof_on"), F.col("asof_on"), F.col(left_on)
     use_back = F.when(b.isNull(), False).when(a.isNull(), True).otherwise(on - b <= a - on)
     best = F.when(use_back, F.col("__back")).otherwise(F.struct("asof_on", *values))

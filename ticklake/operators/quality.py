@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklake.operators.book import DEPTH_COLUMNS
+from ticklake.operators.ranges import neighbour
 
 
 def depth_gate(books: DataFrame, trades_in: DataFrame, trades_out: DataFrame, most_crossed: float = 0.05) -> DataFrame:
@@ -34,17 +35,17 @@ def null_counts(rows: DataFrame) -> DataFrame:
     return counts.select("n", F.explode(pairs).alias("p")).select("p.*", F.round(F.try_divide("p.n_null", F.col("n")), 6).alias("share"))
 
 
-def sequence_gaps(rows: DataFrame, stream: str, seq: str) -> DataFrame:
-    """Per stream: gaps in its sequence numbers, numbers missing, and the largest jump."""
-    jump = F.col(seq) - F.lag(seq).over(Window.partitionBy(stream).orderBy(seq))
-    found = rows.withColumn("jump", jump).where("jump > 1")
+def sequence_gaps(rows: DataFrame, stream: str, seq: str, width: int = 1_000_000) -> DataFrame:
+    """Per stream: gaps in its sequence numbers, numbers missing, and the largest jump; ``width`` numbers are worked at once."""
+    before = neighbour(rows.select(stream, seq), [stream], [seq], width, [seq], "__before")
+    found = before.withColumn("jump", F.col(seq) - F.col(f"__before.{seq}")).where("jump > 1")
     return found.groupBy(stream).agg(F.count("*").alias("n_gaps"), F.sum(F.col("jump") - 1).alias("missing"), F.max("jump").alias("largest"))
 
 
-def backward_times(rows: DataFrame, key: str, order: list[str], time: str) -> DataFrame:
+def backward_times(rows: DataFrame, key: str, order: list[str], time: str, width: int) -> DataFrame:
     """Per key: rows whose time is before that of the row ahead of them in arrival order; ``order`` must leave no ties but of equal times."""
-    back = F.col(time) < F.lag(time).over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("back", back).groupBy(key).agg(F.count_if("back").alias("n_backward"), F.count("*").alias("n"))
+    before = neighbour(rows, [key], order, width, [time], "__before")
+    return before.withColumn("back", F.col(time) < F.col(f"__before.{time}")).groupBy(key).agg(F.count_if("back").alias("n_backward"), F.count("*").alias("n"))
 
 
 def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,15 +53,19 @@ def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), (F.sum("c") - F.count("*")).alias("n_duplicate"))
 
 
-def summary(trades: DataFrame, time: str) -> DataFrame:
-    """One row on a trade tape: range, counts, distinct markets, price range, and rows with an invalid price or size."""
+def summary(trades: DataFrame, time: str, same: list[str]) -> DataFrame:
+    """One row on a trade tape: range, counts, distinct markets, price range, rows with an invalid price or size, rows beyond
+    the first that agree in all of ``same``, and the shares of rows with an exchange time (``t_exchange``) and a sequence number."""
     p, s = F.col("price"), F.col("size")
-    return trades.agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.min(time).alias("first"), F.max(time).alias("last"), F.min(p).alias("least"), F.max(p).alias("most"), F.count_if(~p.between(1, 99)).alias("bad_price"), F.count_if(s <= 0).alias("bad_size"))
+    cover = [F.round(F.avg(F.col(c).isNotNull().cast("int")), 6).alias(n) for c, n in (("t_exchange", "exchange_share"), ("seq", "seq_share"))]
+    repeated = duplicates(trades, same).select("n_duplicate")
+    return repeated.crossJoin(trades.agg(*cover, F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.min(time).alias("first"), F.max(time).alias("last"), F.min(p).alias("least"), F.max(p).alias("most"), F.count_if(~p.between(1, 99)).alias("bad_price"), F.count_if(s <= 0).alias("bad_size")))  # one row each
 
 
-def time_gaps(rows: DataFrame, key: str, time: str, over: Column | int) -> DataFrame:
+def time_gaps(rows: DataFrame, key: str, time: str, over: Column | int, width: int) -> DataFrame:
     """Rows whose time is more than ``over`` after the one before under the key, with the gap."""
-    return rows.withColumn("gap", F.col(time) - F.lag(time).over(Window.partitionBy(key).orderBy(time))).where(F.col("gap") > over)
+    before = neighbour(rows, [key], [time], width, [time], "__before")
+    return before.withColumn("gap", F.col(time) - F.col(f"__before.{time}")).drop("__before").where(F.col("gap") > over)
 
 
 def freshness(rows: DataFrame, now: Column | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ticklake.operators import book, fills
 from ticklake.operators.joins import asof, running_sum
+from ticklake.operators.kept import kept
+from ticklake.operators.quantiles import quantiles
+from ticklake.operators.ranges import running
 from ticklake.plans.bridge import query
 
 SECOND = 1_000_000
@@ -38,25 +41,27 @@ def _(t):
 
 @query("j04_book_before_trade", _QUOTES + "select t.ticker, t.ord, q.ord as asof_on, q.bid, q.ask from trades t asof left join quotes q on t.ticker = q.ticker and t.ord > q.ord")
 def _(t):
-    return asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", ["bid", "ask"], exact=False)
+    return asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", ["bid", "ask"], exact=False, width=fills.WIDTH)
 
 
 @query("j05_since_last_change", _QUOTES + "select t.ticker, t.ord, t.ord - q.ord as since from trades t asof left join quotes q on t.ticker = q.ticker and t.ord >= q.ord")
 def _(t):
-    rows = asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", [])
+    rows = asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", [], width=fills.WIDTH)
     return rows.select("ticker", "ord", (F.col("ord") - F.col("asof_on")).alias("since"))
 
 
-@query("a48_quote_stability", _QUOTES + ", s as (select t.ord - q.ord as since from trades t asof join quotes q on t.ticker = q.ticker and t.ord >= q.ord) select count(*) as n, median(since) as median_us, round(avg(cast(since < 60000000 as int)), 6) as under_minute, round(avg(cast(since < 3600000000 as int)), 6) as under_hour from s")
+@query("a48_quote_stability", _QUOTES + ", s as (select t.ord - q.ord as since from trades t asof join quotes q on t.ticker = q.ticker and t.ord >= q.ord) select count(*) as n, median(since) as median_us, round(avg(since), 3) as mean_us, quantile_cont(since, 0.25) as p25_us, quantile_cont(since, 0.75) as p75_us, round(avg(cast(since < 60000000 as int)), 6) as under_minute, round(avg(cast(since < 600000000 as int)), 6) as under_ten, round(avg(cast(since < 3600000000 as int)), 6) as under_hour, round(avg(cast(since < 86400000000 as int)), 6) as under_day from s")
 def _(t):
-    rows = asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", []).where("asof_on is not null")
-    since = F.col("ord") - F.col("asof_on")
-    return rows.agg(F.count("*").alias("n"), F.median(since).alias("median_us"), F.round(F.avg((since < 60 * SECOND).cast("int")), 6).alias("under_minute"), F.round(F.avg((since < 3600 * SECOND).cast("int")), 6).alias("under_hour"))
+    rows = kept(asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", [], width=fills.WIDTH).where("asof_on is not null").select((F.col("ord") - F.col("asof_on")).alias("since")))
+    low, middle, high = quantiles(rows, "since", [0.25, 0.5, 0.75])
+    under = {"under_minute": 60, "under_ten": 600, "under_hour": 3600, "under_day": 86_400}
+    shares = [F.round(F.avg((F.col("since") < s * SECOND).cast("int")), 6).alias(n) for n, s in under.items()]
+    return rows.agg(F.count("*").alias("n"), F.lit(middle).alias("median_us"), F.round(F.avg("since"), 3).alias("mean_us"), F.lit(low).alias("p25_us"), F.lit(high).alias("p75_us"), *shares)
 
 
 @query("f11_latency_filter", _QUOTES + ", s as (select t.ord - q.ord as since from trades t asof left join quotes q on t.ticker = q.ticker and t.ord >= q.ord) select p.least, count(*) as n from s, (values (0), (60), (3600)) p(least) where since is null or since >= p.least::bigint * 1000000 group by p.least")
 def _(t):
-    rows = asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", []).select((F.col("ord") - F.col("asof_on")).alias("since"))
+    rows = asof(t.trades.select("ticker", "ord"), _quotes(t), ["ticker"], "ord", "ord", [], width=fills.WIDTH).select((F.col("ord") - F.col("asof_on")).alias("since"))
     each = rows.withColumn("least", F.explode(F.array(F.lit(0), F.lit(60), F.lit(3600))))
     return each.where("since is null or since >= cast(least as bigint) * 1000000").groupBy("least").agg(F.count("*").alias("n"))
 
@@ -74,8 +79,8 @@ def _(t):
 @query("f12_quote_eligibility", """, seen as (select b.ticker, b.ord, b.bid, b.ask, b.spread, (select count(*) from trades t where t.ticker = b.ticker and t.ord < b.ord) as earlier from books b where b.spread is not null)
   select case when spread <= 0 then 'crossed' when bid <= 10 or ask >= 90 then 'extreme_price' when spread / 2.0 - 1 < 1 then 'spread_narrow' when earlier < 20 then 'low_volume' else 'quote' end as reason, count(*) as n from seen group by all""")
 def _(t):
-    counted = t.trades.select("ticker", "ord", F.row_number().over(Window.partitionBy("ticker").orderBy("ord")).alias("earlier"))
-    rows = asof(book.best(book.valid_books(book.depth(t.frames))).where("spread is not null").select("ticker", "ord", "bid", "ask", "spread"), counted, ["ticker"], "ord", "ord", ["earlier"], exact=False)
+    counted = running(t.trades.select("ticker", "ord"), ["ticker"], ["ord"], fills.WIDTH, earlier=("count", F.lit(1)))
+    rows = asof(book.best(book.valid_books(book.depth(t.frames))).where("spread is not null").select("ticker", "ord", "bid", "ask", "spread"), counted, ["ticker"], "ord", "ord", ["earlier"], exact=False, width=fills.WIDTH)
     s = F.col("spread")
     reason = F.when(s <= 0, "crossed").when((F.col("bid") <= 10) | (F.col("ask") >= 90), "extreme_price").when(s / 2 - 1 < 1, "spread_narrow").when(F.coalesce("earlier", F.lit(0)) < 20, "low_volume").otherwise("quote")
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
@@ -108,14 +113,6 @@ def _(t):
     return fills.settlement_pnl(fills.unpaired(t.fills), t.markets).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"))
 
 
-@query("a33_exposure", _OPEN + ", s as (select o.*, m.result, case when m.result = 'yes' then 100 - price else -price end as b from opened o left join markets m using (ticker)), p as (select coalesce(result, 'open') as result, case when result is null then 0 when side = 'buy' then b else -b end as pnl from s) select result, count(*) as n, sum(pnl) as pnl, count(*) filter (pnl > 0) as wins from p group by result")
-def _(t):
-    rows = fills.unpaired(t.fills).join(t.markets.select("ticker", "result"), "ticker", "left")
-    buyer = F.when(F.col("result") == "yes", 100 - F.col("price")).otherwise(-F.col("price"))
-    pnl = F.when(F.col("result").isNull(), 0).when(F.col("side") == "buy", buyer).otherwise(-buyer)
-    return rows.withColumn("pnl", pnl).groupBy(F.coalesce("result", F.lit("open")).alias("result")).agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"), F.count_if(F.col("pnl") > 0).alias("wins"))
-
-
 @query("a34_settlement_bounds", _OPEN + ", s as (select ticker, sum(case when side = 'buy' then 100 - price else price end) as best, sum(case when side = 'buy' then -price else price - 100 end) as worst from opened group by ticker) select ticker, best, worst, (best + worst) / 2.0 as even from s")
 def _(t):
     buy = F.col("side") == "buy"
@@ -128,11 +125,6 @@ def _(t):
     return fills.positions(t.fills)
 
 
-@query("a45_portfolio", _SIGNED + ", p as (select ticker, sum(s) as q from signed group by ticker having sum(s) <> 0) select count(*) as open_tickers, sum(abs(q)) as gross, sum(q) as net from p")
-def _(t):
-    return fills.positions(t.fills).agg(F.count("*").alias("open_tickers"), F.sum(F.abs("position")).alias("gross"), F.sum("position").alias("net"))
-
-
 @query("a14_fill_counts", "select day, count(*) as n, count(*) filter (side = 'buy') as buys, count(*) filter (side = 'sell') as sells, count(distinct ticker) as tickers from fills group by day")
 def _(t):
     return t.fills.groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "buy").alias("buys"), F.count_if(F.col("side") == "sell").alias("sells"), F.countDistinct("ticker").alias("tickers"))
@@ -164,10 +156,23 @@ def _(t):
     return fills.capped(t.fills, 2).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("price").alias("paid"))
 
 
-@query("w16_entry_episodes", _SIGNED + ", e as (select *, coalesce(sum(cast(after = 0 as int)) over (partition by ticker order by ord rows between unbounded preceding and 1 preceding), 0) as episode from running) select ticker, episode, count(*) as n, round(sum(price * n) / sum(n), 6) as mean_price from e group by all")
+_COSTS = _SIGNED + """, folds as (select ticker, list({'q': s::double, 'c': price::double, 'e': 0.0::double, 'r': 0.0::double} order by ord) as xs, list(ord order by ord) as os, list(n order by ord) as ns, list(price order by ord) as ps from signed group by ticker),
+  at_ as (select *, unnest(range(1, len(os) + 1)) as i from folds), costs as (select ticker, os[i] as ord, ns[i] as n, ps[i] as price, i = len(os) as is_last, list_reduce(list_prepend({'q': 0.0::double, 'c': 0.0::double, 'e': -1.0::double, 'r': 0.0::double}, xs[1:i]), lambda a, x: {'q': a.q + x.q,
+    'c': case when a.q + x.q = 0 then 0.0 when a.q * x.q >= 0 then a.c + x.c * x.q when abs(a.q + x.q) < abs(a.q) then a.c * (a.q + x.q) / a.q else a.c end,
+    'e': case when a.q + x.q = 0 then -1.0 when a.q * x.q >= 0 then abs((a.c + x.c * x.q) / (a.q + x.q)) else a.e end,
+    'r': case when a.q * x.q < 0 then least(abs(a.q), abs(x.q)) * (x.c - a.e) * sign(a.q) else 0.0 end}) as z from at_)"""
+
+
+@query("w16_entry_prices", _COSTS + "select ticker, ord, cast(z.q as bigint) as position, round(z.c, 6) as cost, round(nullif(z.e, -1), 6) as entry, round(z.r, 6) as realized from costs")
+def _(t):
+    rows = fills.average_cost(t.fills, width=4096)
+    return rows.select("ticker", "ord", F.col("after").cast("bigint").alias("position"), F.round("cost", 6).alias("cost"), F.round("entry", 6).alias("entry"), F.round("realized", 6).alias("realized"))
+
+
+@query("w16_entry_episodes", _COSTS + ", e as (select *, coalesce(sum(cast(z.q = 0 as int)) over (partition by ticker order by ord rows between unbounded preceding and 1 preceding), 0) as episode from costs) select ticker, cast(episode as bigint) as episode, count(*) as n, round(max(nullif(z.e, -1)), 6) as highest_entry, round(sum(z.r), 6) as realized from e group by all")
 def _(t):
-    rows = fills.episodes(t.fills).groupBy("ticker", "episode")
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum(F.col("price") * F.col("n")) / F.sum("n"), 6).alias("mean_price"))
+    rows = fills.average_cost(t.fills, width=4096).groupBy("ticker", "episode")
+    return rows.agg(F.count("*").alias("n"), F.round(F.max("entry"), 6).alias("highest_entry"), F.round(F.sum("realized"), 6).alias("realized"))
 
 
 @query("w17_emit_on_change", ", x as (select ticker, ord, price, side, lag(row(side, price > 50)) over (partition by ticker order by ord) as b from fills) select ticker, ord, side from x where row(side, price > 50) is distinct from b")
@@ -209,21 +214,6 @@ def _(t):
     return t.fills.select(F.col("ord").alias("id"), "ticker", cash.alias("cash")).unionByName(paid)
 
 
-@query("a31_settled_pnl", ", c as (select ticker, sum(case when side = 'buy' then price * n else -price * n end) as cost, sum(case when side = 'buy' then n else -n end) as q from fills group by ticker) select c.ticker, case when m.result = 'yes' then 100 * q else 0 end - cost as pnl from c join markets m using (ticker) where m.result is not null")
-def _(t):
-    sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    cost = t.fills.groupBy("ticker").agg(F.sum(sign * F.col("price") * F.col("n")).alias("cost"), F.sum(sign * F.col("n")).alias("q"))
-    done = cost.join(t.markets.where("result is not null"), "ticker")
-    return done.select("ticker", (F.when(F.col("result") == "yes", 100 * F.col("q")).otherwise(0) - F.col("cost")).alias("pnl"))
-
-
-@query("a32_mark_to_market", _SIGNED + ", p as (select ticker, sum(s) as q, sum(s * price) as cost, arg_max(price, ord) as mark from signed group by ticker) select ticker, q, cost, q * mark - cost as unrealized from p where q <> 0")
-def _(t):
-    sign = F.when(F.col("side") == "buy", F.col("n")).otherwise(-F.col("n"))
-    rows = t.fills.withColumn("s", sign).groupBy("ticker").agg(F.sum("s").alias("q"), F.sum(F.col("s") * F.col("price")).alias("cost"), F.max_by("price", "ord").alias("mark"))
-    return rows.where("q <> 0").select("ticker", "q", "cost", (F.col("q") * F.col("mark") - F.col("cost")).alias("unrealized"))
-
-
 @query("o03_recent_fills", "select ticker, ord, side, price from fills order by ord desc limit 20")
 def _(t):
     return t.fills.orderBy(F.desc("ord")).limit(20).select("ticker", "ord", "side", "price")
@@ -235,13 +225,6 @@ def _(t):
     return fills.round_trips(t.fills).groupBy("ticker").agg(F.count("*").alias("n"), F.coalesce(F.round(ratio, 6), F.lit(0.0)).alias("sharpe"))
 
 
-@query("a25_bucketed_edge", _TRIPS + "select case when buy_price <= 30 then '<=30' when buy_price <= 50 then '30-50' when buy_price <= 70 then '50-70' else '>70' end as bucket, count(*) as n, round(avg(pnl), 6) as mean_pnl from trips group by all having count(*) >= 5")
-def _(t):
-    p = F.col("buy_price")
-    bucket = F.when(p <= 30, "<=30").when(p <= 50, "30-50").when(p <= 70, "50-70").otherwise(">70")
-    return fills.round_trips(t.fills).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("pnl"), 6).alias("mean_pnl")).where("n >= 5")
-
-
 @query("b18_queue_fills", """, orders2 as (select event_id as order_id, ticker, 'buy' as side, 30 + k % 26 as price, ord as placed, ord + 86400000000 as until, k % 3 as queue_ahead, 5 as remaining from ev where event_type = 'view'),
  h as (select o.*, t.ord as at_ord, greatest(t.size - queue_ahead, 0) as avail from orders2 o join trades t on o.ticker = t.ticker and o.price = t.price and t.ord > o.placed and t.ord <= o.until and t.taker = 'no'),
  c as (select *, sum(avail) over (partition by order_id order by at_ord) as cum from h) select order_id, ticker, at_ord as "at", least(remaining, cum) - least(remaining, cum - avail) as filled from c where least(remaining, cum) - least(remaining, cum - avail) > 0""")
@@ -255,3 +238,61 @@ def _(t):
     orders = t.ev.where("event_type = 'view'").select(F.col("event_id").alias("order_id"), "ord")
     done = t.ev.where("event_type = 'purchase'").select(F.col("event_id").alias("fill_id"), (F.col("event_id") - 1).alias("order_id"), "ticker")
     return fills.lineage(done, orders, _quotes(t)).select("fill_id", "order_id", "ticker", "placed", F.col("asof_on").alias("quoted_at"), "bid", "ask")
+
+
+_MIDS = ", latest as (select ticker, arg_max(mid_x2, ord) / 2.0 as mid from books where mid_x2 is not null group by ticker)"
+_POSITIONS = _COSTS + _MIDS + f""", lasts as (select ticker, z.q as q, z.c as cost, round_even(abs(z.c) / abs(z.q), 0) as entry from costs where is_last and z.q <> 0),
+  open_ as (select p.ticker, cast(q as bigint) as position, cost, cast(entry as bigint) as entry, mid, case when mid is null then 0.0 when q > 0 then (mid - entry) * q else (entry - mid) * -q end as mtm from lasts p left join latest l on l.ticker = 'M' || (p.ticker % 20))"""
+
+
+def _mids(t):
+    """The latest mid of each fill's market, in cents."""
+    latest = fills.latest_quotes(book.best(book.valid_books(book.depth(t.frames))).where("mid_x2 is not null"))
+    return latest.select(F.col("ticker").alias("market"), (F.col("mid_x2") / 2).alias("mid"))
+
+
+def _market(rows):
+    return rows.withColumn("market", F.concat(F.lit("M"), F.col("ticker") % 20))
+
+
+@query("a32_mark_to_market", _POSITIONS + "select ticker, position, round(cost, 6) as cost, entry, mid, round(mtm, 6) as mtm from open_")
+def _(t):
+    marked = fills.marked(_market(fills.open_costs(fills.average_cost(t.fills, width=4096))).join(_mids(t), "market", "left"))
+    return marked.select("ticker", "position", F.round("cost", 6).alias("cost"), "entry", "mid", F.round("mtm", 6).alias("mtm"))
+
+
+@query("a45_portfolio", _POSITIONS + f""", r as (select sum(z.r) / 100 as realized, sum({_FEE.format('price')} * n) / 100.0 as fees from costs), m as (select count(*) as open_tickers, cast(sum(abs(position)) as bigint) as gross, cast(sum(position) as bigint) as net, sum(mtm) as mtm from open_)
+  select open_tickers, gross, net, round(realized, 6) as realized, round(fees, 6) as fees, round(mtm, 6) as mtm, round(realized - fees + mtm / 100, 6) as net_pnl from r, m""")
+def _(t):
+    costs = kept(fills.average_cost(t.fills, width=4096))
+    marked = fills.marked(_market(fills.open_costs(costs)).join(_mids(t), "market", "left"))
+    return fills.portfolio(costs, marked)
+
+
+@query("a33_exposure", _OPEN + _MIDS + """, s as (select o.*, m.result, l.mid, case when m.result = 'yes' then 100 - price when m.result = 'no' then -price else l.mid - price end as b from opened o left join markets m using (ticker) left join latest l on l.ticker = 'M' || (o.ticker % 20)),
+  p as (select coalesce(result, 'open') as result, coalesce(case when side = 'buy' then b else -b end, 0) as pnl from s) select case when grouping(result) = 0 then result end as result, count(*) as n, round(sum(pnl), 6) as pnl, count(*) filter (pnl > 0) as wins, count(*) filter (pnl < 0) as losses from p group by grouping sets ((result), ())""")
+def _(t):
+    rows = _market(fills.unpaired(t.fills).join(t.markets.select("ticker", "result"), "ticker", "left")).join(_mids(t), "market", "left")
+    buyer = F.when(F.col("result") == "yes", 100 - F.col("price")).when(F.col("result") == "no", -F.col("price")).otherwise(F.col("mid") - F.col("price"))
+    pnl = F.coalesce(F.when(F.col("side") == "buy", buyer).otherwise(-buyer), F.lit(0.0))
+    done = rows.select(F.coalesce("result", F.lit("open")).alias("result"), pnl.alias("pnl"))
+    return done.groupingSets([[F.col("result")], []], "result").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 6).alias("pnl"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses"))
+
+
+@query("a31_settled_pnl", ", c as (select ticker, sum(case when side = 'buy' then price * n else -price * n end) as cost, sum(case when side = 'buy' then n else -n end) as q, sum(" + _FEE.format("price") + " * n) as fee from fills group by ticker), s as (select c.ticker, case when m.result = 'yes' then 100 * q else 0 end - cost - fee as pnl, fee from c join markets m using (ticker) where m.result is not null) select case when grouping(ticker) = 0 then ticker end as ticker, cast(sum(pnl) as bigint) as pnl, cast(sum(fee) as bigint) as fee, count(*) filter (pnl > 0) as wins from s group by grouping sets ((ticker), ())")
+def _(t):
+    return fills.settled(t.fills, t.markets.where("result is not null")).groupingSets([[F.col("ticker")], []], "ticker").agg(F.sum("pnl").alias("pnl"), F.sum("fee").alias("fee"), F.count_if(F.col("pnl") > 0).alias("wins"))
+
+
+_EDGES = "case when {0} <= {1} then '<={1}' when {0} <= {2} then '{1}-{2}' when {0} <= {3} then '{2}-{3}' else '>{3}' end"
+
+
+@query("a25_bucketed_edge", _TRIPS + f""", b as (select pnl, unnest([{{'by': 'price', 'bucket': {_EDGES.format('buy_price', 30, 50, 70)}}}, {{'by': 'spread', 'bucket': {_EDGES.format('abs(sell_price - buy_price)', 2, 5, 10)}}}, {{'by': 'tenth', 'bucket': cast(least(9, (buy_price - 1) // 10) as varchar)}}]) as x from trips)
+  select x['by'] as dimension, x['bucket'] as bucket, count(*) as n, round(avg(pnl), 6) as mean_pnl, round(avg(cast(pnl > 0 as int)), 6) as win_rate from b group by all having count(*) >= 5""")
+def _(t):
+    p, s = F.col("buy_price"), F.abs(F.col("sell_price") - F.col("buy_price"))
+    cuts = lambda c, a, b, d: F.when(c <= a, f"<={a}").when(c <= b, f"{a}-{b}").when(c <= d, f"{b}-{d}").otherwise(f">{d}")
+    of = lambda name, bucket: F.struct(F.lit(name).alias("dimension"), bucket.alias("bucket"))
+    dimensions = [of("price", cuts(p, 30, 50, 70)), of("spread", cuts(s, 2, 5, 10)), of("tenth", F.least(F.lit(9), F.floor((p - 1) / 10)).cast("string"))]
+    rows = fills.round_trips(t.fills).select("pnl", F.explode(F.array(*dimensions)).alias("d")).select("pnl", "d.*")
+    return rows.groupBy("dimension", "bucket").agg(F.count("*").alias("n"), F.round(F.avg("pnl"), 6).alias("mean_pnl"), F.round(F.avg((F.col("pnl") > 0).cast("int")), 6).alias("win_rate")).where("n >= 5")

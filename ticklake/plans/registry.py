@@ -20,18 +20,13 @@ TYPES = {
     "a16_round_trip_pnl": "bigint pnl fees",
     "o04_best_and_worst": "bigint pnl",
     "x11_settlement_pnl": "bigint pnl",
-    "a33_exposure": "bigint pnl",
     "a34_settlement_bounds": "bigint best worst",
     "a15_positions": "bigint position",
-    "a45_portfolio": "bigint gross net",
     "w11_pnl_curve": "bigint total peak drawdown",
     "w12_gross_exposure": "bigint most",
     "w15_position_cap": "bigint paid",
-    "w16_entry_episodes": "bigint episode",
     "w18_attribution": "bigint cash",
     "j17_reconciliation": "bigint internal actual",
-    "a31_settled_pnl": "bigint pnl",
-    "a32_mark_to_market": "bigint q cost unrealized",
     "b18_queue_fills": "bigint filled",
     "s10_candles": "bigint volume",
     "a02_daily": "bigint volume",
@@ -40,11 +35,11 @@ TYPES = {
     "a06_hourly": "bigint volume",
     "a09_liquidity": "bigint volume",
     "a10_rollups": "bigint volume",
-    "a30_series_scan": "bigint volume",
     "w02_sequence_gaps": "bigint missing",
     "w07_cumulative": "bigint total",
     "o06_best_parameter": "bigint score",
     "o07_sweep_matrix": "bigint hi_60 hi_70",
+    "d08_tape_summary": "bigint n_duplicate",
     "u02_duplicates": "bigint n n_duplicate",
     "a21_threshold_pnl": "double threshold",
     "j22_parameter_sweep": "double threshold",

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ticklake.operators import quality, tape
+from ticklake.operators import book, fills, quality, tape
 from ticklake.operators.joins import range_join
+from ticklake.operators.kept import kept
+from ticklake.operators.quantiles import distinct_over, distinct_sketches, quantiles
+from ticklake.operators.ranges import neighbour, running
 from ticklake.plans.bridge import query
 from ticklake.functions import money
 
 SECOND = 1_000_000
+DAY, WEEK_S = 86_400 * SECOND, 604_800
 
 
 @query("s10_candles", "select ticker, t // 604800 * 604800 as bar, arg_min(price, (t, ord)) as open, max(price) as high, min(price) as low, arg_max(price, (t, ord)) as close, sum(size) as volume, count(*) as n from tape group by all")
@@ -83,9 +87,9 @@ def _(t):
     return last.withColumn("resolved", (F.col("last") <= 5) | (F.col("last") >= 95))
 
 
-@query("a09_liquidity", "select ticker, count(*) as n, sum(size) as volume, round(avg(price), 6) as mean_price, min(t) as first, max(t) as last, round(count(*) / nullif((max(t) - min(t)) / 3600, 0), 6) as per_hour from tape group by ticker")
+@query("a09_liquidity", "select ticker, count(*) as n, sum(size) as volume, round(avg(price), 6) as mean_price, min(t) as first, max(t) as last, count(*) filter (flag = 'R') as yes, count(*) filter (flag <> 'R') as no, round(100.0 * count(*) filter (flag = 'R') / count(*), 6) as yes_percent, max(t) - min(t) as duration, round(count(*) / nullif((max(t) - min(t)) / 3600, 0), 6) as per_hour from tape group by ticker")
 def _(t):
-    return tape.profile(t.tape, ["ticker"])
+    return tape.profile(t.tape.withColumn("taker", F.when(F.col("flag") == "R", "yes").otherwise("no")), ["ticker"])
 
 
 @query("a10_rollups", "select case when grouping(flag) = 0 then flag end as flag, case when grouping(l_suppkey % 5) = 0 then l_suppkey % 5 end as team, count(*) as n, sum(size) as volume from tape group by grouping sets ((flag), (l_suppkey % 5), (flag, l_suppkey % 5))")
@@ -97,13 +101,20 @@ def _(t):
 @query("a11_latency", "select count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(min(value), 6) as least, round(max(value), 6) as most, count(*) filter (value < 0) as negative from ev")
 def _(t):
     v = F.col("value")
-    q = [F.round(F.percentile("value", F.lit(p)), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    q = [F.round(F.lit(x), 6).alias(n) for x, n in zip(quantiles(t.ev, "value", [0.5, 0.95, 0.99]), ("p50", "p95", "p99"), strict=True)]
     return t.ev.agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), *q, F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"), F.count_if(v < 0).alias("negative"))
 
 
-@query("a13_quote_activity", "select event_type, count(*) as n, count(distinct ticker) as tickers, median(v) as median_v, round(avg(v), 6) as mean_v, min(v) as least, max(v) as most from ev group by event_type")
+@query("a13_quote_activity", """, q as (select ticker, bid, ask, spread, case when spread is null then 'one_sided' when spread <= 0 then 'crossed' when bid <= 10 or ask >= 90 then 'extreme_price' when spread < 4 then 'spread_narrow' else 'quote' end as reason from books),
+  whole as (select count(*) filter (reason = 'quote') as active, count(*) filter (reason <> 'quote') as inactive, count(distinct ticker) as tickers, median(spread) as median_spread, round(avg(spread), 6) as mean_spread, min(spread) as least, max(spread) as most from q)
+  select r.reason, r.n, whole.* from (select reason, count(*) as n from q group by reason) r, whole""")
 def _(t):
-    return t.ev.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"), F.median("v").alias("median_v"), F.round(F.avg("v"), 6).alias("mean_v"), F.min("v").alias("least"), F.max("v").alias("most"))
+    s = F.col("spread")
+    reason = F.when(s.isNull(), "one_sided").when(s <= 0, "crossed").when((F.col("bid") <= 10) | (F.col("ask") >= 90), "extreme_price").when(s < 4, "spread_narrow").otherwise("quote")
+    rows = kept(book.best(book.valid_books(book.depth(t.frames))).select("ticker", "spread", reason.alias("reason")))
+    quoted = F.col("reason") == "quote"
+    whole = rows.agg(F.count_if(quoted).alias("active"), F.count_if(~quoted).alias("inactive"), F.countDistinct("ticker").alias("tickers"), F.lit(quantiles(rows, "spread", [0.5])[0]).alias("median_spread"), F.round(F.avg(s), 6).alias("mean_spread"), F.min(s).alias("least"), F.max(s).alias("most"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole))  # one row
 
 
 @query("a26_quantile_bins", ", e as (select list_distinct([quantile_cont(price, 0.0), quantile_cont(price, 0.2), quantile_cont(price, 0.4), quantile_cont(price, 0.6), quantile_cont(price, 0.8), quantile_cont(price, 1.0)]) as edges from trades), b as (select greatest(len(list_filter(edges, lambda x: x < price)), 1) as bin, size from trades, e) select bin, count(*) as n, round(avg(size), 6) as mean, round(stddev_samp(size), 6) as deviation from b group by bin")
@@ -121,10 +132,16 @@ def _(t):
     return tape.bootstrap_mean(t.trades, "ord", "price", 1000)
 
 
-@query("a30_series_scan", "select ticker, count(*) as n, sum(size) as volume, round(median(price) * ln(1 + count(*)) * ln(1 + sum(size)), 6) as score, round(quantile_cont(price, 0.25), 6) as p25, round(quantile_cont(price, 0.75), 6) as p75 from trades group by ticker")
+@query("a30_series_scan", """, latest as (select ticker, arg_max(spread, ord) as spread, arg_max(bid, ord) as bid, arg_max(ask, ord) as ask from books where spread is not null group by ticker),
+  vol as (select ticker, sum(size) as volume from trades group by ticker), m as (select cast(substr(v.ticker, 2) as int) % 7 as series, v.ticker, volume, case when bid > 0 and bid < ask and ask < 100 then spread end as spread from vol v left join latest l on l.ticker = v.ticker),
+  s as (select series, count(*) as open_markets, count(spread) as books, median(spread) as median_spread, round(avg(spread), 6) as mean_spread, quantile_cont(spread, 0.25) as p25, quantile_cont(spread, 0.75) as p75, 100.0 * count(*) filter (spread >= 4) / count(spread) as pct_wide, sum(volume) as total_volume, median(volume) as median_volume, 100.0 * count(*) filter (volume > 0) / count(*) as traded_percent from m group by series having count(spread) > 0),
+  x as (select *, median_spread >= 3 and open_markets >= 2 and total_volume >= 100 and pct_wide >= 30 as actionable from s)
+  select series, open_markets, books, median_spread, mean_spread, p25, p75, round(pct_wide, 6) as pct_wide, cast(total_volume as bigint) as total_volume, median_volume, round(traded_percent, 6) as traded_percent, round(median_spread * ln(1 + open_markets) * ln(1 + total_volume) * pct_wide / 100, 6) as score, actionable, not actionable and median_spread >= 2 and open_markets >= 1 as near_miss from x""")
 def _(t):
-    score = F.median("price") * F.log1p(F.count("*")) * F.log1p(F.sum("size"))
-    return t.trades.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.round(score, 6).alias("score"), F.round(F.percentile("price", F.lit(0.25)), 6).alias("p25"), F.round(F.percentile("price", F.lit(0.75)), 6).alias("p75"))
+    latest = fills.latest_quotes(book.best(book.valid_books(book.depth(t.frames))).where("spread is not null"))
+    volume = t.trades.groupBy("ticker").agg(F.sum("size").alias("volume"))
+    markets = volume.join(latest, "ticker", "left").withColumn("series", F.expr("cast(substr(ticker, 2) as int) % 7"))
+    return tape.series_scan(markets, least_markets=2, near_markets=1)
 
 
 @query("a39_market_counts", "select case when grouping(result) = 0 then coalesce(result, '') end as result, case when grouping(c_mktsegment) = 0 then c_mktsegment end as segment, count(*) as n from (select coalesce(result, '') as result, c_mktsegment from markets) group by grouping sets ((result), (c_mktsegment))")
@@ -133,9 +150,16 @@ def _(t):
     return rows.groupingSets([[F.col("result")], [F.col("segment")]], "result", "segment").agg(F.count("*").alias("n"))
 
 
-@query("a40_delta_summary", "select count(*) as n, count(distinct ticker) as tickers, min(ord) as first, max(ord) as last, count(*) filter (side = 'yes') as yes, round(avg(cast(delta > 0 as int)), 6) as share_added from deltas")
+@query("a40_delta_summary", "select count(*) as n, count(distinct ticker) as tickers, min(ord) as first, max(ord) as last, round(count(*) / ((max(ord) - min(ord)) / 60e6), 6) as per_minute, count(*) filter (side = 'yes') as yes, count(*) filter (side = 'no') as no, round(avg(cast(delta > 0 as int)), 6) as share_added, round(avg(cast(delta < 0 as int)), 6) as share_removed, round(count(*) / (select count(*) from snapshots), 6) as per_snapshot from deltas")
 def _(t):
-    return t.deltas.agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.count_if(F.col("side") == "yes").alias("yes"), tape.share(F.col("delta") > 0).alias("share_added"))
+    kind, d = F.col("kind"), F.col("delta")
+    rows, n = t.frames.where("kind in ('delta', 'snapshot')"), F.count_if(kind == "delta")
+    of = lambda c: F.when(kind == "delta", c)
+    minutes = (F.max(of(F.col("ord"))) - F.min(of(F.col("ord")))) / 60e6
+    return rows.agg(
+        n.alias("n"), F.countDistinct(of(F.col("ticker"))).alias("tickers"), F.min(of(F.col("ord"))).alias("first"), F.max(of(F.col("ord"))).alias("last"), F.round(F.try_divide(n, minutes), 6).alias("per_minute"), F.count_if(F.col("side") == "yes").alias("yes"), F.count_if(F.col("side") == "no").alias("no"),
+        tape.share(of(d > 0)).alias("share_added"), tape.share(of(d < 0)).alias("share_removed"), F.round(F.try_divide(n, F.count_if(kind == "snapshot")), 6).alias("per_snapshot"),
+    )
 
 
 @query("a41_volume_distribution", ", c as (select ticker, count(*) as n from tape group by ticker) select median(n) as median_n, round(avg(n), 6) as mean_n, max(n) as most, count(*) filter (n = 1) as ones, count(*) filter (n >= 5) as five, count(*) filter (n >= 20) as twenty, count(*) filter (n >= 50) as fifty from c")
@@ -151,14 +175,14 @@ def _(t):
 
 @query("a36_poll_intervals", ", g as (select ord - lag(ord) over (partition by ticker order by ord) as gap from trades) select round(avg(gap), 3) as mean, median(gap) as median_gap, min(gap) as least, max(gap) as most, round(quantile_cont(gap, 0.95), 3) as p95 from g where gap is not null")
 def _(t):
-    gap = F.col("ord") - F.lag("ord").over(Window.partitionBy("ticker").orderBy("ord"))
-    rows = t.trades.select(gap.alias("gap")).where("gap is not null")
-    return rows.agg(F.round(F.avg("gap"), 3).alias("mean"), F.median("gap").alias("median_gap"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.percentile("gap", F.lit(0.95)), 3).alias("p95"))
+    rows = neighbour(t.trades.select("ticker", "ord"), ["ticker"], ["ord"], DAY, ["ord"], "before").select((F.col("ord") - F.col("before.ord")).alias("gap")).where("gap is not null")
+    middle, high = quantiles(rows, "gap", [0.5, 0.95])
+    return rows.agg(F.round(F.avg("gap"), 3).alias("mean"), F.lit(middle).alias("median_gap"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.lit(high), 3).alias("p95"))
 
 
 @query("w01_backward_times", ", x as (select ticker, t < lag(t) over (partition by ticker order by ord, t) as back from tape) select ticker, count(*) filter (back) as n_backward, count(*) as n from x group by ticker")
 def _(t):
-    return quality.backward_times(t.tape, "ticker", ["ord", "t"], "t")
+    return quality.backward_times(t.tape, "ticker", ["ord", "t"], "t", 1_000_000)
 
 
 @query("w02_sequence_gaps", ", x as (select sid, seq - lag(seq) over (partition by sid order by seq) as jump from deltas) select sid, count(*) as n_gaps, sum(jump - 1) as missing, max(jump) as largest from x where jump > 1 group by sid")
@@ -168,12 +192,12 @@ def _(t):
 
 @query("w03_inter_trade", ", x as (select ticker, t - lag(t) over (partition by ticker order by t, ord) as gap from tape) select ticker, count(*) as n, round(quantile_cont(gap, 0.25), 6) as p25, round(quantile_cont(gap, 0.5), 6) as p50, round(quantile_cont(gap, 0.75), 6) as p75, round(quantile_cont(gap, 0.9), 6) as p90, round(avg(gap), 6) as mean from x group by ticker having count(*) >= 5")
 def _(t):
-    return tape.inter_trade(t.tape, 5, ["t", "ord"])
+    return tape.inter_trade(t.tape, 5, ["t", "ord"], 52 * WEEK_S)
 
 
 @query("w04_wait_for_opposite", ", x as (select ticker, ord, taker, min(case when taker = 'no' then ord end) over (partition by ticker order by ord rows between 1 following and unbounded following) as next_no from trades) select ticker, ord, next_no - ord as wait from x where taker = 'yes' and next_no is not null")
 def _(t):
-    return tape.next_opposite(t.trades).select("ticker", "ord", "wait")
+    return tape.next_opposite(t.trades, DAY).select("ticker", "ord", "wait")
 
 
 @query("w06_first_and_last", "select ticker, arg_min(price, ord) as first_price, arg_max(price, ord) as last_price from trades group by ticker")
@@ -183,8 +207,7 @@ def _(t):
 
 @query("w07_cumulative", "select ticker, ord, sum(size) over (partition by ticker order by ord) as total from trades")
 def _(t):
-    w = Window.partitionBy("ticker").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.trades.select("ticker", "ord", F.sum("size").over(w).alias("total"))
+    return running(t.trades, ["ticker"], ["ord"], DAY, total=("sum", "size")).select("ticker", "ord", "total")
 
 
 _BINS = ", lastp as (select ticker, ord // 21600000000 as bin, arg_max(price, ord) as price from trades group by all), spans as (select ticker, unnest(range(min(bin), max(bin) + 1)) as bin from lastp group by ticker), filled as (select s.ticker, s.bin, last_value(l.price ignore nulls) over w as price, s.bin - max(case when l.price is not null then s.bin end) over w as stale from spans s left join lastp l on l.ticker = s.ticker and l.bin = s.bin window w as (partition by s.ticker order by s.bin rows between unbounded preceding and current row))"
@@ -202,7 +225,7 @@ def _(t):
 
 @query("w14_running_count", "select ticker, ord, row_number() over (partition by ticker order by ord) as running from trades")
 def _(t):
-    return tape.running_count(t.trades, "ticker", "ord").select("ticker", "ord", "running")
+    return tape.running_count(t.trades, "ticker", "ord", DAY).select("ticker", "ord", "running")
 
 
 @query("o01_top_per_series", ", c as (select ticker % 7 as series, ticker, count(*) as n from tape group by all), r as (select *, row_number() over (partition by series order by n desc, ticker) as rank from c) select * from r where rank <= 15")
@@ -211,14 +234,16 @@ def _(t):
     return tape.top_per_group(counted, "series", "n", "ticker", 15)
 
 
-@query("o02_most_traded", "select ticker, count(*) as n from tape group by ticker order by n desc, ticker limit 1")
+@query("o02_most_traded", "select ticker, n, has_conn from (select ticker, count(*) as n, ticker in (select ticker from snapshots where ord % 3 = 0) as has_conn from trades group by ticker) order by has_conn desc, n desc, ticker limit 1")
 def _(t):
-    return t.tape.groupBy("ticker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ticker").limit(1)
+    scoped = t.frames.where("kind = 'snapshot' and ord % 3 = 0").select("ticker", F.lit(True).alias("seen")).distinct()  # those whose connection is known
+    counted = t.trades.groupBy("ticker").agg(F.count("*").alias("n")).join(scoped, "ticker", "left")
+    return counted.select("ticker", "n", F.coalesce("seen", F.lit(False)).alias("has_conn")).orderBy(F.desc("has_conn"), F.desc("n"), "ticker").limit(1)
 
 
 @query("o05_every_nth", ", r as (select *, row_number() over (partition by ticker order by ord) as rn from trades) select ticker, ord, rn from r where rn % 10 = 0")
 def _(t):
-    return tape.running_count(t.trades, "ticker", "ord").withColumnRenamed("running", "rn").where("rn % 10 = 0").select("ticker", "ord", "rn")
+    return tape.running_count(t.trades, "ticker", "ord", DAY).withColumnRenamed("running", "rn").where("rn % 10 = 0").select("ticker", "ord", "rn")
 
 
 @query("o06_best_parameter", ", s as (select p.cut, sum(case when price >= p.cut then size else -size end) as score from trades, (values (30), (40), (50), (60)) p(cut) group by p.cut) select arg_max(cut, (score, -cut)) as best, max(score) as score from s")
@@ -286,10 +311,12 @@ def _(t):
     return range_join(_used(t), _negative(t), ["ticker", "side", "cprice"], "ord", "d_ord", 86_400 * SECOND, 86_400 * SECOND, "left_semi").select("ticker", "ord")
 
 
-@query("j07_sequence_match", _NEG + "select t.ticker, t.ord from trades t where exists (select 1 from deltas d where d.delta < 0 and d.ticker = t.ticker and d.sid = t.sid and d.seq between t.seq - 100 and t.seq + 100)")
+@query("j07_sequence_match", _NEG + ", shared as (select distinct t.sid from trades t join deltas d using (sid)), u2 as (select t.ticker, t.ord, t.sid, t.seq, u.side, u.cprice from trades t join used u on u.ticker = t.ticker and u.ord = t.ord) select ticker, ord from u2 t where t.sid in (select sid from shared) and exists (select 1 from deltas d where d.delta < 0 and d.ticker = t.ticker and d.sid = t.sid and d.side = t.side and d.price = t.cprice and d.seq between t.seq - 100 and t.seq + 100)")
 def _(t):
-    right = t.deltas.where("delta < 0").select("ticker", "sid", F.col("seq").alias("d_seq"))
-    return range_join(t.trades.select("ticker", "sid", "ord", "seq"), right, ["ticker", "sid"], "seq", "d_seq", 100, 100, "left_semi").select("ticker", "ord")
+    side, price = money.consumed(F.col("taker"), F.col("price"))
+    left = t.trades.select("ticker", "sid", side.alias("side"), price.alias("cprice"), "ord", "seq")
+    right = t.deltas.where("delta < 0").select("ticker", "sid", "side", F.col("price").alias("cprice"), F.col("seq").alias("d_seq"))
+    return range_join(left, right, ["ticker", "sid", "side", "cprice"], "seq", "d_seq", 100, 100, "left_semi").select("ticker", "ord")  # a subscription of one side only meets nothing
 
 
 @query("j08_exact_size_match", _NEG + "select ticker, ord from used u where exists (select 1 from neg n where n.ticker = u.ticker and d_side = side and d_price = cprice and d_size = size and d_ord between ord - 432000000000 and ord + 432000000000)")
@@ -305,11 +332,10 @@ def _(t):
     return pairs.groupBy("ticker", "ord").agg(F.count("*").alias("n"), F.min_by("price", "t_ord").alias("first_price"), F.max_by("price", "t_ord").alias("last_price")).where("n >= 2")
 
 
-@query("f04_delta_scope", "select s.ticker, s.ord, count(*) as n from snapshots s join deltas d on d.ticker = s.ticker and d.conn = s.conn and d.ord between s.ord + 1 and s.ord + 14400000000 group by all")
+@query("f04_delta_scope", "select s.ticker, s.ord, count(*) as n from (select *, case when ord % 4 <> 0 then conn end as c from snapshots) s join deltas d on d.ticker = s.ticker and ((c is not null and d.conn = c and d.ord > s.ord) or (c is null and d.ord between s.ord + 1 and s.ord + 14400000000)) group by all")
 def _(t):
-    snaps = t.frames.where("kind = 'snapshot'").select("ticker", "conn", "ord")
-    pairs = range_join(snaps, t.deltas.select("ticker", "conn", F.col("ord").alias("d_ord")), ["ticker", "conn"], "ord", "d_ord", -1, 14_400 * SECOND)
-    return pairs.groupBy("ticker", "ord").agg(F.count("*").alias("n"))
+    snaps = t.frames.where("kind = 'snapshot'").select("ticker", F.when(F.col("ord") % 4 != 0, F.col("conn")).alias("conn"), "ord")
+    return tape.scoped_deltas(snaps, t.deltas, 14_400 * SECOND, DAY)
 
 
 @query("j19_common_tickers", "select ticker, count(*) as n from trades where ticker in (select ticker from snapshots) and ticker in (select ticker from deltas) group by ticker")
@@ -324,12 +350,14 @@ def _(t):
     return t.markets.join(t.fills.select("ticker").distinct(), "ticker", "left_anti").select("ticker")
 
 
-@query("d05_presence_and_gaps", "select count(conn) as conns, count(sid) as sids, count(seq) as seqs, count(*) filter (gap > 3600000000) as long_gaps from (select *, ord - lag(ord) over (partition by ticker order by ord) as gap from deltas)")
+@query("d05_presence_and_gaps", ", g as (select *, ord - lag(ord) over w as gap, sid is distinct from lag(sid) over w and lag(ord) over w is not null as moved from deltas window w as (partition by ticker order by ord)) select count(conn) as conns, count(sid) as sids, count(seq) as seqs, count(*) filter (gap > 3600000000) as long_gaps, count(*) filter (moved) as sid_transitions, max(gap) as longest from g")
 def _(t):
-    gap = F.col("ord") - F.lag("ord").over(Window.partitionBy("ticker").orderBy("ord"))
-    return t.deltas.withColumn("gap", gap).agg(F.count("conn").alias("conns"), F.count("sid").alias("sids"), F.count("seq").alias("seqs"), F.count_if(F.col("gap") > 3600 * SECOND).alias("long_gaps"))
+    rows = neighbour(t.deltas, ["ticker"], ["ord"], DAY, ["ord", "sid"], "before")
+    gap = F.col("ord") - F.col("before.ord")
+    moved = F.col("before").isNotNull() & ~F.col("sid").eqNullSafe(F.col("before.sid"))
+    return rows.agg(F.count("conn").alias("conns"), F.count("sid").alias("sids"), F.count("seq").alias("seqs"), F.count_if(gap > 3600 * SECOND).alias("long_gaps"), F.count_if(moved).alias("sid_transitions"), F.max(gap).alias("longest"))
 
 
-@query("d08_tape_summary", "select count(*) as n, count(distinct ticker) as n_tickers, min(t) as first, max(t) as last, min(price) as least, max(price) as most, count(*) filter (price not between 1 and 99) as bad_price, count(*) filter (size <= 0) as bad_size from tape")
+@query("d08_tape_summary", "select count(*) as n, count(distinct ticker) as n_tickers, min(ord) as first, max(ord) as last, min(price) as least, max(price) as most, count(*) filter (price not between 1 and 99) as bad_price, count(*) filter (size <= 0) as bad_size, (select sum(c) - count(*) from (select count(*) as c from trades group by ticker, ord, price, size, taker)) as n_duplicate, round(avg(cast(sid is not null as int)), 6) as exchange_share, round(avg(cast(seq is not null as int)), 6) as seq_share from trades")
 def _(t):
-    return quality.summary(t.tape, "t")
+    return quality.summary(t.trades.withColumn("t_exchange", F.when(F.col("sid").isNotNull(), F.col("ord"))), "ord", ["ticker", "ord", "price", "size", "taker"])
