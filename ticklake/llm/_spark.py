@@ -36,9 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     Results may still be read from these files when they are computed, so none is deleted here. All of an application's
     lie under its id in the checkpoint folder, which may go once the application has ended.
     """
-    spark, path = df.sparkSession, kept_folder(df.sparkSession, "cut")
+    return cut_at(df, kept_folder(df.sparkSession, "cut"))
+
+
+def cut_at(df: DataFrame, path: str) -> DataFrame:
+    """As ``cut``, in a folder that the caller may ``remove`` once nothing that reads it is left to run."""
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:

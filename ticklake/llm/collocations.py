@@ -23,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklake.llm._spark import cut, map_arrow
+from ticklake.llm._spark import cut, cut_at, kept_folder, map_arrow, remove
 from ticklake.llm._text import LOWER, Words, blocks, mix
 from ticklake.llm.merkle import ranked
 
@@ -190,11 +190,14 @@ SHARD = "shard bigint, text binary, size bigint, words array<struct<lang: string
 
 
 def _packed(text: np.ndarray) -> pa.Array:
-    return pa.array([pa.compress(text.astype(np.int32).tobytes(), "zstd", asbytes=True)], pa.binary())
+    """The words' lowest bytes, then their next ones, and so on, compressed."""
+    planes = np.ascontiguousarray(text.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())
 
 
 def _text(held: pa.Scalar, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(held.as_buffer(), 4 * size, "zstd"), np.int32)
+    planes = np.frombuffer(pa.decompress(held.as_buffer(), 4 * size, "zstd"), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _single_zeros(text: np.ndarray) -> np.ndarray:
@@ -329,9 +332,12 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 5, text: str = "text"
     Null and empty texts hold nothing; a text of any length is read whole, as a shard of its own where it is longer than
     one; repeated rows count each. Word ids are the tables' own. A word is told from others of its shard by 64 bits.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    shards = cut(map_arrow(rows, _shards, SHARD))
+    folder = kept_folder(spark, "shards")
+    shards = cut_at(map_arrow(rows, _shards, SHARD), folder)
+    totals = cut(shards.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")))
     held = shards.select("shard", F.posexplode("words").alias("code", "w")).select("shard", (F.col("code") + 1).cast("bigint").alias("code"), "w.*")
     words = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     words = ranked(words.withColumn("all", F.lit(0)), "all", ["lang", "word"])
@@ -343,7 +349,9 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 5, text: str = "text"
     else:
         known = held.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
         named = shards.select("shard", "text", "size").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_rename_own, SHARD_OF_WORDS)
-    named, out = cut(named), None
+    last, folder, out = folder, kept_folder(spark, "shards"), None
+    named = cut_at(named, folder)
+    remove(spark, last)  # all that is made of them so far is kept
     for length in range(2, most + 1):
         run, schema = _count(length)
         found, keys = named.mapInArrow(run, schema), [f"k{k}" for k in range((length + 1) // 2)]
@@ -360,9 +368,10 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 5, text: str = "text"
         else:
             known = found.select(F.col("shard").alias("of"), *keys).join(frequent.select(*keys), keys).select("of", *keys)
             named = named.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_keep_own(length), SHARD_OF_WORDS)
-        named = cut(named)
-    totals = shards.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
-    return words, cut(out), cut(totals)
+        last, folder = folder, kept_folder(spark, "shards")
+        named = cut_at(named, folder)
+        remove(spark, last)
+    return words, cut(out), totals
 
 
 def mine(docs: DataFrame, least: int = 100, most: int = 5, percent: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
