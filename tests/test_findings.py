@@ -18,10 +18,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are
 def test_seconds_to_ns_of_all_events(spark, tmp_path):
     events = f"{tmp_path}/events.parquet"
     spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") + 700).write.parquet(events)
-    got = sorted(map(tuple, QUERIES["p10_seconds_to_ns_all"](spark, str(tmp_path)).select("event_id", "ns").collect()))
+    got = sorted(map(tuple, QUERIES["p10_seconds_to_ns"](spark, str(tmp_path)).select("event_id", "ns").collect()))
     c = duckdb.connect()
     c.execute(f"create view events as select * from '{events}/*.parquet'")
-    sql = ORACLES["p10_seconds_to_ns_all"]
+    sql = ORACLES["p10_seconds_to_ns"]
     for name in ("orders", "customer", "lineitem"):
         c.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     assert got == sorted(c.execute(f"select event_id, ns from ({sql}) x").fetchall())
@@ -29,7 +29,7 @@ def test_seconds_to_ns_of_all_events(spark, tmp_path):
 
 
 def test_win_probability_of_all_orders(spark):
-    got = dict(map(tuple, QUERIES["p18_win_probability_all"](spark, SF).select("o_orderkey", "p").collect()))
+    got = dict(map(tuple, QUERIES["p18_win_probability"](spark, SF).select("o_orderkey", "p").collect()))
     keys = [r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
     assert sorted(got) == sorted(keys) and any(k % 10 for k in keys)
     for k, p in got.items():

@@ -50,10 +50,10 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
-def win_probability(lead: Column, seconds: Column) -> Column:
-    """The home side's chance with a lead and seconds left; decided once no time is left, even if level."""
+def win_probability(lead: Column, seconds: Column, rate: Column | float = VARIANCE) -> Column:
+    """The home side's chance with a lead and seconds left, the lead's variance growing by ``rate`` a second; decided once no time is left, even if level."""
     level = F.when(lead > 0, 1.0).when(lead < 0, 0.0).otherwise(0.5)
-    return F.when(seconds <= 0, level).otherwise(normal_cdf((lead + DRIFT * seconds / REGULATION) / F.sqrt(VARIANCE * F.greatest(seconds, F.lit(1e-9)))))
+    return F.when(seconds <= 0, level).otherwise(normal_cdf((lead + DRIFT * seconds / REGULATION) / F.sqrt(rate * F.greatest(seconds, F.lit(1e-9)))))
 
 
 def series(ticker: Column) -> Column:

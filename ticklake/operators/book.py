@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ticklake.functions.money import consumed
+from ticklake.operators.kept import kept
+
 DEPTH = 10
 
 
@@ -182,8 +186,13 @@ def depth(frames: DataFrame) -> DataFrame:
     length takes the memory of one batch; all changes of one ``ord`` apply together. A snapshot without levels opens an
     empty book, whose row has nulls and zeros.
     """
+    return fold(_dealt(frames))
+
+
+def fold(changes: DataFrame) -> DataFrame:
+    """Depth rows of changes (ticker, epoch, ord, side, price, change) that are dealt by ticker and epoch and sorted."""
     schema = "ticker string, epoch bigint, ord bigint, " + ", ".join(f"{c} {kind_of(c)}" for c in _order())
-    return _dealt(frames).mapInArrow(_fold, schema)
+    return changes.mapInArrow(_fold, schema)
 
 
 def history(frames: DataFrame) -> DataFrame:
@@ -193,9 +202,15 @@ def history(frames: DataFrame) -> DataFrame:
 
 def _dealt(frames: DataFrame) -> DataFrame:
     """All changes, and one of nothing per snapshot, dealt by ticker and epoch and sorted."""
-    empty = frames.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), "ord", F.lit("yes").alias("side"), F.lit(1).alias("price"), F.lit(0).cast("bigint").alias("change"))
-    changes = level_changes(frames).select("ticker", F.col("epoch").cast("bigint"), F.col("ord").cast("bigint"), "side", F.col("price").cast("int"), F.col("change").cast("bigint"))
-    every = changes.unionByName(empty.select(*changes.columns))
+    return _sorted(level_changes(frames).unionByName(_openings(frames)))
+
+
+def _openings(frames: DataFrame) -> DataFrame:
+    return frames.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), "ord", F.lit("yes").alias("side"), F.lit(1).alias("price"), F.lit(0).cast("bigint").alias("change"))
+
+
+def _sorted(changes: DataFrame) -> DataFrame:
+    every = changes.select("ticker", F.col("epoch").cast("bigint"), F.col("ord").cast("bigint"), "side", F.col("price").cast("int"), F.col("change").cast("bigint"))
     return every.repartition("ticker", "epoch").sortWithinPartitions("ticker", "epoch", "ord")
 
 
@@ -289,21 +304,168 @@ def violations(books: DataFrame) -> DataFrame:
     return books.select("ticker", "ord", F.explode(found).alias("v")).select("ticker", "ord", "v.*")
 
 
-def repaired(frames: DataFrame, most_skipped: int) -> DataFrame:
-    """Another repair: snapshots whose book would be cleared, as more than ``most_skipped`` deltas of other subscriptions follow in the epoch.
+def fold_changes(frames: DataFrame, changes: DataFrame) -> DataFrame:
+    """Depth rows of changes (ticker, epoch, ord, side, price, change) that some rule makes of the frames, and of their snapshots."""
+    return fold(_sorted(changes.select("ticker", "epoch", "ord", "side", "price", "change").unionByName(_openings(frames))))
+
+
+def trade_deltas(trades: DataFrame) -> DataFrame:
+    """Trades as the deltas that they would make: at the side and price that they consumed, by their size."""
+    side, price = consumed(F.col("taker"), F.col("price"))
+    return trades.select("ticker", "ord", F.lit("delta").alias("kind"), "conn", "sid", "seq", side.alias("side"), price.alias("price"), (-F.col("size")).cast("bigint").alias("delta"))
+
+
+def _boundaries(frames: DataFrame) -> DataFrame:
+    snaps = frames.where("kind = 'snapshot'").select("ticker", "conn", F.col("ord").alias("epoch"))
+    return snaps.withColumn("next_epoch", F.lead("epoch").over(Window.partitionBy("ticker", "conn").orderBy("epoch"))).where("next_epoch is not null").drop("conn")
+
+
+def _drift(pairs: DataFrame, last: DataFrame, opened: DataFrame) -> DataFrame:
+    """Per boundary (ticker, epoch, next_epoch) how far the last levels (ticker, epoch, side, price, qty) are from those that the next snapshot opens with."""
+    rebuilt = pairs.join(last, ["ticker", "epoch"]).select("ticker", "epoch", "next_epoch", "side", "price", F.col("qty").alias("d"))
+    stated = pairs.join(opened.withColumnRenamed("epoch", "next_epoch"), ["ticker", "next_epoch"]).select("ticker", "epoch", "next_epoch", "side", "price", (-F.col("qty")).alias("d"))
+    apart = rebuilt.unionByName(stated).groupBy("ticker", "epoch", "next_epoch", "side", "price").agg(F.abs(F.sum("d")).alias("d"))
+    found = apart.groupBy("ticker", "epoch", "next_epoch").agg(F.sum("d").alias("drift"), F.count_if(F.col("d") > 0).alias("wrong"))
+    return pairs.join(found, ["ticker", "epoch", "next_epoch"], "left").na.fill(0, ["drift", "wrong"])
+
+
+def drift_by_boundary(frames: DataFrame) -> DataFrame:
+    """Per ticker and next snapshot on its connection, also without deltas between: ticker, epoch, next_epoch, drift (sum of size differences) and wrong (levels)."""
+    last = level_state(frames).groupBy("ticker", "epoch", "side", "price").agg(F.max_by("qty", "ord").alias("qty"))
+    return _drift(_boundaries(frames), last, seeds(frames))
+
 
-    Columns: ticker, epoch, skipped, cleared_at (the ord of the delta that goes over the limit).
+def drift_with_trades(frames: DataFrame, trades: DataFrame) -> DataFrame:
+    """Per ticker the drift at snapshots without and with trades taken off the book as they arrive: boundaries, mean, most and
+    wrong levels of both, and at how many boundaries which is less. If trades already come as deltas, with them is worse."""
+    both = frames.where("kind in ('snapshot', 'delta')").unionByName(trade_deltas(trades), allowMissingColumns=True)
+    plain = drift_by_boundary(frames)
+    taken = drift_by_boundary(both).withColumnsRenamed({"drift": "drift_with", "wrong": "wrong_with"})
+    a, b = F.col("drift"), F.col("drift_with")
+    return plain.join(taken, ["ticker", "epoch", "next_epoch"]).groupBy("ticker").agg(
+        F.count("*").alias("boundaries"), F.round(F.avg(a), 6).alias("mean_without"), F.max(a).alias("most_without"), F.sum("wrong").alias("wrong_without"),
+        F.round(F.avg(b), 6).alias("mean_with"), F.max(b).alias("most_with"), F.sum("wrong_with").alias("wrong_with"), F.count_if(b < a).alias("with_less"), F.count_if(a < b).alias("without_less"), F.count_if(a == b).alias("level"),
+    )
+
+
+def _repair(limit: int, restart: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sid, skipped, start = None, None, 0, None
+        for batch in batches:
+            starts = []
+            for ticker, epoch, epoch_sid, ord_, own in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if (ticker, epoch) != key:
+                    key, sid, skipped, start = (ticker, epoch), epoch_sid, 0, epoch
+                applies = start is not None
+                if applies and own is not None and sid is not None and own != sid:
+                    skipped, applies = skipped + 1, False
+                    if skipped >= limit:
+                        skipped, start, applies = 0, ord_ if restart else None, restart
+                        sid = own
+                elif applies:
+                    skipped = 0
+                starts.append(start if applies else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), pa.array([s is None for s in starts])], [*batch.schema.names, "start", "dropped"])
+
+    return run
+
+
+def repaired(frames: DataFrame, limit: int = 1, restart: bool = False) -> DataFrame:
+    """Another rule for foreign subscriptions: changes of levels (ticker, opened, epoch, ord, side, price, change) under it.
+
+    The standard rule passes over deltas of another subscription than the snapshot's. Here the ``limit``-th in a row clears the
+    book: it is gone until the next snapshot, or with ``restart`` begins anew, empty, on that subscription with that delta.
+    ``opened`` is the snapshot that an epoch descends from and ``epoch`` the ord at which it starts; the count begins anew
+    with each snapshot. Deltas are dealt by ticker and snapshot and folded in order.
+    """
+    rows = with_epoch(frames).where((F.col("kind") == "delta") & F.col("epoch").isNotNull()).select("ticker", F.col("epoch").cast("bigint"), F.col("epoch_sid").cast("bigint"), F.col("ord").cast("bigint"), F.col("sid").cast("bigint"), "side", F.col("price").cast("int"), F.col("delta").cast("bigint"))
+    schema = rows.schema.add("start", "long").add("dropped", "boolean")
+    told = rows.repartition("ticker", "epoch").sortWithinPartitions("ticker", "epoch", "ord").mapInArrow(_repair(limit, restart), schema)
+    kept_ = told.where("not dropped").select("ticker", F.col("epoch").alias("opened"), F.col("start").alias("epoch"), "ord", "side", "price", F.col("delta").alias("change"))
+    at = seeds(frames).select("ticker", F.col("epoch").cast("bigint").alias("opened"), F.col("epoch").cast("bigint"), F.col("epoch").cast("bigint").alias("ord"), "side", F.col("price").cast("int"), F.col("qty").cast("bigint").alias("change"))
+    return at.unionByName(kept_)
+
+
+def repair_report(frames: DataFrame, rules: dict[str, tuple[int, bool] | None]) -> DataFrame:
+    """Rules of repair side by side: per rule and ticker the depth rows, those with a spread and the crossed ones, the boundaries at
+    which the rule still has applied the last delta's book, and the drift there against the next snapshot.
+
+    ``rules`` name (limit, restart) of ``repaired``, or None for the standard rule.
     """
-    foreign = stale_deltas(frames).where("reason = 'other_subscription'")
-    ranked = foreign.withColumn("rn", F.row_number().over(Window.partitionBy("ticker", "epoch").orderBy("ord")))
-    over = F.min(F.when(F.col("rn") == most_skipped + 1, F.col("ord")))
-    return ranked.groupBy("ticker", "epoch").agg(F.count("*").alias("skipped"), over.alias("cleared_at"))
-
-
-def require_valid(books: DataFrame) -> DataFrame:
-    """The books, after one count of all their violations but crossed rows; raises if there is any."""
-    found = violations(books).where("check <> 'crossed'")
-    n = found.count()
-    if n:
-        raise ValueError(f"{n} rows break the book's invariants, such as {found.first()}")
-    return books
+    pairs, opened, out = _boundaries(frames), seeds(frames), None
+    deltas = with_epoch(frames).where((F.col("kind") == "delta") & F.col("epoch").isNotNull()).groupBy("ticker", F.col("epoch").alias("opened")).agg(F.max("ord").alias("last"))
+    for name, rule in rules.items():
+        changes = kept(repaired(frames, *rule) if rule else level_changes(frames).select("ticker", F.col("epoch").alias("opened"), "epoch", "ord", "side", "price", "change"), "changes")
+        books = fold_changes(frames, changes)
+        counted = books.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.count("spread").alias("n_spreads"), F.count_if(F.col("spread") < 0).alias("n_crossed"))
+        w = Window.partitionBy("ticker", "epoch", "side", "price").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = changes.withColumn("__sum", F.sum("change").over(w))
+        state = summed.withColumn("qty", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(w)))
+        finals = state.groupBy("ticker", "opened", "epoch", "side", "price").agg(F.max_by("qty", "ord").alias("qty"))
+        newest = changes.groupBy("ticker", "opened").agg(F.max("epoch").alias("epoch"))
+        last = finals.join(newest, ["ticker", "opened", "epoch"]).select("ticker", F.col("opened").alias("epoch"), "side", "price", "qty")
+        if rule and not rule[1]:  # a cleared book has no state to compare
+            alive = repaired_alive(frames, rule[0])
+            own = pairs.join(alive, ["ticker", "epoch"], "left_anti")
+        else:
+            own = pairs
+        drift = _drift(own, last, opened).groupBy("ticker").agg(F.count("*").alias("boundaries"), F.sum("drift").alias("drift"), F.sum("wrong").alias("wrong"))
+        rows = counted.join(drift, "ticker", "left").na.fill(0, ["boundaries", "drift", "wrong"]).select(F.lit(name).alias("rule"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def repaired_alive(frames: DataFrame, limit: int) -> DataFrame:
+    """Snapshots (ticker, epoch) whose book the rule without restart clears: ``limit`` foreign deltas stand in a row."""
+    rows = with_epoch(frames).where((F.col("kind") == "delta") & F.col("epoch").isNotNull())
+    w = Window.partitionBy("ticker", "epoch").orderBy("ord")
+    foreign = F.coalesce((F.col("sid") != F.col("epoch_sid")).cast("int"), F.lit(0))
+    run = rows.withColumn("__f", foreign).withColumn("__run", F.sum("__f").over(w.rowsBetween(-limit + 1, Window.currentRow)))
+    return run.where(F.col("__run") == limit).select("ticker", "epoch").distinct()
+
+
+def build_date(frames: DataFrame, date: str, before: str, conn: str | None = None) -> DataFrame:
+    """The valid depth rows of one date of a dated frame table (column ``dt``), seeded with the day before: a connection that spans
+    midnight goes on from its books.
+
+    Only the partitions ``date`` and ``before`` are read. Of the latter come the frames of the connection of the date's first
+    delta (``conn``, looked up if not given); their own rows are left out, and books that are crossed as the date begins are
+    dropped until their next snapshot. Without a delta, or if its connection is unknown, nothing is seeded.
+    """
+    today = frames.where(F.col("dt") == date)
+    if conn is None:
+        first = today.where("kind = 'delta'").agg(F.min_by("conn", F.struct("ord", "seq"))).first()
+        conn = first[0]
+    rows = today.withColumn("__seed", F.lit(0))
+    if conn is not None:
+        seed = frames.where((F.col("dt") == before) & (F.col("conn") == conn) & F.col("kind").isin("snapshot", "delta"))
+        rows = rows.unionByName(seed.withColumn("__seed", F.lit(1)))
+    opened = rows.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), "__seed")
+    begins = today.agg(F.min("ord").alias("__begins"))
+    books = depth(rows.drop("dt", "__seed")).crossJoin(F.broadcast(begins))  # one row
+    old = F.col("ord") < F.col("__begins")
+    w = Window.partitionBy("ticker", "epoch").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crossed = F.last(F.when(old, F.col("spread") < 0)).over(Window.partitionBy("ticker", "epoch", old).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = books.withColumn("__at", F.max(F.when(old, F.coalesce(crossed, F.lit(False)))).over(w))
+    valid = valid_books(marked.where(~F.coalesce("__at", F.lit(False)) | old))
+    return valid.where(F.col("ord") >= F.col("__begins")).join(opened.drop("__seed"), ["ticker", "epoch"], "left_semi").drop("__begins", "__at")
+
+
+def observed(books: DataFrame) -> tuple[DataFrame, Observation]:
+    """The books with the metrics of their invariants, which the job that writes them collects on its way: n_rows, n_spreads,
+    n_crossed, n_negative (rows with a negative size) and n_outside (with a price outside 1 to 99)."""
+    sizes = [c for c in DEPTH_COLUMNS if c.endswith("_size")]
+    some = lambda tests: F.greatest(*[F.coalesce(x.cast("int"), F.lit(0)) for x in tests])
+    watch = Observation(f"books-{uuid4().hex}")
+    counts = {"n_negative": some([F.col(c) < 0 for c in sizes]), "n_outside": some([~F.col(c[:-5]).between(1, 99) for c in sizes])}
+    own = [F.count(F.lit(1)).alias("n_rows"), F.count("spread").alias("n_spreads"), F.count_if(F.col("spread") < 0).alias("n_crossed"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in counts.items()]]
+    return books.observe(watch, *own), watch
+
+
+def require_valid(metrics: dict, most_crossed: float | None = None) -> None:
+    """Raises if ``observed``'s metrics break an invariant: a negative size, a price outside 1 to 99, or more than the given share of spreads crossed."""
+    failed = [n for n in ("n_negative", "n_outside") if metrics[n]]
+    if most_crossed is not None and metrics["n_crossed"] > most_crossed * metrics["n_spreads"]:
+        failed.append("n_crossed")
+    if failed:
+        raise ValueError(f"{', '.join(failed)}: {metrics}")

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ticklake.functions.game import win_probability
 from ticklake.functions.money import edge
-from ticklake.operators.joins import range_join
+from ticklake.operators.joins import asof, range_join
+from ticklake.operators.kept import kept
+from ticklake.operators.quantiles import quantiles
+from ticklake.operators.ranges import neighbour, running
+from ticklake.operators.search import first_beyond
 
 
 def score(aligned: DataFrame, yes_is_home: Column, chance: Callable[[Column, Column], Column] = win_probability) -> DataFrame:
@@ -20,9 +24,9 @@ def score(aligned: DataFrame, yes_is_home: Column, chance: Callable[[Column, Col
     return aligned.withColumn("p", chance(F.col("lead"), F.col("secs").cast("double"))).withColumn("edge", edge(F.col("p"), F.col("price"), yes_is_home))
 
 
-def brier(scored: DataFrame, keys: list[str]) -> DataFrame:
+def brier(scored: DataFrame, keys: list[str | Column], digits: int = 6) -> DataFrame:
     """Mean squared error of model and market, rounded; null without rows."""
-    square = lambda c: F.round(F.avg(F.pow(F.col(c) - F.col("won"), 2)), 6)
+    square = lambda c: F.round(F.avg(F.pow(F.col(c) - F.col("won"), 2)), digits)
     return scored.groupBy(*keys).agg(F.count("*").alias("n"), square("p").alias("model"), square("m").alias("market"))
 
 
@@ -37,6 +41,45 @@ def calibration(scored: DataFrame, bins: int) -> DataFrame:
     return scored.groupBy(equal_bin(F.col("p"), bins).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("won"), 6).alias("rate"))
 
 
+def with_better(games: DataFrame) -> DataFrame:
+    """``brier``'s rows with whose error is less: model, market or level."""
+    return games.withColumn("better", F.when(F.col("model") < F.col("market"), "model").when(F.col("model") > F.col("market"), "market").otherwise("level"))
+
+
+def edge_by(scored: DataFrame, bins: dict[str, Column]) -> DataFrame:
+    """Mean and deviation of p - m per bin of each of several dimensions, in one pass."""
+    own = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), b.cast("bigint").alias("bin")) for name, b in bins.items()])).alias("d")
+    rows = scored.select((F.col("p") - F.col("m")).alias("e"), own).select("e", "d.*")
+    return rows.groupBy("dimension", "bin").agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean_edge"), F.round(F.stddev_pop("e"), 6).alias("deviation"))
+
+
+def reliability(states: DataFrame, rate: DataFrame, factor: float = 1.0, bins: int = 10) -> DataFrame:
+    """Calibration bins of the chances that states (lead, secs, m, won) have under a variance rate (one row, ``rate``, times ``factor``), with the rate, and the Brier scores of model and market."""
+    rows = states.crossJoin(F.broadcast(rate))  # one row
+    p = win_probability(F.col("lead"), F.col("secs").cast("double"), F.col("rate") * factor)
+    rows = kept(rows.select(p.alias("p"), "m", "won", "rate"))
+    score = rows.agg(*[F.round(F.avg(F.pow(F.col(c) - F.col("won"), 2)), 6).alias(n) for c, n in (("p", "brier"), ("m", "market_brier"))], F.round(F.max("rate"), 9).alias("rate"))
+    return calibration(rows, bins).withColumnRenamed("rate", "rate_won").crossJoin(F.broadcast(score))  # one row
+
+
+def sensitivity(states: DataFrame, thresholds: list[float], rates: list[float], most_secs: list[int], caps: list[int], width: int) -> DataFrame:
+    """Profit of trades held to settlement for every combination of least edge, variance rate, latest time left and position cap.
+
+    The chance is worked out once a rate, a trade stands once for each combination that takes it, and positions run per
+    combination and ticker in ranges of ``width``. A combination without trades has no row.
+    """
+    each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    rows = states.select("*", each("rate", rates)).withColumn("p", win_probability(F.col("lead"), F.col("secs").cast("double"), F.col("rate")))
+    rows = rows.select("ticker", "ord", "won", "m", "p", "secs", "rate", each("threshold", thresholds)).where(F.abs(F.col("p") - F.col("m")) > F.col("threshold"))
+    rows = rows.select("*", each("most_secs", most_secs)).where("secs <= most_secs").select("*", each("cap", caps))
+    keys = ["threshold", "rate", "most_secs", "cap"]
+    taken = rows.withColumn("d", F.when(F.col("p") > F.col("m"), 1).otherwise(-1))
+    held = running(taken, [*keys, "ticker"], ["ord"], width, after=("sum", "d"))
+    held = running(held, [*keys, "ticker"], ["ord"], width, inclusive=False, most=("max", F.abs("after"))).where(F.coalesce("most", F.lit(0)) < F.col("cap"))
+    pnl = F.col("d") * (F.col("won") - F.col("m"))
+    return held.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(pnl), 6).alias("pnl"), F.round(F.avg((pnl > 0).cast("int")), 6).alias("win_rate"))
+
+
 def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n"), 6).alias("ece"))
 
@@ -51,10 +94,9 @@ def threshold_pnl(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     return done.groupBy("threshold").agg(F.count("pnl").alias("n"), F.round(F.coalesce(F.sum("pnl"), F.lit(0.0)), 6).alias("pnl"), F.count_if(F.col("pnl") > 0).alias("wins"), F.round(F.avg(taken), 6).alias("mean_edge"))
 
 
-def score_changes(states: DataFrame) -> DataFrame:
-    """States (ticker, ord, diff) whose diff isn't that of the one before, with that one's diff and ord."""
-    w = Window.partitionBy("ticker").orderBy("ord")
-    rows = states.withColumn("before", F.lag("diff").over(w)).withColumn("before_ord", F.lag("ord").over(w))
+def score_changes(states: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """States (ticker, ord, diff) whose diff isn't that of the one before, with that one's diff and ord; ``width`` as in ``ranges.neighbour``."""
+    rows = neighbour(states, ["ticker"], ["ord"], width, ["diff", "ord"], "b").withColumns({"before": F.col("b.diff"), "before_ord": F.col("b.ord")})
     return rows.where("before is not null and diff <> before").select("ticker", "ord", "diff", "before", "before_ord")
 
 
@@ -67,12 +109,43 @@ def around(events: DataFrame, trades: DataFrame, span: int) -> DataFrame:
     return pairs.groupBy("ticker", "ord").agg(F.count_if(before).alias("n_before"), F.count_if(after).alias("n_after"), last.alias("price_before"), first.alias("price_after"))
 
 
-def front_running(changes: DataFrame, trades: DataFrame, span: int) -> DataFrame:
-    """Changes with trades in the ``span`` before, and those before which two trades or more moved 2 cents or more the change's way."""
-    way = F.signum(F.col("diff") - F.col("before")).alias("way")
-    pairs = range_join(changes.select("ticker", "ord", way), trades.select("ticker", F.col("ord").alias("t_ord"), "price"), ["ticker"], "ord", "t_ord", span, -1)
-    moves = pairs.groupBy("ticker", "ord", "way").agg(F.count("*").alias("n"), (F.max_by("price", "t_ord") - F.min_by("price", "t_ord")).alias("move"))
-    return moves.agg(F.count("*").alias("n"), F.count_if((F.col("n") >= 2) & (F.abs("move") >= 2) & (F.signum("move") == F.col("way"))).alias("ahead"))
+def reactions(events: DataFrame, trades: DataFrame, span: int, move: int = 2, within: int = 50, width: int = 86_400_000_000) -> DataFrame:
+    """Per event (ticker, ord) with trades within ``span`` on both sides: price_before, price_after and, of the ``within`` trades from
+    the first one after it on, when the first moved ``move`` cents or more off the price before: ``moved_at``, else null.
+
+    Trades of a ticker are numbered along their order. An event asks for the first price beyond two bounds among numbers, so
+    no event meets ``within`` rows. ``width`` is the range of ord worked at once. A trade at the event's own time is on neither side.
+    """
+    counted = running(trades.select("ticker", "ord", "price"), ["ticker"], ["ord", "price"], width, rn=("count", F.lit(1)))
+    sides = asof(events, counted.withColumnRenamed("price", "price_before"), ["ticker"], "ord", "ord", ["price_before"], exact=False, width=width).withColumnRenamed("asof_on", "before_at")
+    sides = asof(sides, counted.select("ticker", "ord", (-F.col("rn")).alias("back"), F.col("price").alias("price_after")), ["ticker"], "ord", "ord", ["back", "price_after"], exact=False, forward=True, width=width)
+    sides = sides.where((F.col("ord") - F.col("before_at") < span) & (F.col("asof_on") - F.col("ord") < span)).drop("before_at", "asof_on")
+    asked = sides.withColumns({"id": F.struct("ticker", "ord"), "after": -F.col("back") - 1, "until": -F.col("back") + within - 1, "low": F.col("price_before") - move, "high": F.col("price_before") + move})
+    found = first_beyond(asked, counted, ["ticker"], "rn", "price", width=8, levels=1)
+    times = found.join(counted.select("ticker", F.col("rn").alias("hit"), F.col("ord").alias("moved_at")), ["ticker", "hit"], "left")
+    return times.select("ticker", "ord", "price_before", "price_after", "moved_at")
+
+
+def front_running(changes: DataFrame, trades: DataFrame, earliest: int, latest: int) -> DataFrame:
+    """Each change (ticker, ord, diff, before) with ``ahead``: whether two trades or more, from more than ``latest`` to less than
+    ``earliest`` before it, moved 2 cents or more the change's way."""
+    way = F.signum(F.col("diff") - F.col("before"))
+    pairs = range_join(changes.select("ticker", "ord", way.alias("way")), trades.select("ticker", F.col("ord").alias("t_ord"), "price"), ["ticker"], "ord", "t_ord", earliest - 1, -latest - 1, "left")
+    moves = pairs.groupBy("ticker", "ord", "way").agg(F.count("t_ord").alias("n"), (F.max_by("price", "t_ord") - F.min_by("price", "t_ord")).alias("move"))
+    ahead = (F.col("n") >= 2) & (F.abs("move") >= 2) & (F.signum("move") == F.col("way"))
+    return moves.select("ticker", "ord", F.coalesce(ahead, F.lit(False)).alias("ahead"))
+
+
+def information_delay(changes: DataFrame, trades: DataFrame, span: int, earliest: int, latest: int) -> DataFrame:
+    """One row on score changes: how many, with trades around them, and with a reaction; its mean, median, least and most time; how
+    long after the state before they were detected; and those that the market ran ahead of, with their rate."""
+    reacted = reactions(changes.select("ticker", "ord"), trades, span).select("ticker", "ord", (F.col("moved_at") - F.col("ord")).alias("reaction"), F.lit(True).alias("around"))
+    rows = kept(changes.join(reacted, ["ticker", "ord"], "left").join(front_running(changes, trades, earliest, latest), ["ticker", "ord"]).select((F.col("ord") - F.col("before_ord")).alias("detection"), "reaction", "around", "ahead"))
+    n, r, ahead = F.count("*"), F.col("reaction"), F.count_if("ahead")
+    return rows.agg(
+        n.alias("n"), F.count("around").alias("n_around"), F.count(r).alias("n_reactions"), F.round(F.avg(r), 3).alias("mean_reaction"), F.lit(quantiles(rows, "reaction", [0.5])[0]).cast("double").alias("median_reaction"), F.min(r).alias("least_reaction"), F.max(r).alias("most_reaction"),
+        F.round(F.avg("detection"), 3).alias("mean_detection"), ahead.alias("ahead"), F.round(F.try_divide(ahead, n), 6).alias("ahead_rate"),
+    )
 
 
 def horizon_pairs(rows: DataFrame, horizons: list[int], unit: int) -> DataFrame:
@@ -104,8 +177,37 @@ def convergence(rows: DataFrame, entry: float, exit_: float) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("out").isNull(), "settlement").otherwise("converged"))
 
 
-def stop_loss(trades: DataFrame, share: float) -> DataFrame:
-    """Positions opened at each ticker's first trade: the first later one at which a long has lost ``share`` of its entry."""
-    opened = trades.groupBy("ticker").agg(F.min("ord").alias("opened"), F.min_by("price", "ord").alias("entry"))
-    lost = trades.join(opened, "ticker").where((F.col("ord") > F.col("opened")) & ((F.col("entry") - F.col("price")) / F.col("entry") >= share))
-    return lost.groupBy("ticker", "entry").agg(F.min("ord").alias("stop_at"))
+def row_pairs(rows: DataFrame, low: int, high: int, within: int, stride: int, width: int) -> DataFrame:
+    """Each ``stride``-th row of a ticker with the first of its next ``within`` rows that is more than ``low`` and less than ``high`` later: ord, ds, dt."""
+    counted = running(rows.select("ticker", "ord", "price"), ["ticker"], ["ord", "price"], width, rn=("count", F.lit(1)))
+    left = counted.where((F.col("rn") - 1) % stride == 0).select("ticker", "ord", "rn", F.col("price").alias("p0"), (F.col("ord") + low).alias("goal"))
+    ahead = asof(left, counted.select("ticker", "ord", F.col("rn").alias("rn2"), "price"), ["ticker"], "goal", "ord", ["rn2", "price"], exact=False, forward=True, width=width)
+    near = (F.col("rn2") - F.col("rn") <= within) & (F.col("asof_on") - F.col("ord") < high)
+    return ahead.where(near).select("ticker", "ord", (F.col("price") - F.col("p0")).alias("ds"), (F.col("asof_on") - F.col("ord")).alias("dt"))
+
+
+def stop_loss(positions: DataFrame, quotes: DataFrame, width: int = 3_600_000_000) -> DataFrame:
+    """``positions`` with ``stop_at`` and ``stop_mid``: the first quote (ticker, ord, mid in cents), after a position was opened and until
+    it was closed, at which it has lost its own ``share`` of what it can lose.
+
+    Positions have id, ticker, side (long or short), entry in cents, opened, closed (null while open) and share. A long
+    loses (entry - mid) / entry, a short (mid - entry) / (100 - entry); one that can lose nothing is stopped by no quote,
+    or by any if its share is 0 or less. Levels differ by position, so blocks of quotes by time hold their extremes and are
+    searched; see ``search.first_beyond``.
+    """
+    last = quotes.groupBy("ticker").agg(F.max("ord").alias("__last"))
+    long, e, share = F.col("side") == "long", F.col("entry").cast("double"), F.col("share")
+    low = F.when(long, F.when(e > 0, e * (1 - share)).when(share <= 0, F.lit(1e9)))
+    high = F.when(~long, F.when(e < 100, e + share * (100 - e)).when(share <= 0, F.lit(-1e9)))
+    asked = positions.join(last, "ticker").withColumns({"after": F.col("opened"), "until": F.least(F.coalesce("closed", "__last"), "__last"), "low": low, "high": high})
+    found = first_beyond(asked.select("id", "ticker", "after", "until", "low", "high"), quotes, ["ticker"], "ord", "mid", width)
+    return positions.join(found.select("id", F.col("hit").alias("stop_at"), F.col("hit_value").alias("stop_mid")), "id", "left")
+
+
+def flatten(positions: DataFrame, quotes: DataFrame, trades: DataFrame, before_end: int, width: int = 86_400_000_000) -> DataFrame:
+    """``positions`` with ``flat_at``: the first quote, after they were opened and until they were closed, that is within ``before_end`` of the ticker's last trade."""
+    ends = trades.groupBy("ticker").agg(F.max("ord").alias("last"))
+    goal = positions.join(ends, "ticker").withColumn("goal", F.greatest(F.col("opened") + 1, F.col("last") - before_end))
+    ahead = asof(goal, quotes.select("ticker", "ord"), ["ticker"], "goal", "ord", [], forward=True, width=width)
+    hit = F.when(F.col("closed").isNull() | (F.col("asof_on") <= F.col("closed")), F.col("asof_on"))
+    return positions.join(ahead.select("id", hit.alias("flat_at")), "id", "left")

@@ -10,11 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticklake.operators.kept import kept
+
 
 def _hit(low: Column, high: Column) -> Column:
     return F.coalesce(low <= F.col("low"), F.lit(False)) | F.coalesce(high >= F.col("high"), F.lit(False))
 
 
+def _placed(blocks: Column, level: int, size: int) -> Column:
+    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"), (b * size).alias("start")))
+
+
 def _cover(levels: int, width: int, fanout: int) -> Column:
     """Blocks (level, block, start) that together are the whole finest blocks between the columns ``__a`` and ``__z``, the latter not included."""
     a, z, parts = F.col("__a"), F.col("__z"), []
@@ -23,13 +29,12 @@ def _cover(levels: int, width: int, fanout: int) -> Column:
         whole = F.lit(level == levels) | (up_a >= up_z)
         blocks = lambda lo, hi: F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
         own = F.when(whole, blocks(a, z)).otherwise(F.concat(blocks(a, up_a * fanout), blocks(up_z * fanout, z)))
-        size = width * fanout**level
-        parts.append(F.transform(own, lambda b, level=level, size=size: F.struct(F.lit(level).alias("level"), b.alias("block"), (b * size).alias("start"))))
+        parts.append(_placed(own, level, width * fanout**level))
         a, z = F.when(whole, F.lit(0).cast("bigint")).otherwise(up_a), F.when(whole, F.lit(0).cast("bigint")).otherwise(up_z)
     return F.concat(*parts)
 
 
-def first_beyond(intervals: DataFrame, series: DataFrame, keys: list[str], order: str, value: str, width: int, levels: int = 4, fanout: int = 16) -> DataFrame:
+def first_beyond(intervals: DataFrame, series: DataFrame, keys: list[str], order: str, value: str, width: int, levels: int = 3, fanout: int = 16) -> DataFrame:
     """``intervals`` with ``hit``, the order of the first row of ``series`` at which ``value`` is at ``low`` or under, or at ``high`` or over, and ``hit_value``.
 
     Intervals have ``id``, the keys, ``after`` and ``until`` (a row counts if after < order <= until) and the bounds, of
@@ -38,6 +43,7 @@ def first_beyond(intervals: DataFrame, series: DataFrame, keys: list[str], order
     least value is taken. Repeated ids aren't told apart; null keys, orders and values are no hits.
     """
     points = series.select(*keys, F.col(order).cast("bigint").alias("__o"), F.col(value).alias("__v"), F.floor(F.col(order) / width).cast("bigint").alias("block")).where("__o is not null and __v is not null")
+    points = kept(points, "points")
     extremes, found = [], points.groupBy(*keys, "block").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     for level in range(levels + 1):
         extremes.append(found.withColumn("level", F.lit(level)))
@@ -45,8 +51,10 @@ def first_beyond(intervals: DataFrame, series: DataFrame, keys: list[str], order
     every = extremes[0]
     for one in extremes[1:]:
         every = every.unionByName(one)
+    every = kept(every, "extremes")
     block = lambda c: F.floor(F.col(c) / width).cast("bigint")
     asked = intervals.select("id", *keys, F.col("after").cast("bigint"), F.col("until").cast("bigint"), "low", "high").withColumns({"__a": block("after") + 1, "__z": block("until")})
+    asked = kept(asked, "asked")
 
     def first(rows: DataFrame) -> DataFrame:
         """Of each interval's blocks that hold a hit the first."""
@@ -60,12 +68,12 @@ def first_beyond(intervals: DataFrame, series: DataFrame, keys: list[str], order
     edges = asked.withColumn("block", F.explode(F.array_distinct(F.array(block("after"), block("until")))))
     inside = (F.col("__o") > F.col("after")) & (F.col("__o") <= F.col("until"))
     hits = rows_in(edges, inside)  # in the blocks that the interval cuts
-    whole = first(asked.where("__a < __z").select("id", *keys, "low", "high", F.explode(_cover(levels, width, fanout)).alias("b")).select("id", *keys, "low", "high", "b.*"))
+    whole = kept(first(asked.where("__a < __z").select("id", *keys, "low", "high", F.explode(_cover(levels, width, fanout)).alias("b")).select("id", *keys, "low", "high", "b.*")), "opened")
     for level in range(levels, 0, -1):
         size = width * fanout ** (level - 1)
         child = whole.where(F.col("level") == level).withColumn("block", F.explode(F.sequence(F.col("block") * fanout, (F.col("block") + 1) * fanout - 1)))
         opened = first(child.withColumns({"level": F.lit(level - 1), "start": F.col("block") * size}))
-        whole = whole.where(F.col("level") < level).unionByName(opened)
+        whole = kept(whole.where(F.col("level") < level).unionByName(opened), "opened")
     hits = hits.unionByName(rows_in(whole, F.lit(True)))
     best = hits.groupBy("id").agg(F.min("h").alias("h")).select("id", "h.*")
     return intervals.join(best, "id", "left")

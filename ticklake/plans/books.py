@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ticklake.functions import money
 from ticklake.operators import book
-from ticklake.plans.bridge import query
+from ticklake.operators.kept import folder, kept
+from ticklake.operators.quantiles import quantiles
+from ticklake.plans.bridge import BASE, query
+from ticklake.sources import sinks
 
 DAY_US = 86_400_000_000
 
@@ -126,6 +132,27 @@ def _(t):
     return rows.groupBy("ticker").agg(F.sum(F.abs(F.col("rebuilt") - F.col("snapshot"))).alias("drift"), F.count("*").alias("wrong_levels"), F.countDistinct("epoch").alias("boundaries"))
 
 
+#: Snapshots with the next one of their connection, and how far the last levels of a table are from what that opens with.
+_PAIRS = ", prs as (select * from (select ticker, conn, ord as epoch, lead(ord) over (partition by ticker, conn order by ord) as next_epoch from snapshots) where next_epoch is not null)"
+
+
+def _apart(name: str, lasts: str, pairs: str = "prs") -> str:
+    return f""", {name}x as (select p.ticker, p.epoch, f.side, f.price, f.qty as d from {pairs} p join ({lasts}) f on f.ticker = p.ticker and f.epoch = p.epoch union all select p.ticker, p.epoch, s.side, s.price, -s.qty from {pairs} p join seeds s on s.ticker = p.ticker and s.epoch = p.next_epoch),
+  {name}y as (select ticker, epoch, side, price, abs(sum(d)) as d from {name}x group by all), {name} as (select p.ticker, p.epoch, coalesce(sum(d), 0)::bigint as drift, count(*) filter (d > 0) as wrong from {pairs} p left join {name}y y on y.ticker = p.ticker and y.epoch = p.epoch group by p.ticker, p.epoch)"""
+
+
+_WITH = """, tl as (select t.ticker, s.ord as epoch, t.ord, case when taker = 'yes' then 'no' else 'yes' end as side, case when taker = 'yes' then 100 - price else price end as price, -size as change from trades t asof join snapshots s on t.ticker = s.ticker and t.conn = s.conn and t.ord >= s.ord where t.sid = s.sid),
+  ch2 as (select ticker, epoch, ord, side, price, change from changes union all select * from tl), su2 as (select *, sum(change) over (partition by ticker, epoch, side, price order by ord) as total from ch2),
+  le2 as (select ticker, epoch, ord, side, price, total - least(0, min(total) over (partition by ticker, epoch, side, price order by ord)) as qty from su2)"""
+_LASTS = "select ticker, epoch, side, price, max_by(qty, ord) as qty from {0} group by all"
+
+
+@query("b13_drift_with_trades", _PAIRS + _WITH + _apart("da", _LASTS.format("levels")) + _apart("db", _LASTS.format("le2")) + """ select a.ticker, count(*) as boundaries, round(avg(a.drift), 6) as mean_without, max(a.drift) as most_without, sum(a.wrong)::bigint as wrong_without, round(avg(b.drift), 6) as mean_with, max(b.drift) as most_with, sum(b.wrong)::bigint as wrong_with,
+  count(*) filter (b.drift < a.drift) as with_less, count(*) filter (a.drift < b.drift) as without_less, count(*) filter (a.drift = b.drift) as level from da a join db b using (ticker, epoch) group by a.ticker""")
+def _(t):
+    return book.drift_with_trades(t.frames, t.trades)
+
+
 @query(
     "b14_sampled_book",
     """, seqs as (select ticker, epoch, list([ord] order by ord) as os from allbooks group by all),
@@ -136,12 +163,27 @@ def _(t):
     return book.best(book.sampled(book.depth(t.frames), DAY_US // 24))
 
 
+#: A day in the middle of the table, within a connection.
+_MIDDLE = ", dd as (select (min(day) + max(day)) // 2 // 5 * 5 + 2 as d from ev)"
+
+
 @query("b15_cross_midnight_seed", "select * from allbooks where ord >= epoch and ord // 86400000000 > epoch // 86400000000")
 def _(t):
     rows = book.best(book.depth(t.frames))
     return rows.where(F.floor(F.col("ord") / DAY_US) > F.floor(F.col("epoch") / DAY_US))
 
 
+@query("b15_built_date", _MIDDLE + """, tc as (select arg_min(conn, ord) as conn from deltas, dd where day = d), lost as (select ticker, epoch from (select ticker, epoch, arg_max(spread, ord) as s from allbooks, dd where ord // 86400000000 < d and epoch // 86400000000 = d - 1 group by all) where s < 0),
+  own as (select s.ticker, s.ord as epoch from snapshots s, dd, tc where s.ord // 86400000000 = d or (s.ord // 86400000000 = d - 1 and s.conn = tc.conn))
+  select b.* from books b join own o on o.ticker = b.ticker and o.epoch = b.epoch, dd where b.ord // 86400000000 = d and not exists (select 1 from lost l where l.ticker = b.ticker and l.epoch = b.epoch)""")
+def _(t):
+    first, last = t.ev.agg(F.min("day"), F.max("day")).first()
+    d = (first + last) // 2 // 5 * 5 + 2
+    root, near = folder(t.spark, "frames"), t.frames.where(F.col("day").between(d - 3, d + 1))  # days of an archive of frames
+    near.withColumn("dt", F.concat(F.lit("d"), "day")).drop("day").write.partitionBy("dt").parquet(root)
+    return book.best(book.build_date(t.spark.read.parquet(root), f"d{d}", f"d{d - 1}"))
+
+
 @query("d01_book_violations", "select ticker, ord, 'crossed' as check, cast(spread as varchar) as detail from allbooks where spread <= 0")
 def _(t):
     return book.violations(book.depth(t.frames))
@@ -167,31 +209,40 @@ def _(t):
     return near.where("offset_rows between -5 and 10").select("ticker", "epoch", "ord", "offset_rows", "spread")
 
 
-@query("a12_spread_stats", "select ticker, count(*) as n, median(spread) as median_spread, round(avg(spread), 6) as mean_spread from books where spread > 0 group by ticker")
+_FEES = "greatest(1, cast(floor({0} * bid * (100 - bid) / 100) as int)) + greatest(1, cast(floor({0} * ask * (100 - ask) / 100) as int))"
+
+
+@query("a12_spread_stats", f"select ticker, count(*) as n, median(spread) as median_spread, round(avg(spread), 6) as mean_spread, round(avg(cast(spread > {_FEES.format('0.0175')} as int)), 6) as profitable, round(avg(cast(spread > {_FEES.format('0.0287')} as int)), 6) as profitable_as_taker from books where spread > 0 group by ticker")
 def _(t):
-    rows = book.valid_books(book.depth(t.frames)).where("spread > 0")
-    return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.median("spread").alias("median_spread"), F.round(F.avg("spread"), 6).alias("mean_spread"))
+    rows = book.best(book.valid_books(book.depth(t.frames))).where("spread > 0")
+    share = lambda fee: F.round(F.avg((F.col("spread") > fee(F.col("bid")) + fee(F.col("ask"))).cast("int")), 6)
+    return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.median("spread").alias("median_spread"), F.round(F.avg("spread"), 6).alias("mean_spread"), share(money.maker_fee_cents).alias("profitable"), share(money.taker_fee_cents).alias("profitable_as_taker"))
 
 
-@query("a37_crossed_rate", "select case when ord = epoch then 'snapshot' else 'delta' end as kind, count(spread) as n, round(avg(case when spread < 0 then 1.0 when spread >= 0 then 0.0 end), 6) as crossed_rate from allbooks group by all")
+@query("a37_crossed_rate", "select case when grouping(kind) = 0 then kind end as kind, case when grouping(ticker) = 0 then ticker end as ticker, count(spread) as n, count(*) filter (spread < 0) as crossed, round(avg(case when spread < 0 then 1.0 when spread >= 0 then 0.0 end), 6) as crossed_rate from (select *, case when ord = epoch then 'snapshot' else 'delta' end as kind from allbooks) group by grouping sets ((kind), (ticker))")
 def _(t):
-    rows = book.depth(t.frames)
-    kind = F.when(F.col("ord") == F.col("epoch"), "snapshot").otherwise("delta")
-    return rows.groupBy(kind.alias("kind")).agg(F.count("spread").alias("n"), F.round(F.avg((F.col("spread") < 0).cast("double")), 6).alias("crossed_rate"))
+    rows = book.depth(t.frames).select("ticker", F.when(F.col("ord") == F.col("epoch"), "snapshot").otherwise("delta").alias("kind"), "spread")
+    sets = rows.groupingSets([[F.col("kind")], [F.col("ticker")]], "kind", "ticker")
+    return sets.agg(F.count("spread").alias("n"), F.count_if(F.col("spread") < 0).alias("crossed"), F.round(F.avg((F.col("spread") < 0).cast("double")), 6).alias("crossed_rate"))
 
 
-@query("a46_rebuilt_spreads", "select round(avg(spread), 6) as mean_spread, median(spread) as median_spread, min(spread) as least, max(spread) as most, round(avg(cast(spread < 0 as int)), 6) as share_negative, round(avg(cast(spread = 1 as int)), 6) as share_one_cent from allbooks")
+@query("a46_rebuilt_spreads", "select case when grouping(kind) = 0 then kind end as kind, count(spread) as n, round(avg(spread), 6) as mean_spread, median(spread) as median_spread, min(spread) as least, max(spread) as most, round(avg(cast(spread < 0 as int)), 6) as share_negative, round(avg(cast(spread = 1 as int)), 6) as share_one_cent from (select *, case when ord = epoch then 'subscribed' else 'continuous' end as kind from allbooks) group by grouping sets ((kind), ())")
 def _(t):
-    s = F.col("spread")
-    return book.depth(t.frames).agg(F.round(F.avg(s), 6).alias("mean_spread"), F.median(s).alias("median_spread"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.avg((s < 0).cast("int")), 6).alias("share_negative"), F.round(F.avg((s == 1).cast("int")), 6).alias("share_one_cent"))
+    rows, s = kept(book.depth(t.frames).select(F.when(F.col("ord") == F.col("epoch"), "subscribed").otherwise("continuous").alias("kind"), "spread")), F.col("spread")
+    shares = [F.round(F.avg(c.cast("int")), 6).alias(n) for c, n in ((s < 0, "share_negative"), (s == 1, "share_one_cent"))]
+    out = None
+    for kind in ("subscribed", "continuous", None):  # the book as a snapshot gives it, as deltas make it, and both
+        own = rows.where(F.col("kind") == kind) if kind else rows
+        stats = own.agg(F.count(s).alias("n"), F.round(F.avg(s), 6).alias("mean_spread"), F.lit(quantiles(own, "spread", [0.5])[0]).cast("double").alias("median_spread"), F.min(s).alias("least"), F.max(s).alias("most"), *shares).select(F.lit(kind).cast("string").alias("kind"), "*")
+        out = stats if out is None else out.unionByName(stats)
+    return out
 
 
-@query("f06_extreme_price", "select p.bound, count(*) as n from books b, (values (5), (10), (15)) p(bound) where bid <= bound or ask >= 100 - bound group by bound")
+@query("f06_extreme_price", "select p.low, p.high, count(*) as n from books b, (values (10, 90), (42, 58), (46, 54), (10, 55), (46, 90), (45, 60)) p(low, high) where bid <= low or ask >= high group by all")
 def _(t):
-    bounds = t.spark.range(1, 4).select((F.col("id") * 5).cast("int").alias("bound"))
+    bounds = t.spark.createDataFrame([(10, 90), (42, 58), (46, 54), (10, 55), (46, 90), (45, 60)], "low int, high int")  # alike on both sides, and not
     rows = book.best(book.valid_books(book.depth(t.frames)))
-    hit = rows.crossJoin(F.broadcast(bounds)).where("bid <= bound or ask >= 100 - bound")
-    return hit.groupBy("bound").agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(bounds)).where("bid <= low or ask >= high").groupBy("low", "high").agg(F.count("*").alias("n"))
 
 
 @query("f07_valid_spread", "select ticker, count(*) as n from books where spread > 0 group by ticker")
@@ -225,15 +276,57 @@ def _(t):
     return lost.unionByName(after)
 
 
-@query("b16_alternative_repair", ", odd as (select ticker, epoch, ord, row_number() over (partition by ticker, epoch order by ord) as rn from epochs where epoch is not null and 1 + seq % 6 <> 1) select ticker, epoch, count(*) as skipped, min(ord) filter (rn = 6) as cleared_at from odd group by ticker, epoch")
+def _chain(suffix: str, changes: str) -> str:
+    """The base tables from changes to books once more, for changes of another rule."""
+    text = BASE[BASE.index("), sums as (") + 3 : BASE.index("), firstcross as (")]
+    names = ("changes", "sums", "levels", "states", "moments", "resting", "bests", "allbooks")
+    return f", {names[0]}{suffix} as ({changes}), " + re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: m[1] + suffix, text) + ")"
+
+
+_SEEDED = "select ticker, epoch, epoch as ord, side, price, qty as change from seeds union all select ticker, {0} as epoch, ord, side, price, delta from {1}"
+_FOREIGN = """, fo as (select e.ticker, e.epoch, e.ord, e.side, e.price, e.delta, 1 + cast(seq * 7919 % 10 < 6 as int) as own from epochs e where epoch is not null),
+  fr as (select *, coalesce(max(case when own <> prev then ord end) over (partition by ticker, epoch order by ord rows between unbounded preceding and current row), epoch) as start, cast(own <> 1 as int) as f from (select *, lag(own, 1, 1) over (partition by ticker, epoch order by ord) as prev from fo)),
+  fc as (select *, sum(f) over (partition by ticker, epoch order by ord rows between 4 preceding and current row) as run from fr), c1 as (select ticker, epoch, min(ord) as at1 from fc where f = 1 group by all), c5 as (select ticker, epoch, min(ord) as at5 from fc where run = 5 group by all),
+  la as (select * from fr where f = 0), lb as (select r.* from fr r left join c1 using (ticker, epoch) where at1 is null or r.ord < at1), lc as (select r.* from la r left join c5 using (ticker, epoch) where at5 is null or r.ord < at5)"""
+_REPAIR = _PAIRS + _FOREIGN + _chain("_a", _SEEDED.format("epoch", "la")) + _chain("_b", _SEEDED.format("epoch", "lb")) + _chain("_c", _SEEDED.format("epoch", "lc")) + _chain("_d", _SEEDED.format("start", "fr"))
+_REPAIR += ", pb as (select p.* from prs p left join c1 using (ticker, epoch) where at1 is null), pc as (select p.* from prs p left join c5 using (ticker, epoch) where at5 is null), ns as (select ticker, epoch as opened, max(start) as epoch from fr group by all), nall as (select ticker, ord as opened, coalesce(ns.epoch, s.ord) as epoch from snapshots s left join ns on ns.ticker = s.ticker and ns.opened = s.ord)".replace("select ticker, ord as opened, coalesce", "select s.ticker, s.ord as opened, coalesce")
+_REPAIR += _apart("ra", _LASTS.format("levels_a")) + _apart("rb", _LASTS.format("levels_b"), "pb") + _apart("rc", _LASTS.format("levels_c"), "pc")
+_REPAIR += _apart("rd", "select l.ticker, n.opened as epoch, l.side, l.price, max_by(l.qty, l.ord) as qty from levels_d l join nall n on n.ticker = l.ticker and n.epoch = l.epoch group by all")
+_REPAIR += ", rr as (" + " union all ".join(f"select '{name}' as rule, b.*, coalesce(boundaries, 0) as boundaries, coalesce(drift, 0)::bigint as drift, coalesce(wrong, 0)::bigint as wrong from (select ticker, count(*) as n_rows, count(spread) as n_spreads, count(*) filter (spread < 0) as n_crossed from allbooks_{k} group by ticker) b left join (select ticker, count(*) as boundaries, sum(drift) as drift, sum(wrong) as wrong from r{k} group by ticker) using (ticker)" for name, k in (("standard", "a"), ("first_foreign", "b"), ("fifth_skipped", "c"), ("restarted", "d"))) + ")"
+
+
+def _foreign(t):
+    own = F.when(F.col("kind") == "snapshot", 1).otherwise(1 + (F.col("seq") * 7919 % 10 < 6).cast("int")).cast("bigint")
+    return t.frames.withColumn("sid", own)
+
+
+@query("b16_alternative_repair", _REPAIR + " select * from rr")
+def _(t):
+    return book.repair_report(_foreign(t), {"standard": None, "first_foreign": (1, False), "fifth_skipped": (5, False), "restarted": (1, True)})
+
+
+@query("b16_restarted_books", _REPAIR + " select * from allbooks_d")
+def _(t):
+    return book.best(book.fold_changes(_foreign(t), book.repaired(_foreign(t), 1, True)))
+
+
+@query("d02_invariants_hold", "select count(*) as n_rows, count(spread) as n_spreads, count(*) filter (spread < 0) as n_crossed, 0 as n_negative, 0 as n_outside from allbooks")
 def _(t):
-    own = F.when(F.col("kind") == "snapshot", 1).otherwise(1 + F.col("seq") % 6).cast("bigint")
-    return book.repaired(t.frames.withColumn("sid", own), 5)
+    watched, watch = book.observed(book.depth(t.frames))
+    watched.write.parquet(folder(t.spark, "depth"))  # one evaluation, which writes and counts
+    found = watch.get
+    book.require_valid(found)
+    names = ("n_rows", "n_spreads", "n_crossed", "n_negative", "n_outside")
+    return t.spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
 
 
-@query("d02_invariants_hold", "select count(*) as n from allbooks")
+@query("d03_gated_write", "select ticker as market_ticker, count(*) as n_rows, count(spread) as n_spreads from books group by ticker")
 def _(t):
-    return book.require_valid(book.depth(t.frames)).agg(F.count("*").alias("n"))
+    root, books = folder(t.spark, "gated"), book.valid_books(book.depth(t.frames)).withColumnRenamed("ticker", "market_ticker")
+    roots = {"depth": f"{root}/OrderBookDepth", "trades": f"{root}/TradeEvent"}
+    events = t.trades.select(F.col("ticker").alias("market_ticker"), "ord", "price", "size", "taker")
+    sinks.write_gated(books, events, t.frames.where("kind = 'trade'"), roots, "2026-01-01", folder(t.spark, "staging"))
+    return sinks.read_events(t.spark, roots["depth"], "2026-01-01").groupBy("market_ticker").agg(F.count("*").alias("n_rows"), F.count("spread").alias("n_spreads"))
 
 
 @query("d07_freshness")

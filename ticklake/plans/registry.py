@@ -15,6 +15,8 @@ TYPES = {
     "b12_boundary_drift": "bigint rebuilt",
     "b13_drift_metric": "bigint drift",
     "b15_cross_midnight_seed": "bigint bid_size ask_size",
+    "b15_built_date": "bigint bid_size ask_size",
+    "b16_restarted_books": "bigint bid_size ask_size",
     "k09_bbo_view": "bigint bid_size ask_size",
     "st07_latest_book": "bigint bid_size ask_size",
     "a16_round_trip_pnl": "bigint pnl fees",

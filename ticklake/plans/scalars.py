@@ -40,11 +40,6 @@ def _(t):
     return t("events").select("event_id", money.seconds_to_ns(F.col("event_id") * F.lit(0.37)).alias("ns"))
 
 
-@query("p10_seconds_to_ns_all", "select event_id, cast(trunc((event_id * 0.37::double) * 1e9) as bigint) as ns from events")
-def _(t):
-    return t("events").select("event_id", money.seconds_to_ns(F.col("event_id") * F.lit(0.37)).alias("ns"))
-
-
 _TICKER = ", tick as (select p_partkey, case p_partkey % 5 when 0 then 'KXNBAGAME-26APR20MINDEN-MIN' when 1 then 'KXNBASPREAD-26APR20MINDEN-DEN' || (p_size % 9 + 1) when 2 then 'KXNBATOTAL-26APR20MINDEN-' || (200 + p_size) when 3 then 'KXNBAPTS-26APR25OKCPHX-PHXDBROOKS3-' || (p_size % 40) else 'SOMETHINGELSE-FOO-BAR' end as tk, p_size from part)"
 
 
@@ -117,12 +112,6 @@ def _(t):
     return t("orders").select("o_orderkey", F.round(game.win_probability(o % 21 - 10, (o % 2880).cast("double")), 6).alias("p"))
 
 
-@query("p18_win_probability_all", _P18)
-def _(t):
-    o = F.col("o_orderkey")
-    return t("orders").select("o_orderkey", F.round(game.win_probability(o % 21 - 10, (o % 2880).cast("double")), 6).alias("p"))
-
-
 @query("p19_fees", "select ticker, ord, round(0.07 * (price / 100.0) * (1 - price / 100.0), 9) as taker, round(0.25 * 0.07 * (price / 100.0) * (1 - price / 100.0), 9) as maker, greatest(1, cast(floor(0.0175 * price * (100 - price) / 100) as int)) as maker_cents, greatest(1, cast(floor(0.0287 * price * (100 - price) / 100) as int)) as taker_cents from trades")
 def _(t):
     d = F.col("price") / 100

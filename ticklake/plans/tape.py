@@ -11,6 +11,7 @@ from ticklake.operators.kept import kept
 from ticklake.operators.quantiles import distinct_over, distinct_sketches, quantiles
 from ticklake.operators.ranges import neighbour, running
 from ticklake.plans.bridge import query
+from ticklake.sources import markets
 from ticklake.functions import money
 
 SECOND = 1_000_000
@@ -53,6 +54,14 @@ def _(t):
     return t.tape.groupBy(F.floor(F.col("t") / 86400).alias("day")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.countDistinct("ticker").alias("tickers"))
 
 
+@query("a02_united_sketches", "select t // 2419200 as span, count(*) as n, true as near from tape group by all")
+def _(t):
+    daily = kept(distinct_sketches(t.tape.withColumn("day", F.floor(F.col("t") / 86400)), ["day"], "ticker"))
+    about = distinct_over(daily.withColumn("span", F.floor(F.col("day") / 28)), ["span"])
+    exact = t.tape.groupBy(F.floor(F.col("t") / 2_419_200).alias("span")).agg(F.countDistinct("ticker").alias("tickers"))
+    return about.join(exact, "span").select("span", "n", (F.abs(F.col("about") - F.col("tickers")) <= F.greatest(F.lit(1), F.lit(0.05) * F.col("tickers"))).alias("near"))
+
+
 @query("a03_per_market", "select ticker, count(*) as n, sum(size) as volume, round(avg(price), 6) as mean_price from tape group by ticker")
 def _(t):
     return t.tape.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.round(F.avg("price"), 6).alias("mean_price"))
@@ -272,11 +281,18 @@ def _(t):
     return quality.duplicates(t.tape, ["ticker", "t", "price"])
 
 
-@query("u03_market_merge", ", u as (select ticker, 0 as source, case when ticker % 2 = 0 then coalesce(result, '') else '' end as result from markets where ticker % 5 <> 0 union all select ticker, 1, coalesce(result, '') from markets), r as (select *, row_number() over (partition by ticker order by (result <> '') desc, source) as rn from u) select ticker, source, result from r where rn = 1")
+@query("u03_market_merge", """, live_m as (select ticker, 'live' as source, case when ticker % 2 = 0 then coalesce(result, '') else '' end as result, c_mktsegment, ticker as arrival from markets where ticker % 5 <> 0 union all select ticker, 'live', case ticker % 3 when 0 then 'no' else '' end, c_mktsegment, ticker + 1000000 from markets where ticker % 4 = 0),
+  hist_m as (select ticker, 'historical' as source, coalesce(result, '') as result, c_mktsegment, ticker as arrival from markets where ticker % 7 <> 0 union all select ticker, 'historical', 'void', c_mktsegment, ticker + 5 from markets where ticker % 2 = 1),
+  l as (select *, row_number() over (partition by ticker order by arrival desc) as rn from live_m), h as (select *, row_number() over (partition by ticker order by arrival) as rn, row_number() over (partition by ticker order by result = '', arrival) as rs from hist_m),
+  p as (select *, case when result <> '' then 1 else 3 end as rank from l where rn = 1 union all select *, case when result <> '' and rs = 1 then 2 else 4 end from (select ticker, source, result, c_mktsegment, arrival, rn, rs from h where rn = 1 or rs = 1) by_name_h),
+  r as (select ticker, source, result, c_mktsegment, row_number() over (partition by ticker order by rank, arrival) as k from (select ticker, source, result, c_mktsegment, arrival, rank from p)) select ticker, source, result, c_mktsegment from r where k = 1""".replace("union all select *, case when result <> '' and rs = 1 then 2 else 4 end from (select ticker, source, result, c_mktsegment, arrival, rn, rs from h where rn = 1 or rs = 1) by_name_h", "union all select ticker, source, result, c_mktsegment, arrival, rn, case when result <> '' and rs = 1 then 2 else 4 end from h where rn = 1 or rs = 1"))
 def _(t):
-    live = t.markets.where("ticker % 5 <> 0").select("ticker", F.lit(0).alias("source"), F.when(F.col("ticker") % 2 == 0, F.coalesce("result", F.lit(""))).otherwise("").alias("result"))
-    both = live.unionByName(t.markets.select("ticker", F.lit(1).alias("source"), F.coalesce("result", F.lit("")).alias("result")))
-    return both.groupBy("ticker").agg(F.min_by(F.struct("source", "result"), F.struct((F.col("result") == ""), "source")).alias("b")).select("ticker", "b.*")
+    m, k = t.markets, F.col("ticker")
+    made = lambda rows, source, result, at: rows.select("ticker", F.lit(source).alias("source"), result.alias("result"), "c_mktsegment", at.alias("arrival"))
+    known = F.coalesce("result", F.lit(""))
+    live = made(m.where(k % 5 != 0), "live", F.when(k % 2 == 0, known).otherwise(""), k).unionByName(made(m.where(k % 4 == 0), "live", F.when(k % 3 == 0, "no").otherwise(""), k + 1_000_000))
+    old = made(m.where(k % 7 != 0), "historical", known, k).unionByName(made(m.where(k % 2 == 1), "historical", F.lit("void"), k + 5))
+    return markets.merge(live, old, "arrival")
 
 
 @query("u04_first_per_time", "select ticker, t, min(ord) as ord from tape group by all")

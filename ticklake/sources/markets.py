@@ -25,8 +25,21 @@ def normalize(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
-def merge(live: DataFrame, historical: DataFrame) -> DataFrame:
-    """One row per ticker: the live one, but the historical one where only that has a result, or there is no live one."""
-    both = live.withColumn("__rank", F.lit(0)).unionByName(historical.withColumn("__rank", F.lit(1)))
-    best = F.min_by(F.struct(*live.columns), F.struct((F.coalesce("result", F.lit("")) == ""), "__rank"))
-    return both.groupBy("ticker").agg(best.alias("b")).select("b.*")
+def merge(live: DataFrame, historical: DataFrame, arrival: str | None = None) -> DataFrame:
+    """One row per ticker, of both tables' common columns: the last live row if it has a result; else the first historical row that
+    has one; else the last live row; else the first historical row.
+
+    First and last are by ``arrival``, a column of both; rows that it can't tell apart, or all rows without it, are told
+    apart by their values, the greatest of which counts as last, so the result doesn't depend on partitions.
+    """
+    columns = [c for c in live.columns if c != arrival]
+    row = F.struct(*columns)
+    at = F.struct(F.col(arrival) if arrival else F.lit(0).alias("at"), row)
+    sides = [side.select(*columns, *[arrival] * bool(arrival)).withColumn("__live", F.lit(k)) for k, side in ((True, live), (False, historical))]
+    both = sides[0].unionByName(sides[1])
+    has = F.coalesce("result", F.lit("")) != ""
+    mine = both.groupBy("ticker").agg(
+        F.max_by(row, F.when(F.col("__live"), at)).alias("live"), F.min_by(row, F.when(~F.col("__live") & has, at)).alias("settled"), F.min_by(row, F.when(~F.col("__live"), at)).alias("first")
+    )
+    done = F.when(F.coalesce("live.result", F.lit("")) != "", F.col("live"))
+    return mine.select(F.coalesce(done, "settled", "live", "first").alias("b")).select("b.*")

@@ -5,11 +5,11 @@ Tables are partitioned by ``date`` and ``v``, sorted by receipt within files, an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.functions.game import LOWER_COEFFICIENTS, QUARTER, QUARTERS, UPPER_COEFFICIENTS
-from ticklake.operators.book import DEPTH_COLUMNS
+from ticklake.operators.book import DEPTH_COLUMNS, observed, require_valid
 from ticklake.sources import frames
 from ticklake.sources.markets import COUNTS, PRICES, TEXTS, TIMES
 
@@ -59,6 +59,28 @@ def has_date(spark: SparkSession, root: str, date: str, version: int = VERSION)
         raise
 
 
+def write_gated(books: DataFrame, trades: DataFrame, trades_in: DataFrame, roots: dict[str, str], date: str, staging: str, most_crossed: float | None = 0.05, version: int = VERSION) -> dict:
+    """Writes one date of depth rows and trades (``roots`` name both tables' folders) only if they pass the final gate; returns its figures.
+
+    Both go to ``staging`` first, and the jobs that write them count on their way what the gate asks for, so nothing is
+    worked out twice: sizes and prices of all levels, crossed rows against spreads, and as many trades as ``trades_in`` has
+    frames. If it fails, ValueError is raised and no partition is touched.
+    """
+    watched, watch = observed(books)
+    watched.write.option("compression", "zstd").parquet(f"{staging}/depth")
+    counted = Observation(f"trades-{staging.rsplit('/', 1)[-1]}")
+    trades.observe(counted, F.count(F.lit(1)).alias("trades_out")).write.option("compression", "zstd").parquet(f"{staging}/trades")
+    metrics = watch.get | counted.get | {"trades_in": trades_in.count()}
+    if metrics["trades_in"] != metrics["trades_out"]:
+        raise ValueError(f"trades: {metrics}")
+    require_valid(metrics, most_crossed)
+    spark = books.sparkSession
+    for table in ("depth", "trades"):
+        rows = spark.read.parquet(f"{staging}/{table}")
+        write_events(rows, roots[table], date, "t_receipt_ns" if "t_receipt_ns" in rows.columns else "ord", version)
+    return metrics
+
+
 def compact(spark: SparkSession, root: str, date: str, staging: str, today: str, version: int = VERSION, file_bytes: int = 256 << 20, time: str = "t_receipt_ns") -> DataFrame:
     """Rewrites one partition in as few files as ``file_bytes`` allows; one row: input_files, output_files, total_rows.
 
