@@ -462,10 +462,18 @@ def observed(books: DataFrame) -> tuple[DataFrame, Observation]:
     return books.observe(watch, *own), watch
 
 
-def require_valid(metrics: dict, most_crossed: float | None = None) -> None:
+def check_metrics(metrics: dict, most_crossed: float | None = None) -> None:
     """Raises if ``observed``'s metrics break an invariant: a negative size, a price outside 1 to 99, or more than the given share of spreads crossed."""
-    failed = [n for n in ("n_negative", "n_outside") if metrics[n]]
+    failed = [name for n, name in (("n_negative", "negative_size"), ("n_outside", "price_outside")) if metrics[n]]
     if most_crossed is not None and metrics["n_crossed"] > most_crossed * metrics["n_spreads"]:
-        failed.append("n_crossed")
+        failed.append("crossed")
     if failed:
         raise ValueError(f"{', '.join(failed)}: {metrics}")
+
+
+def require_valid(books: DataFrame) -> DataFrame:
+    """The books, worked out and written once, in a job that counts their violations but crossed rows on its way; raises if there is any."""
+    watched, watch = observed(books)
+    rows = kept(watched, "books")
+    check_metrics(watch.get)
+    return rows

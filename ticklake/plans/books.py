@@ -315,7 +315,7 @@ def _(t):
     watched, watch = book.observed(book.depth(t.frames))
     watched.write.parquet(folder(t.spark, "depth"))  # one evaluation, which writes and counts
     found = watch.get
-    book.require_valid(found)
+    book.check_metrics(found)
     names = ("n_rows", "n_spreads", "n_crossed", "n_negative", "n_outside")
     return t.spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
 

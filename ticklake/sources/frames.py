@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklake.functions.game import parse_time
 from ticklake.functions.money import dollars_to_cents, parse_size, seconds_to_ns
+from ticklake.operators.ranges import running
 
 # fixed values: channel names, in the order of frames received at the same time
 CHANNELS = ("orderbook_snapshot", "orderbook_delta", "trade")
@@ -68,22 +69,25 @@ def _levels(side: str) -> Column:
     return F.transform(array, lambda x: F.struct(F.lit(side).alias("side"), dollars_to_cents(x[0]).alias("price"), parse_size(x[1]).alias("qty")))
 
 
-def to_book_frames(parsed: DataFrame) -> DataFrame:
+def to_book_frames(parsed: DataFrame, width: int = 3_600_000_000_000) -> DataFrame:
     """The frames that books are built of, as ``operators.book`` takes them; ``ord`` is the receipt in nanoseconds.
 
-    Frames of a ticker with one receipt are stepped by a nanosecond each, in the order of channel and sequence number;
-    receipts in seconds as doubles lie some 240 of these apart. A stream can't rank rows: there the step is made of the
-    channel and the sequence number's last six bits. Frames without a ticker are left out.
+    Frames of a ticker stand in the order of ``order_key``, then of the connection. Each has an ``ord`` of its own: its
+    receipt, or one more than the frame's before it where that is later, however many share a receipt. Time is worked in
+    ranges of ``width``. A stream's frames keep their receipt, with ``rank`` and ``source`` beside it, and are stepped the
+    same way where their book is kept. Frames without a ticker are left out.
     """
     kind = F.when(F.col("type") == CHANNELS[0], "snapshot").when(F.col("type") == CHANNELS[1], "delta").when(F.col("type") == CHANNELS[2], "trade")
-    if parsed.isStreaming:
-        step = F.col("channel_rank") * 64 + F.coalesce(F.pmod("seq", F.lit(64)), F.lit(0))
-    else:
-        step = F.row_number().over(Window.partitionBy("msg.market_ticker", "t_receipt").orderBy("channel_rank", "seq", "conn_id")) - 1
-    return parsed.select(
-        F.col("msg.market_ticker").alias("ticker"), (seconds_to_ns(F.col("t_receipt")) + step).cast("bigint").alias("ord"), kind.alias("kind"), F.coalesce("conn_id", F.lit("")).alias("conn"), "sid", "seq",
+    rows = parsed.select(
+        F.col("msg.market_ticker").alias("ticker"), seconds_to_ns(F.col("t_receipt")).alias("ord"), kind.alias("kind"), F.coalesce("conn_id", F.lit("")).alias("conn"), "sid", "seq",
         F.col("msg.side").alias("side"), dollars_to_cents(F.col("msg.price_dollars")).alias("price"), parse_size(F.col("msg.delta_fp")).alias("delta"), F.when(kind == "snapshot", F.concat(_levels("yes"), _levels("no"))).alias("levels"),
+        F.col("channel_rank").alias("rank"), "source",
     ).where("ticker <> '' and kind is not null")
+    if parsed.isStreaming:
+        return rows
+    counted = running(rows, ["ticker"], ["ord", "rank", "seq", "conn"], width, __n=("count", F.lit(1)))
+    stepped = running(counted, ["ticker"], ["ord", "__n"], width, __ahead=("max", F.col("ord") - F.col("__n")))
+    return stepped.withColumn("ord", F.col("__n") + F.col("__ahead")).drop("rank", "source", "__n", "__ahead")
 
 
 def trade_events(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.functions.game import LOWER_COEFFICIENTS, QUARTER, QUARTERS, UPPER_COEFFICIENTS
-from ticklake.operators.book import DEPTH_COLUMNS, observed, require_valid
+from ticklake.operators.book import DEPTH_COLUMNS, check_metrics, observed
 from ticklake.sources import frames
 from ticklake.sources.markets import COUNTS, PRICES, TEXTS, TIMES
 
@@ -73,7 +73,7 @@ def write_gated(books: DataFrame, trades: DataFrame, trades_in: DataFrame, roots
     metrics = watch.get | counted.get | {"trades_in": trades_in.count()}
     if metrics["trades_in"] != metrics["trades_out"]:
         raise ValueError(f"trades: {metrics}")
-    require_valid(metrics, most_crossed)
+    check_metrics(metrics, most_crossed)
     spark = books.sparkSession
     for table in ("depth", "trades"):
         rows = spark.read.parquet(f"{staging}/{table}")
