@@ -38,7 +38,9 @@ def _letters() -> np.ndarray:
 def characters(text: str) -> np.ndarray:
     """Code points of the text in lower case, with one space for each run of non-letters and one at either end."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters()[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+    letter = _letters()[np.minimum(code, 0xFFFF)]
+    far = np.flatnonzero(code > 0xFFFF)
+    letter[far] = [chr(c).isalpha() for c in code[far]]
     code = np.concatenate([[32], np.where(letter, code, 32), [32]]).astype(np.uint32)
     return code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])]
 
