@@ -63,6 +63,12 @@ def consumed(taker: Column, price: Column) -> tuple[Column, Column]:
     return F.when(taker == "yes", "no").otherwise("yes"), F.when(taker == "yes", 100 - price).otherwise(price)
 
 
+def top_size(levels: Column, side: str) -> Column:
+    """Size at a side's highest price in an array of (side, price, qty); null without levels."""
+    own = F.transform(F.filter(levels, lambda x: x["side"] == side), lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
+    return F.array_max(own)["qty"]
+
+
 def edge(probability: Column, cents: Column, yes_is_home: Column) -> Column:
     """Model probability of YES less its price."""
     return F.when(yes_is_home, probability).otherwise(1 - probability) - cents / 100

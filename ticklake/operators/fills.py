@@ -50,9 +50,9 @@ def adverse_selection(fills: DataFrame, quotes: DataFrame, horizons: list[int],
     return later.withColumn("adverse", adverse).withColumn("edge", edge)
 
 
-def unit_ranks(fills: DataFrame) -> DataFrame:
+def unit_ranks(fills: DataFrame, width: int = WIDTH) -> DataFrame:
     """Fills with their rank within ticker and side."""
-    return fills.withColumn("rn", F.row_number().over(Window.partitionBy("ticker", "side").orderBy("ord")))
+    return running(fills, ["ticker", "side"], ["ord"], width, rn=("count", F.lit(1)))
 
 
 def round_trips(fills: DataFrame) -> DataFrame:
@@ -84,29 +84,32 @@ def settlement_pnl(open_fills: DataFrame, markets: DataFrame) -> DataFrame:
     return known.withColumn("pnl", F.when(F.col("side") == "buy", buyer).otherwise(-buyer))
 
 
-def running_position(fills: DataFrame, size: str = "n") -> DataFrame:
+def running_position(fills: DataFrame, size: str = "n", width: int = WIDTH) -> DataFrame:
     """Fills with the ticker's position before and after each."""
     signed = F.when(F.col("side") == "buy", F.col(size)).otherwise(-F.col(size))
-    w = Window.partitionBy("ticker").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = fills.withColumn("__signed", signed).withColumn("after", F.sum("__signed").over(w))
-    return after.withColumn("before", F.col("after") - F.col("__signed")).drop("__signed")
+    held = running(fills.withColumn("__signed", signed), ["ticker"], ["ord"], width, after=("sum", "__signed"))
+    return held.withColumn("before", F.col("after") - F.col("__signed")).drop("__signed")
 
 
-def capped(fills: DataFrame, cap: int) -> DataFrame:
+def capped(fills: DataFrame, cap: int, width: int = WIDTH) -> DataFrame:
     """Unit fills until the position's size reaches the cap; none of the ticker after that."""
     unit = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    w = Window.partitionBy("ticker").orderBy("ord")
-    held = fills.withColumn("__after", F.sum(unit).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    most = F.max(F.abs("__after")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return held.withColumn("__most", F.coalesce(most, F.lit(0))).where(F.col("__most") < cap).drop("__after", "__most")
+    held = running(fills, ["ticker"], ["ord"], width, __after=("sum", unit))
+    held = running(held, ["ticker"], ["ord"], width, inclusive=False, __most=("max", F.abs("__after")))
+    return held.where(F.coalesce("__most", F.lit(0)) < cap).drop("__after", "__most")
+
+
+def pnl_curve(trips: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per ticker the profit of round trips as they close: ord, total, its peak so far (0 at least) and the drawdown from it."""
+    closed = trips.select("ticker", F.greatest("buy_ord", "sell_ord").alias("ord"), "pnl")
+    total = running(closed, ["ticker"], ["ord"], width, total=("sum", "pnl"))
+    curve = running(total, ["ticker"], ["ord"], width, __peak=("max", "total")).withColumn("peak", F.greatest(F.lit(0), "__peak"))
+    return curve.select("ticker", "ord", "total", "peak", (F.col("peak") - F.col("total")).alias("drawdown"))
 
 
 def episodes(fills: DataFrame, size: str = "n", width: int = WIDTH) -> DataFrame:
     """Fills with the ticker's position ``before`` and ``after`` each, and ``episode``, which counts its returns to flat before them."""
-    signed = F.when(F.col("side") == "buy", F.col(size)).otherwise(-F.col(size))
-    held = running(fills.withColumn("__signed", signed), ["ticker"], ["ord"], width, after=("sum", "__signed"))
-    held = held.withColumn("before", F.col("after") - F.col("__signed")).drop("__signed")
-    return running(held, ["ticker"], ["ord"], width, inclusive=False, episode=("sum", (F.col("after") == 0).cast("int")))
+    return running(running_position(fills, size, width), ["ticker"], ["ord"], width, inclusive=False, episode=("sum", (F.col("after") == 0).cast("int")))
 
 
 def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -77,16 +78,19 @@ _LEVELS = ", ".join(
     + ["count(*) filter (side = 'yes') as num_bid_levels", "count(*) filter (side = 'no') as num_ask_levels"]
 )
 
+_ZEROS = ", ".join(f"coalesce({c}, 0) as {c}" for c in (*(f"{n}_depth_{c}c" for n in ("bid", "ask") for c in (5, 10)), "num_bid_levels", "num_ask_levels"))
+
 
 @query(
     "b08_depth",
     f""", ranked as (
       select *, row_number() over (partition by ticker, epoch, ord, side order by price desc) as k, max(price) over (partition by ticker, epoch, ord, side) as top from resting
     ), wide as (select ticker, epoch, ord, {_LEVELS} from ranked group by all)
-    select w.*, b.spread, b.mid_x2 from wide w join allbooks b on b.ticker = w.ticker and b.epoch = w.epoch and b.ord = w.ord""",
+    select b.ticker, b.epoch, b.ord, w.* exclude (ticker, epoch, ord, bid_depth_5c, ask_depth_5c, bid_depth_10c, ask_depth_10c, num_bid_levels, num_ask_levels), {_ZEROS}, b.spread, b.mid_x2
+    from allbooks b left join wide w on b.ticker = w.ticker and b.epoch = w.epoch and b.ord = w.ord""",
 )
 def _(t):
-    return book.depth(t.frames).where("num_bid_levels + num_ask_levels > 0")
+    return book.depth(t.frames)
 
 
 @query(
@@ -250,9 +254,13 @@ def _(t):
     return book.valid_books(book.depth(t.frames)).where("spread > 0").groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-@query("k09_bbo_view", "select ticker, epoch, ord, bid, bid_size, ask, ask_size from books where bid_size >= 50 and ask_size >= 50")
+@query("k09_bbo_view", "select ticker as market_ticker, ord as t_receipt_ns, bid as bid_1, bid_size as bid_1_size, ask as ask_1, ask_size as ask_1_size, spread from books where bid_size >= 50 and ask_size >= 50")
 def _(t):
-    return book.best(book.valid_books(book.depth(t.frames))).where("bid_size >= 50 and ask_size >= 50").drop("spread", "mid_x2")
+    root, name = folder(t.spark, "OrderBookDepth"), f"depth_{uuid4().hex}"
+    sinks.write_events(book.valid_books(book.depth(t.frames)).withColumnsRenamed({"ticker": "market_ticker", "ord": "t_receipt_ns"}), root, "2026-01-01")
+    sinks.read_events(t.spark, root, "2026-01-01").createOrReplaceTempView(name)
+    sinks.bbo_view(t.spark, f"{name}_bbo", name)
+    return t.spark.table(f"{name}_bbo").drop("date", "v")
 
 
 @query("w08_bbo_changes", ", two as (select * from books where bid is not null and ask is not null), x as (select *, row(bid, ask) is distinct from lag(row(bid, ask)) over (partition by ticker, epoch order by ord) as changed from two) select ticker, epoch, ord, bid, ask from x where changed")

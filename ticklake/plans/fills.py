@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ticklake.operators import book, fills
 from ticklake.operators.joins import asof, running_sum
 from ticklake.operators.kept import kept
 from ticklake.operators.quantiles import quantiles
-from ticklake.operators.ranges import running
+from ticklake.operators.ranges import neighbour, running
 from ticklake.plans.bridge import query
 
 SECOND = 1_000_000
@@ -138,22 +137,19 @@ def _(t):
 
 @query("w11_pnl_curve", _TRIPS + ", c as (select ticker, greatest(buy_ord, sell_ord) as ord, pnl from trips), r as (select *, sum(pnl) over (partition by ticker order by ord) as total from c), p as (select *, greatest(0, max(total) over (partition by ticker order by ord)) as peak from r) select ticker, ord, total, peak, peak - total as drawdown from p")
 def _(t):
-    closed = fills.round_trips(t.fills).select("ticker", F.greatest("buy_ord", "sell_ord").alias("ord"), "pnl")
-    w = Window.partitionBy("ticker").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = closed.withColumn("total", F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.lit(0), F.max("total").over(w)))
-    return curve.select("ticker", "ord", "total", "peak", (F.col("peak") - F.col("total")).alias("drawdown"))
+    return fills.pnl_curve(fills.round_trips(t.fills), width=4096)
 
 
 @query("w12_gross_exposure", _SIGNED + ", g as (select ord, sum(abs(after) - abs(after - s)) over (order by ord) as gross from running) select max(gross) as most, arg_min(ord, (-gross, ord)) as at from g")
 def _(t):
-    steps = fills.running_position(t.fills).withColumn("step", F.abs("after") - F.abs("before"))
+    steps = fills.running_position(t.fills, width=4096).withColumn("step", F.abs("after") - F.abs("before"))
     gross = running_sum(steps, "ord", "step", "gross", 4096)
     return gross.agg(F.max("gross").alias("most"), F.min_by("ord", F.struct(-F.col("gross"), "ord")).alias("at"))
 
 
 @query("w15_position_cap", ", u as (select *, sum(case when side = 'buy' then 1 else -1 end) over (partition by ticker order by ord) as after from fills), m as (select *, coalesce(max(abs(after)) over (partition by ticker order by ord rows between unbounded preceding and 1 preceding), 0) as most from u) select ticker, count(*) as n, sum(price) as paid from m where most < 2 group by ticker")
 def _(t):
-    return fills.capped(t.fills, 2).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("price").alias("paid"))
+    return fills.capped(t.fills, 2, width=4096).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("price").alias("paid"))
 
 
 _COSTS = _SIGNED + """, folds as (select ticker, list({'q': s::double, 'c': price::double, 'e': 0.0::double, 'r': 0.0::double} order by ord) as xs, list(ord order by ord) as os, list(n order by ord) as ns, list(price order by ord) as ps from signed group by ticker),
@@ -178,8 +174,8 @@ def _(t):
 @query("w17_emit_on_change", ", x as (select ticker, ord, price, side, lag(row(side, price > 50)) over (partition by ticker order by ord) as b from fills) select ticker, ord, side from x where row(side, price > 50) is distinct from b")
 def _(t):
     state = F.struct("side", (F.col("price") > 50).alias("high"))
-    before = F.lag(state).over(Window.partitionBy("ticker").orderBy("ord"))
-    return t.fills.withColumn("b", before).where(~state.eqNullSafe(F.col("b"))).select("ticker", "ord", "side")
+    told = neighbour(t.fills.withColumn("state", state), ["ticker"], ["ord"], 4096, ["state"], "b")
+    return told.where(~F.col("state").eqNullSafe(F.col("b.state"))).select("ticker", "ord", "side")
 
 
 @query("w18_attribution", _SIGNED + "select ticker % 10 as book, day % 7 as weekday, sum(-s * price) as cash, grouping(ticker % 10) as all_books, grouping(day % 7) as all_days from signed group by cube (ticker % 10, day % 7)")

@@ -17,7 +17,7 @@ TYPES = {
     "b15_cross_midnight_seed": "bigint bid_size ask_size",
     "b15_built_date": "bigint bid_size ask_size",
     "b16_restarted_books": "bigint bid_size ask_size",
-    "k09_bbo_view": "bigint bid_size ask_size",
+    "k09_bbo_view": "bigint bid_1_size ask_1_size",
     "st07_latest_book": "bigint bid_size ask_size",
     "a16_round_trip_pnl": "bigint pnl fees",
     "o04_best_and_worst": "bigint pnl",

@@ -132,11 +132,9 @@ def _(t):
     return rows.select("ticker", "epoch", F.round(money.imbalance(F.col("y"), F.col("n")), 9).alias("imbalance"))
 
 
-@query("p22_top_bid_size", "select ticker, epoch, arg_max(qty, price) as size from seeds where side = 'yes' group by all")
+@query("p22_top_bid_size", "select ticker, epoch, arg_max(qty, price) filter (side = 'yes') as size, arg_max(qty, price) filter (side = 'no') as no_size from seeds group by all")
 def _(t):
-    levels = F.filter("levels", lambda x: x["side"] == "yes")
-    top = F.array_max(F.transform(levels, lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty"))))
-    return t.frames.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), top["qty"].alias("size"))
+    return t.frames.where("kind = 'snapshot'").select("ticker", F.col("ord").alias("epoch"), money.top_size(F.col("levels"), "yes").alias("size"), money.top_size(F.col("levels"), "no").alias("no_size"))
 
 
 @query("p23_hour", "select event_id, ord // 3600000000 % 24 as hour from ev")

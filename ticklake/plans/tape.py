@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ticklake.operators import book, fills, quality, tape
 from ticklake.operators.joins import range_join
-from ticklake.operators.kept import kept
+from ticklake.operators.kept import folder, kept
 from ticklake.operators.quantiles import distinct_over, distinct_sketches, quantiles
 from ticklake.operators.ranges import neighbour, running
 from ticklake.plans.bridge import query
-from ticklake.sources import markets
+from ticklake.sources import frames, markets, sinks
 from ticklake.functions import money
 
 SECOND = 1_000_000
@@ -26,12 +26,15 @@ def _(t):
 @query("s03_ordered_frames", "select ticker, ord, conn, seq, row_number() over (partition by ticker order by ord, seq) as place from ev")
 def _(t):
     rank = F.when(F.col("kind") == "snapshot", 0).when(F.col("kind") == "delta", 1).otherwise(2)
-    return t.frames.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy("ord", rank, "seq"))).select("ticker", "ord", "conn", "seq", "place")
+    rows = t.frames.withColumns({"t_receipt": F.col("ord"), "channel_rank": rank})
+    return frames.placed(rows, ["ticker"], DAY).select("ticker", "ord", "conn", "seq", "place")
 
 
 @query("s09_dates", "select distinct day from ev where day >= 19000")
 def _(t):
-    return t.ev.where("day >= 19000").select("day").distinct()
+    root = folder(t.spark, "dated")
+    t.ev.select("event_id", F.lpad(F.col("day").cast("string"), 6, "0").alias("date")).repartition("date").write.partitionBy("date").parquet(root)
+    return sinks.dates(t.spark, root, "019000").select(F.col("date").cast("bigint").alias("day"))
 
 
 @query("f01_valid_trades", "select flag, count(*) as n from tape where price between 5 and 95 and size > 10 group by flag")

@@ -64,6 +64,11 @@ def order_key() -> list[Column]:
     return [F.col("t_receipt"), F.col("channel_rank"), F.col("seq")]
 
 
+def placed(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Rows with ``place``, their number in the order of ``order_key`` under the keys; receipts are worked in ranges of ``width``."""
+    return running(rows, keys, ["t_receipt", "channel_rank", "seq"], width, place=("count", F.lit(1)))
+
+
 def _levels(side: str) -> Column:
     array = F.coalesce(F.col(f"msg.{side}_dollars_fp"), F.array().cast("array<array<string>>"))
     return F.transform(array, lambda x: F.struct(F.lit(side).alias("side"), dollars_to_cents(x[0]).alias("price"), parse_size(x[1]).alias("qty")))
