@@ -30,6 +30,8 @@ from ticklake.llm.components import components
 #: Buckets (as bits of the hash) in which shingle frequencies are counted; a fixed size at any scale. A partition reports
 #: what it meets more than once, so that the many shingles of one document cost nothing; sums under ``FEW`` count as 0.
 BITS, FEW = 24, 4
+#: Bytes of text whose words are worked at once; they take some 60 bytes each meanwhile.
+BLOCK_BYTES = 1_000_000
 RANGES = 256
 #: Pairs a posting up to which all pairs between components are taken, and shared shingles that a posting carries along.
 LINEAR, CARRIED = 4, 32
@@ -65,7 +67,7 @@ def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            for _, raw, at in blocks(batch, 0):
+            for _, raw, at in blocks(batch, 0, BLOCK_BYTES):
                 _, h = shingles(raw, at, size)
                 np.add.at(total, (h >> np.uint64(64 - BITS)).astype(np.int64), 1)
         seen = np.flatnonzero(total > 1)
@@ -80,7 +82,7 @@ def _profiles(shared, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
         for batch in batches:
-            for part, raw, at in blocks(batch, 1):
+            for part, raw, at in blocks(batch, 1, BLOCK_BYTES):
                 row, h = shingles(raw, at, size)
                 border = np.searchsorted(row, np.arange(part.num_rows + 1))
                 n, key_1, key_2, ranges, prefix, prefix_n = [], [], [], [], [np.zeros(0, np.uint64)], []
@@ -104,12 +106,12 @@ def _profiles(shared, size: int, percent: int):
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in blocks(batch, 2, 2_000_000):
+            for part, raw, at in blocks(batch, 2, BLOCK_BYTES):
                 ok = np.zeros(part.num_rows, bool)
                 row, h = shingles(raw, at, size)
                 border = np.searchsorted(row, np.arange(part.num_rows + 1))
                 done = 0
-                for other, raw_2, at_2 in blocks(part, 3, 2_000_000):
+                for other, raw_2, at_2 in blocks(part, 3, BLOCK_BYTES):
                     row_2, h_2 = shingles(raw_2, at_2, size)
                     border_2 = np.searchsorted(row_2, np.arange(other.num_rows + 1))
                     for k in range(other.num_rows):

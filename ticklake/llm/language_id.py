@@ -116,7 +116,7 @@ def _score(shared, order: int, text: int, keep: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
         for batch in batches:
-            for part, raw, at in blocks(batch, text, 2_000_000):
+            for part, raw, at in blocks(batch, text, 1_000_000):
                 total = np.tile(trees.prior_bits, (part.num_rows, 1))
                 step = 4_000_000
                 for lo in range(0, len(raw), step):  # a very long row stands alone; its bytes are taken in pieces
