@@ -26,7 +26,7 @@ with recursive crc as (
   select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
 ), docs as (
   select doc_id, source as tree, sha256({_FIELDS}{_TEXT.format("text")}) as leaf,
-    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 5 = 0 as tampered,
+    doc_id is not null and xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 5 = 0 as tampered,
     sha256({_FIELDS}{_TEXT.format(_LOWER)}) as lowered
   from documents, crc
 ), leaves as (
