@@ -5,12 +5,10 @@ Files lie in the shared checkpoint folder, or in a temporary one on a single mac
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from ticklake.operators import book
+from ticklake.operators.kept import folder
 from ticklake.plans.bridge import query
 from ticklake.plans.scalars import archive_lines
 from ticklake.sources import frames, sinks
@@ -20,13 +18,7 @@ _FLAT = "select ticker, ord, 'delta' as kind, side, price / 100.0 as price, delt
 
 
 def _folder(t) -> str:
-    sc = t.spark.sparkContext
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if root is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{sc.applicationId}/archive-{uuid4().hex}"
+    return folder(t.spark, "archive")
 
 
 def _archived(t) -> str:
