@@ -32,6 +32,11 @@ def test_quantiles_are_exact(spark, name):
     assert np.allclose(quantiles.quantiles(rows, "x", p, most=200, accuracy=200), np.quantile(x, p), rtol=1e-12)
 
 
+def test_quantiles_with_infinite_values(spark):
+    rows = spark.createDataFrame([(float("-inf"),), *((float(k),) for k in range(9)), (float("inf"),)], "x double")
+    assert quantiles.quantiles(rows, "x", [0, 0.1, 0.45, 1], most=3, accuracy=5) == [float("-inf"), 0.0, 3.5, float("inf")]
+
+
 def test_quantiles_of_nothing(spark):
     assert quantiles.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5, 1.0]) == [None, None]
 

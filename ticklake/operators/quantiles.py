@@ -9,6 +9,8 @@ and no row is shuffled.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def quantiles(rows: DataFrame, column: str | Column, probabilities: list[float],
     open_ = [t for t in targets.values() if not t.done]
     held = {}
     if open_:
-        near = values.where(" or ".join(f"v between {t.low!r}D and {t.high!r}D" for t in open_))
+        near = values.where(reduce(or_, [v.between(t.low, t.high) for t in open_]))
         held = {r["v"]: r["n"] for r in near.groupBy("v").agg(F.count("*").alias("n")).collect()}
     return [_read(targets[p], held) for p in probabilities]
 
@@ -79,7 +81,7 @@ def _read(t: _Target, held: dict[float, int]) -> float:
         at += held[value]
         while len(found) < 2 and (t.first, t.last)[len(found)] < at:
             found.append(value)
-    return found[0] + (found[1] - found[0]) * t.part
+    return found[0] + (found[1] - found[0]) * t.part if t.part else found[0]
 
 
 def distinct_sketches(rows: DataFrame, keys: list[str], value: str, bits: int = 14) -> DataFrame:
