@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from ticklake.operators import model
+from ticklake.operators import fills, model
 
 
 def most_joined(df):
@@ -55,3 +55,11 @@ def test_trades_around_events_are_counted_not_paired(spark):
     found = model.around(spark.createDataFrame(events, "ticker string, ord bigint"), df, span)
     assert {(r["ticker"], r["ord"]): tuple(r)[2:] for r in found.collect()} == want and len(want) > 500
     assert most_joined(found) < 10 * len(rows)
+def test_entry_of_a_reduced_position_at_half_a_cent(spark):
+    rows, want = [], {}
+    for p, q, second, cost, entry in ((77, 62, 5, 139.0, 70), (71, 60, 2, 327.5, 66), (27, 44, 2, 177.5, 36), (70, 73, 4, 214.5, 72)):
+        t = f"{p}-{q}"
+        rows += [(t, 1, "buy", p, 5), (t, 2, "buy", q, 5), (t, 3, "sell", 50, 3), (t, 4, "sell", 50, second)]
+        want[t] = (7 - second, cost, entry)
+    held = fills.open_costs(fills.average_cost(spark.createDataFrame(rows, "ticker string, ord bigint, side string, price int, n int"), width=2))
+    assert {r["ticker"]: tuple(r)[1:] for r in held.collect()} == want

@@ -130,7 +130,7 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cost += price * step
                 entry = abs(cost / after)
             elif abs(after) < abs(before):
-                cost *= after / before
+                cost = cost * after / before  # exact where the cost is: a ratio of positions rarely is
             held.append((cost, entry, won))
         columns = [pa.array([h[k] for h in held], pa.float64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "cost", "entry", "realized"])
