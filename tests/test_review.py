@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from ticklake.operators import fills, model
+from ticklake.operators import fills, model, search
 
 
 def most_joined(df):
@@ -98,3 +98,12 @@ def test_caps_take_no_rows_of_their_own(spark):
         want[cap] = (n, round(pnl, 5))
     assert {r["cap"]: (r["n"], round(r["pnl"], 5)) for r in found.collect()} == want and want[1][0] < want[8][0] < want[1000][0]
     assert most_joined(found) < 3 * len(rows)
+def test_intervals_in_a_full_block_are_swept_not_joined(spark):
+    rng = random.Random(5)
+    series = [("A", rng.randrange(3000), float(rng.randrange(100))) for _ in range(1200)]
+    asked = [(k, "A", rng.randrange(3000), rng.randrange(3500), float(rng.randrange(20)), float(rng.randrange(80, 110))) for k in range(600)]
+    found = search.first_beyond(spark.createDataFrame(asked, "id int, t string, after bigint, until bigint, low double, high double"), spark.createDataFrame(series, "t string, o bigint, v double"), ["t"], "o", "v", width=1000, levels=1)
+    text = found._jdf.queryExecution().toString()
+    want = {k: min(((o, v) for _, o, v in series if a < o <= z and (v <= low or v >= high)), default=(None, None)) for k, _, a, z, low, high in asked}
+    assert {r["id"]: (r["hit"], r["hit_value"]) for r in found.collect()} == want and sum(o is not None for o, _ in want.values()) > 200
+    assert "MapInArrow" in text and most_joined(found) <= len(asked)
