@@ -40,6 +40,8 @@ def test_pairs_by_horizon_meet_one_row_each(spark):
     pairs = model.horizon_pairs(df, [1000, 3000], 1)
     assert {tuple(r) for r in pairs.collect()} == want and len(want) > 1500
     assert most_joined(pairs) < 10 * len(rows)
+
+
 def test_trades_around_events_are_counted_not_paired(spark):
     rows, df = tape(spark, 1500)
     rng = random.Random(2)
@@ -55,6 +57,8 @@ def test_trades_around_events_are_counted_not_paired(spark):
     found = model.around(spark.createDataFrame(events, "ticker string, ord bigint"), df, span)
     assert {(r["ticker"], r["ord"]): tuple(r)[2:] for r in found.collect()} == want and len(want) > 500
     assert most_joined(found) < 10 * len(rows)
+
+
 def test_entry_of_a_reduced_position_at_half_a_cent(spark):
     rows, want = [], {}
     for p, q, second, cost, entry in ((77, 62, 5, 139.0, 70), (71, 60, 2, 327.5, 66), (27, 44, 2, 177.5, 36), (70, 73, 4, 214.5, 72)):
@@ -63,6 +67,8 @@ def test_entry_of_a_reduced_position_at_half_a_cent(spark):
         want[t] = (7 - second, cost, entry)
     held = fills.open_costs(fills.average_cost(spark.createDataFrame(rows, "ticker string, ord bigint, side string, price int, n int"), width=2))
     assert {r["ticker"]: tuple(r)[1:] for r in held.collect()} == want
+
+
 def test_front_running_reads_both_ends_of_its_time(spark):
     rng = random.Random(3)
     trades = [("A" if rng.random() < 0.8 else "B", o, rng.randrange(40, 60)) for o in rng.sample(range(8000), 1500)]
@@ -98,6 +104,8 @@ def test_caps_take_no_rows_of_their_own(spark):
         want[cap] = (n, round(pnl, 5))
     assert {r["cap"]: (r["n"], round(r["pnl"], 5)) for r in found.collect()} == want and want[1][0] < want[8][0] < want[1000][0]
     assert most_joined(found) < 3 * len(rows)
+
+
 def test_intervals_in_a_full_block_are_swept_not_joined(spark):
     rng = random.Random(5)
     series = [("A", rng.randrange(3000), float(rng.randrange(100))) for _ in range(1200)]
